@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import chat, jaccard, media, packing, pii, token_store
+from loglattice.llm import chat, jaccard, media, packing, pii, resampling, token_store, vector_dedup
 from loglattice.llm.runtime import materialize, scratch
 
 #: Named in the queries only; a deployment passes its own.
@@ -34,6 +34,10 @@ def op3_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "detected_type", "corrected")
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -51,13 +55,19 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(_docs(spark, sf_dir).select("doc_id", "text"), PII_KEY)
 
 
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_media_sniffing": op3_media_sniffing,
+    "op5_importance_resampling": op5_importance_resampling,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_pii_surrogates": op8_pii_surrogates,
+    "op10_vector_dedup": op10_vector_dedup,
 }
 
 ORACLES: dict[str, str] = {}
