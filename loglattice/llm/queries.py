@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import chat, jaccard, media, packing, pii, resampling, token_store, vector_dedup
+from loglattice.llm import chat, jaccard, media, packing, pii, resampling, segmentation, token_store, vector_dedup
 from loglattice.llm.runtime import materialize, scratch
 
 #: Named in the queries only; a deployment passes its own.
@@ -55,6 +55,14 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(_docs(spark, sf_dir).select("doc_id", "text"), PII_KEY)
 
 
+def op9_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three segmentations of each whole text: how many pieces, a digest of their ids, and the scores."""
+    import public_tokenizers
+
+    drawn = segmentation.sample_segmentations(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), k=3)
+    return drawn.select("doc_id", "rank", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "log_inclusion")
+
+
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
 
@@ -67,6 +75,7 @@ QUERIES = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_pii_surrogates": op8_pii_surrogates,
+    "op9_sampled_segmentations": op9_sampled_segmentations,
     "op10_vector_dedup": op10_vector_dedup,
 }
 
