@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import chat, jaccard, media, packing, pii, resampling, segmentation, token_store, vector_dedup
+from loglattice.llm import chat, jaccard, media, mixing_lm, packing, pii, resampling, segmentation, token_store, vector_dedup
 from loglattice.llm.runtime import materialize, scratch
 
 #: Named in the queries only; a deployment passes its own.
@@ -34,6 +34,10 @@ def op3_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "detected_type", "corrected")
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score_documents(_docs(spark, sf_dir))
+
+
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_media_sniffing": op3_media_sniffing,
+    "op4_context_mixing": op4_context_mixing,
     "op5_importance_resampling": op5_importance_resampling,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_best_fit_packing": op7_best_fit_packing,
