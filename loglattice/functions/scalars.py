@@ -1,0 +1,45 @@
+"""Scalar expressions of the log analytics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def token_estimate(text: Column) -> Column:
+    """A quarter of the characters, half to even."""
+    return F.greatest(F.lit(0), F.bround(F.length(text) / 4)).cast("long")
+
+
+def normalize_line(line: Column) -> Column:
+    """Any run of Unicode white space to one blank, none at the ends."""
+    return F.trim(F.regexp_replace(line, r"(?U)\s+", " "))
+
+
+def matchable(line: Column) -> Column:
+    return F.length(line) >= 4
+
+
+def short_id(prefix: str, *parts: Column, length: int = 15) -> Column:
+    """A deterministic id: the beginning of the SHA-1 of the fields."""
+    return F.concat(F.lit(prefix), F.substring(F.sha1(F.concat_ws("|", *parts)), 1, length))
+
+
+def normal_form(ts: Column) -> Column:
+    """A time of any usual spelling in UTC, whole seconds (cut off, not rounded); empty if there is none."""
+    at = F.date_trunc("second", F.try_to_timestamp(ts))
+    return F.coalesce(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
+
+
+def finite(number: Column) -> Column:
+    """NULL for what is not a number, so that it reads as not recorded."""
+    return F.when(F.isnan(number) | (F.abs(number) == float("inf")), None).otherwise(number)
+
+
+def share(part: Column, rest: Column) -> Column:
+    """Percent of part in part and rest; NULL if both are missing or add to nothing."""
+    return F.when(part + rest > 0, F.bround(100 * part / (part + rest)).cast("long"))
+
+
+def basename(uri: Column) -> Column:
+    return F.regexp_extract(uri, r"([^/]*)/*$", 1)
