@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm.graph import connected_components
-from loglattice.llm.runtime import materialize, mix64, sum_slices
+from loglattice.llm.runtime import hash_words, materialize, mix64, sum_slices
 
 #: The frequency sketch: 2^24 counters of one byte that stay at 255.
 SKETCH_BITS = 24
@@ -30,18 +30,6 @@ SLICES = 64
 #: Groups up to this size give their pairs at once; larger ones go by pivots and blocks.
 SMALL = 8
 BLOCK = 1024
-_WORD_CACHE = 1 << 20
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -49,7 +37,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     tokens = (text or "").encode().lower().split()
     if not tokens:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+    h = hash_words(tokens)
     size, n = min(words, len(h)), max(1, len(h) - words + 1)
     with np.errstate(over="ignore"):
         out = np.full(n, size, np.uint64)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.runtime import materialize, mix64, sum_slices, uniform
+from loglattice.llm.runtime import hash_words, materialize, mix64, sum_slices, uniform
 
 #: Half of the buckets are for words, half for word pairs.
 BUCKETS = 1 << 20
@@ -29,24 +29,12 @@ PRIOR = 8.0
 SHRINK = 0.3
 #: Gumbel noise is added to weight / TEMPERATURE: small keeps the sample close to the ranking.
 TEMPERATURE = 0.05
-_WORD_CACHE = 1 << 20
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
 
 
 def gram_buckets(text: str | None) -> np.ndarray:
     """Buckets of all words and word pairs of the whole text, in lower case, without punctuation at their ends."""
     words = [w.strip(b".,;:!?\"'()[]") or w for w in (text or "").lower().encode().split()]
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = hash_words(words)
     with np.errstate(over="ignore"):
         pairs = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) > 1 else h[:0]
     half = np.uint64(BUCKETS // 2)

@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,6 +15,26 @@ from pyspark.sql.types import StructType
 MASK64 = (1 << 64) - 1
 
 
+#: Words whose hash a worker remembers, for all operators together; beyond it the memory starts anew.
+WORD_CACHE = 1 << 18
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_word_hashes = _WordHashes()
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors see; a local one only where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
