@@ -177,14 +177,13 @@ class Lattices:
     def descend(self, roots: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One segmentation for each root: the edges of row r are edges[cut[r]:cut[r + 1]]; and each row's log-probability."""
         at, rows = roots.copy(), np.argsort(roots)  # rows of one word together: their searches touch the same memory
-        logp, steps = np.zeros(len(roots)), np.zeros(len(roots), np.int64)
+        steps = np.zeros(len(roots), np.int64)
         trace = []
         rows = rows[self.first[at[rows] + 1] > self.first[at[rows]]]
         while len(rows):
             here = at[rows]
             e = np.searchsorted(self.below, here + uniform(mix64(seeds[rows] + np.uint64(len(trace)))), "right")
-            e = np.clip(e, self.first[here], self.first[here + 1] - 1)
-            logp[rows] += self.logp[e]
+            e = np.minimum(e, self.first[here + 1] - 1)  # a draw that rounds up to the next node
             trace.append((rows, e))
             steps[rows] += 1
             at[rows] = there = self.stop[e]
@@ -193,6 +192,7 @@ class Lattices:
         edges = np.empty(cut[-1], np.int64)
         for step, (rows, e) in enumerate(trace):
             edges[cut[rows] + step] = e
+        logp = np.add.reduceat(self.logp[edges], cut[:-1]) if len(roots) else np.zeros(0)
         return edges, cut, logp
 
 
@@ -217,9 +217,8 @@ def split_words(text: str) -> list[str]:
 
 def _log_less(log_mass: np.ndarray) -> np.ndarray:
     """log(1 - exp(x)) for x <= 0."""
-    x = np.minimum(log_mass, -1e-300)
     with np.errstate(divide="ignore"):
-        return np.where(x > -0.693, np.log(-np.expm1(x)), np.log1p(-np.exp(x)))
+        return np.log(-np.expm1(np.minimum(log_mass, -1e-300)))
 
 
 def _truncated(location, bound, u):
