@@ -34,18 +34,22 @@ BLOCK = 1024
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Hashes of all shingles in order, with repeats; ASCII letters lower-cased, words split at ASCII white space."""
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    h = hash_words(tokens)
+    h = hash_words((text or "").encode())
+    if not len(h):
+        return h
     size, n = min(words, len(h)), max(1, len(h) - words + 1)
-    with np.errstate(over="ignore"):
-        out = np.full(n, size, np.uint64)
-        for k in range(size):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    out = h[:n] + np.uint64(size)
+    for k in range(1, size):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[k : k + n]
     return mix64(out)
 
 
+def sorted_set(hashes: np.ndarray) -> np.ndarray:
+    out = np.sort(hashes)
+    return out[np.diff(out, prepend=~out[:1]) != 0]
+
+
 def least_overlap(n, percent: int):
     """The overlap that a set of n must have with any partner."""
     return (percent * n + 99) // 100
@@ -68,7 +72,9 @@ def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
                     held.append((shingles(text.as_py(), words) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
                     size += len(held[-1])
                 if held and (text is None or size >= 1 << 20):
-                    at, n = np.unique(np.concatenate(held), return_counts=True)
+                    slots = np.sort(np.concatenate(held))
+                    first = np.flatnonzero(np.diff(slots, prepend=-1))
+                    at, n = slots[first], np.diff(first, append=len(slots))
                     sums[at] = np.minimum(255, sums[at].astype(np.int64) + n)
                     held, size = [], 0
         for k, part in enumerate(np.split(sums, SLICES)):
@@ -93,11 +99,11 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         for batch in batches:
             n_, sig, gens, prefix = [], [], [], []
             for text in batch.column(1):
-                own = np.unique(shingles(text.as_py(), words))
+                own = sorted_set(shingles(text.as_py(), words))
                 n = len(own)
                 t = least_overlap(n, percent)
                 est = counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.lexsort((own, est))
+                order = np.argsort(est, kind="stable")  # ties by hash
                 g = n - t + 1 if n else 0
                 cost = np.maximum(0.0, est[order[:g]] - 2 * base).sum() if n else 0
                 l = int(min(t, 1 + round(g * min(1.0, np.log2(1 + cost) / 8)))) if n else 0  # noqa: E741
@@ -249,7 +255,7 @@ def _verify(words: int, percent: int):
         for batch in batches:
             a, b = [], []
             for x, y, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p, q = np.unique(shingles(s, words)), np.unique(shingles(t, words))
+                p, q = sorted_set(shingles(s, words)), sorted_set(shingles(t, words))
                 i = len(np.intersect1d(p, q, assume_unique=True))
                 if i and 100 * i >= percent * (len(p) + len(q) - i):
                     a.append(x)

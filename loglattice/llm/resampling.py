@@ -33,8 +33,7 @@ TEMPERATURE = 0.05
 
 def gram_buckets(text: str | None) -> np.ndarray:
     """Buckets of all words and word pairs of the whole text, in lower case, without punctuation at their ends."""
-    words = [w.strip(b".,;:!?\"'()[]") or w for w in (text or "").lower().encode().split()]
-    h = hash_words(words)
+    h = hash_words((text or "").lower().encode(), strip=b".,;:!?\"'()[]")
     with np.errstate(over="ignore"):
         pairs = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) > 1 else h[:0]
     half = np.uint64(BUCKETS // 2)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,24 +15,65 @@ from pyspark.sql.types import StructType
 MASK64 = (1 << 64) - 1
 
 
-#: Words whose hash a worker remembers, for all operators together; beyond it the memory starts anew.
-WORD_CACHE = 1 << 18
+#: Bytes hashed at once; a longer word is hashed whole all the same.
+HASH_BYTES = 1 << 20
+SPACES = bytes([0x20, *range(0x09, 0x0E)])
+_PRIME = 0x9E3779B97F4A7C15
+#: Bytes to what is summed: A-Z as a-z, white space as 0. And bytes to 1 where they are white space.
+_LETTERS = bytes(0 if c in SPACES else ord(chr(c).lower()) if c < 128 else c for c in range(256))
+_IS_SPACE = bytes(c in SPACES for c in range(256))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_PRIME to the powers 0..n-1 modulo 2^64, and their inverses."""
 
+    def of(base: int) -> np.ndarray:
+        out = np.full(n, base, np.uint64)
+        out[:1] = 1
+        return np.multiply.accumulate(out)
 
-_word_hashes = _WordHashes()
+    return of(_PRIME), of(pow(_PRIME, -1, 1 << 64))
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words."""
-    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+def hash_words(raw: bytes, strip: bytes = b"") -> np.ndarray:
+    """64-bit hashes of the words of ``raw`` in order: split at ASCII white space, A-Z as a-z.
+
+    Bytes in ``strip`` at either end of a word are left out, if anything is left then. A word's hash is a
+    polynomial in its bytes, so all words come from one running sum.
+    """
+    if len(raw) <= HASH_BYTES:
+        return _hash_block(raw, strip)
+    out, at = [], 0
+    while at < len(raw):
+        end = min(at + HASH_BYTES, len(raw))
+        while end < len(raw) and raw[end] not in SPACES:
+            end += 1
+        out.append(_hash_block(raw[at:end], strip))
+        at = end
+    return np.concatenate(out)
+
+
+def _hash_block(raw: bytes, strip: bytes) -> np.ndarray:
+    raw = b" %b " % raw
+    space = np.frombuffer(raw.translate(_IS_SPACE), bool)
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    if strip:
+        core = np.frombuffer(raw.translate(_trim(strip)), bool)
+        at, before = np.flatnonzero(core), np.r_[0, np.cumsum(core)]
+        some = before[end] > before[start]
+        start, end = start.copy(), end.copy()
+        start[some], end[some] = at[before[start[some]]], at[before[end[some]] - 1] + 1
+    power, inverse = _powers(max(HASH_BYTES + 2, len(raw)))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(np.frombuffer(raw.translate(_LETTERS), np.uint8) * power[: len(raw)], out=sums[1:])
+    return mix64((sums[end] - sums[start]) * inverse[start])
+
+
+@lru_cache
+def _trim(strip: bytes) -> bytes:
+    return bytes(c not in strip and c not in SPACES for c in range(256))
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -110,12 +151,17 @@ def sum_slices(df: DataFrame, dtype: str = "<i8", most: int | None = None) -> Da
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
-    """Finaliser of splitmix64 on an array of uint64."""
-    with np.errstate(over="ignore"):
-        x = x + np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+    """Finaliser of splitmix64 on an array of uint64 (arrays wrap around without a warning)."""
+    x = x + _MIX[0]
+    x ^= x >> _MIX[1]
+    x *= _MIX[2]
+    x ^= x >> _MIX[3]
+    x *= _MIX[4]
+    x ^= x >> _MIX[5]
+    return x
+
+
+_MIX = [np.uint64(v) for v in (0x9E3779B97F4A7C15, 30, 0xBF58476D1CE4E5B9, 27, 0x94D049BB133111EB, 31)]
 
 
 def uniform(bits: np.ndarray) -> np.ndarray:
