@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm.graph import connected_components
-from loglattice.llm.runtime import hash_words, materialize, mix64, sum_slices
+from loglattice.llm.runtime import gather, hash_words, materialize, mix64, sum_slices
 
 #: The frequency sketch: 2^24 counters of one byte that stay at 255.
 SKETCH_BITS = 24
@@ -83,7 +83,7 @@ def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
 
     parts = sum_slices(docs.select("text").mapInArrow(count, "slice int, counts binary"), "u1", 255)
     out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
-    for row in parts.collect():
+    for row in gather(parts):
         out[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
     return out.reshape(-1)
 

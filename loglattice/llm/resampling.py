@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.runtime import hash_words, materialize, mix64, sum_slices, uniform
+from loglattice.llm.runtime import gather, hash_words, materialize, mix64, sum_slices, uniform
 
 #: Half of the buckets are for words, half for word pairs.
 BUCKETS = 1 << 20
@@ -70,14 +70,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
             yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "counts": pa.array([part.astype("<i8").tobytes()], pa.binary())})
 
     sums = np.zeros((2, SLICES, BUCKETS // SLICES))
-    for row in sum_slices(docs.select("doc_id", "text").mapInArrow(count, "slice int, counts binary")).collect():  # 2 * BUCKETS numbers
+    for row in gather(sum_slices(docs.select("doc_id", "text").mapInArrow(count, "slice int, counts binary"))):  # 2 * BUCKETS numbers
         sums[:, row["slice"]] = np.frombuffer(row["counts"], "<i8").reshape(2, -1)
     raw, good = sums.reshape(2, BUCKETS)
     # The target model is the raw model updated by the labelled text: a bucket that it says little of has a ratio near 1.
     ratio = np.log((good + PRIOR) / (raw * (good.sum() / max(raw.sum(), 1)) + PRIOR))
     ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - SHRINK)
     known = score(docs.where(_marked(spark.sparkContext.broadcast(held_out))(F.col("doc_id"))), ratio, 0.0).where("n_grams > 0").select("doc_id", (F.col("log_weight") / F.col("n_grams")).alias("mean"))
-    rows = known.collect()  # a row for each held-out label
+    rows = gather(known)  # a row for each held-out label
     x = np.array([r["mean"] for r in rows])
     y = np.array([marks[r["doc_id"]] for r in rows], bool)
     return ratio, _threshold(x, y)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,7 @@ MASK64 = (1 << 64) - 1
 
 #: Bytes hashed at once; a longer word is hashed whole all the same.
 HASH_BYTES = 1 << 20
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _PRIME = 0x9E3779B97F4A7C15
 #: Bytes to what is summed: A-Z as a-z, white space as 0. And bytes to 1 where they are white space.
@@ -90,11 +92,31 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/llm/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Within it, batches between Spark and Python are of few rows and bytes, in both memories; the session's own sizes return."""
+    before = {key: spark.conf.get(key, None) for key in BATCHES}
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def gather(df: DataFrame) -> list:
+    """The rows of a table whose size is fixed, whatever the input."""
+    with small_batches(df.sparkSession):
+        return df.collect()
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
