@@ -151,25 +151,30 @@ def sum_slices(df: DataFrame, dtype: str = "<i8", most: int | None = None) -> Da
     """Sum equal-length count vectors: rows (slice int, counts binary) to one row a slice.
 
     Each slice has a fixed number of counters, one row comes from each task, and a group is summed row by
-    row, so memory stays at a few rows whatever the number of tasks. Counters stay at ``most`` if it is given.
+    row, so memory stays at a few rows whatever the number of tasks. Counters stay at ``most`` if it is given;
+    otherwise the sums are 64 bits wide ("<i8"), whatever ``dtype`` the rows come in.
     """
 
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for k, blob in zip(pdf["slice"], pdf["counts"], strict=True):
-                got = np.frombuffer(blob, dtype)
-                if k not in sums:
-                    sums[k] = got.copy()
-                elif most is None:
-                    sums[k] += got
-                else:
-                    sums[k] = np.minimum(most, sums[k].astype(np.int64) + got).astype(dtype)
-        yield pd.DataFrame({"slice": list(sums), "counts": [v.tobytes() for v in sums.values()]})
-
+    def adder(taken: str, kept: str):
+        def add(batches):
+            sums: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                for k, blob in zip(pdf["slice"], pdf["counts"], strict=True):
+                    got = np.frombuffer(blob, taken)
+                    if k not in sums:
+                        sums[k] = got.astype(kept)
+                    elif most is None:
+                        sums[k] += got
+                    else:
+                        sums[k] = np.minimum(most, sums[k].astype(np.int64) + got).astype(kept)
+            yield pd.DataFrame({"slice": list(sums), "counts": [v.tobytes() for v in sums.values()]})
+
+        return add
+
+    kept = "<i8" if most is None else dtype
     # Salted first so that one slice of many tasks is combined in several places.
-    salted = df.withColumn("salt", F.spark_partition_id() % 8).repartition("slice", "salt").mapInPandas(add, "slice int, counts binary")
-    return salted.repartition("slice").mapInPandas(add, "slice int, counts binary")
+    salted = df.withColumn("salt", F.spark_partition_id() % 8).repartition("slice", "salt").mapInPandas(adder(dtype, kept), "slice int, counts binary")
+    return salted.repartition("slice").mapInPandas(adder(kept, kept), "slice int, counts binary")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
