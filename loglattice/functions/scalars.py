@@ -43,3 +43,57 @@ def share(part: Column, rest: Column) -> Column:
 
 def basename(uri: Column) -> Column:
     return F.regexp_extract(uri, r"([^/]*)/*$", 1)
+
+
+#: Model names to providers (fixed values).
+PROVIDERS = [("openai", r"^(gpt|o1|o3|o4|text-|davinci)"), ("anthropic", r"^claude"), ("google", r"^gemini")]
+
+
+def provider_of(model: Column) -> Column:
+    """The provider that a model's name tells; empty if it tells none."""
+    out = F.lit("")
+    for name, pattern in reversed(PROVIDERS):
+        out = F.when(F.lower(model).rlike(pattern), name).otherwise(out)
+    return out
+
+
+def duration_minutes(spec: Column) -> Column:
+    """Minutes of 90, 90m, 2h or 1h30m; NULL for anything else and for nothing."""
+    hours, minutes = (F.try_to_number(F.nullif(F.regexp_extract(spec, p, 1), F.lit("")), F.lit("999999999")) for p in (r"^\s*(\d+)h", r"(\d+)m?\s*$"))
+    total = F.coalesce(hours, F.lit(0)) * 60 + F.coalesce(minutes, F.lit(0))
+    return F.when(spec.rlike(r"^\s*(\d+h)?(\d+m?)?\s*$") & (total > 0), total.cast("long"))
+
+
+def rename_target(path: Column) -> Column:
+    """The destination of a rename as numstat writes it: ``d/{a => b}/f`` or ``a => b``; other paths stay."""
+    braces = F.regexp_replace(F.regexp_replace(path, r"\{[^{}]* => ([^{}]*)\}", "$1"), "//+", "/")
+    return F.when(path.rlike(r"\{[^{}]* => [^{}]*\}"), braces).when(path.contains(" => "), F.substring_index(path, " => ", -1)).otherwise(path)
+
+
+def strip_ansi(text: Column) -> Column:
+    return F.regexp_replace(text, "\x1b\\[[0-9;?]*[ -/]*[@-~]", "")
+
+
+def confidence(rank: Column, corroborated: Column) -> Column:
+    """Of a method's rank (0 to 2), and more where another method agrees; 1 at most."""
+    return F.round(F.least(F.lit(1.0), (rank + 1) / 3 + F.when(corroborated, 0.2).otherwise(0.0)), 4)
+
+
+def label(name: Column, session: Column) -> Column:
+    return F.coalesce(F.nullif(name, F.lit("")), F.nullif(session, F.lit("")), F.lit("(no session)"))
+
+
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
+
+
+def topic_score(terms: Column, asked: list[str]) -> Column:
+    """Three for each asked word among the terms, two for one of four letters or more that begins a term."""
+
+    def begins(q: str) -> Column:
+        return F.exists(terms, lambda t: t.startswith(q)) if len(q) >= 4 else F.lit(False)
+
+    total = F.lit(0)
+    for q in asked:
+        total = total + F.when(F.array_contains(terms, q), 3).when(begins(q), 2).otherwise(0)
+    return total

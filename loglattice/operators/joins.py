@@ -24,23 +24,51 @@ def union_first_wins(first: DataFrame, second: DataFrame, key: str) -> DataFrame
     return first.unionByName(second.join(ids, key, "left_anti"), allowMissingColumns=True)
 
 
+def _day(at: str):
+    return F.date_trunc("day", F.col(at).cast("timestamp")).alias("_day")
+
+
 def windows_of(commits: DataFrame, at: str = "ts", key: str = "sha", by: tuple[str, ...] = ()) -> DataFrame:
-    """(lo, hi] of each commit: since the one before, ties by key. Partitioned by ``by`` where a log has several repositories."""
-    w = Window.partitionBy(*by).orderBy(at, key)
-    return commits.withColumn("lo", F.lag(at).over(w)).withColumnRenamed(at, "hi")
+    """(lo, hi] of each commit: since the one before, ties by key. ``by``: the repositories of a log.
+
+    Worked out day by day; only the last commit of each day is carried on, so no task holds a whole log.
+    """
+    rows = commits.select("*", _day(at))
+    last = rows.groupBy(*by, "_day").agg(F.max(at).alias("_last"))
+    carried = last.select(*by, "_day", F.lag("_last").over(Window.partitionBy(*by).orderBy("_day")).alias("_before"))  # one row a day
+    lo = F.lag(at).over(Window.partitionBy(*by, "_day").orderBy(at, key))
+    out = rows.withColumn("lo", lo).join(carried, [*by, "_day"])
+    return out.withColumn("lo", F.coalesce("lo", "_before")).drop("_before", "_day").withColumnRenamed(at, "hi")
 
 
 def interval_join(events: DataFrame, windows: DataFrame, at: str = "ts", key: str = "sha", by: tuple[str, ...] = ()) -> DataFrame:
-    """Add the commit whose window (lo, hi] holds each event: the first one at or after it.
+    """Add the commit whose window (lo, hi] holds each event: the first one at or after it; none for an event without a time.
 
-    Events and window ends are merged in order of time and the next end is looked up backwards, which is one sort of
-    each partition of ``by``, where a range join would compare all with all.
+    Events and window ends of a day are merged in order of time and the next end is looked up backwards, which is one
+    sort of each day, where a range join would compare all with all. Events after a day's last end belong to the
+    first end of a later day; those are as many rows as there are days.
     """
     ends = windows.select(*by, F.col("hi").alias(at), F.col(key).alias("_sha"), F.lit(1).alias("_end"))
-    both = events.withColumn("_end", F.lit(0)).unionByName(ends, allowMissingColumns=True)
+    both = events.withColumn("_end", F.lit(0)).unionByName(ends, allowMissingColumns=True).select("*", _day(at))
     # Of several ends at one time the smallest key owns it.
-    w = Window.partitionBy(*by).orderBy(F.col(at), F.col("_end"), F.col("_sha")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return both.withColumn(key, F.first("_sha", ignorenulls=True).over(w)).where("_end = 0").drop("_end", "_sha")
+    w = Window.partitionBy(*by, "_day").orderBy(F.col(at), F.col("_end"), F.col("_sha")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    firsts = both.groupBy(*by, "_day").agg(F.min_by("_sha", F.when(F.col("_end") == 1, F.struct(at, "_sha"))).alias("_first"))
+    later = Window.partitionBy(*by).orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
+    carried = firsts.where("_day is not null").select(*by, "_day", F.first("_first", ignorenulls=True).over(later).alias("_next"))
+    found = both.withColumn(key, F.first("_sha", ignorenulls=True).over(w)).where("_end = 0").join(carried, [*by, "_day"], "left")
+    return found.withColumn(key, F.when(F.col(at).isNotNull(), F.coalesce(key, "_next"))).drop("_end", "_sha", "_day", "_next")
+
+
+def containment_join(events: DataFrame, spans: DataFrame, key: str, by: str, at: str, task: str) -> DataFrame:
+    """Adds ``task``: the smallest one of the same ``by`` whose span lo..hi holds the event, both ends included; else NULL.
+    ``key`` names an event.
+
+    Spans are cut into days, so an event meets only those of its own day.
+    """
+    days = F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).alias("_day")
+    cut = spans.where("lo <= hi").select(by, task, "lo", "hi", days)
+    met = events.select(key, by, F.to_date(at).alias("_day"), F.col(at).alias("_at")).join(cut, [by, "_day"]).where("_at between lo and hi")
+    return events.join(met.groupBy(key).agg(F.min(task).alias(task)), key, "left")
 
 
 def prefix_match(probes: DataFrame, candidates: DataFrame, probe: str, full: str, least: int = 4) -> DataFrame:

@@ -1 +1,3 @@
+"""Query registry."""
 
+from loglattice.plans import registry, views  # noqa: F401
