@@ -3,8 +3,9 @@
 Detection is a set of patterns with checks; replacement is a keyed permutation of each entity's own format, so
 two entities never share a surrogate (distinctness) and one entity has the same surrogate everywhere
 (coreference), in every document and on every executor, without a lookup table. Names are permuted within
-their pool of the same gender and script. A surrogate that would equal another entity of the same document
-is checked for and reported, and moved on along the permutation's cycle.
+their pool of the same gender and script. A surrogate that would equal another entity of the same document, or
+its surrogate, is reported and moved on along the permutation's cycle to a free value. If the document holds
+the whole cycle (all names of two letters, say), the surrogate is longer than the original.
 """
 
 from __future__ import annotations
@@ -67,17 +68,27 @@ def _digits(n: int, radices: list[int]) -> list[int]:
 
 
 def permute(digits: list[int], radices: list[int], key: bytes, rounds: int = 6) -> list[int]:
-    """A keyed permutation of all digit strings over the radices: a Feistel network over two halves."""
+    """The next of all digit strings over the radices on one keyed cycle, so that none stays and no two meet.
+
+    A Feistel network over two halves gives a string its place on the cycle, and its inverse the string of the next place.
+    """
     mid = len(digits) // 2
     (ra, rb), (a, b) = (radices[:mid], radices[mid:]), (_number(digits[:mid], radices[:mid]), _number(digits[mid:], radices[mid:]))
     na, nb = _size(ra), _size(rb)
     if mid == 0:
-        return _digits((b + int.from_bytes(hashlib.blake2b(key).digest(), "big") % (nb - 1) + 1) % nb if nb > 1 else b, rb)
+        ranked = sorted(range(nb), key=lambda n: hashlib.blake2b(b"%d" % n, key=key).digest())
+        return _digits(ranked[(ranked.index(b) + 1) % nb], rb)
     for k in range(rounds):
         if k % 2:
             a = (a + _round(key, k, b, na)) % na
         else:
             b = (b + _round(key, k, a, nb)) % nb
+    a, b = divmod((a * nb + b + 1) % (na * nb), nb)
+    for k in reversed(range(rounds)):
+        if k % 2:
+            a = (a - _round(key, k, b, na)) % na
+        else:
+            b = (b - _round(key, k, a, nb)) % nb
     return _digits(a, ra) + _digits(b, rb)
 
 
@@ -148,10 +159,12 @@ def _card(v: str, key: bytes) -> str:
 
 
 def _iban(v: str, key: bytes) -> str:
+    """Check digits stay as far from the right ones as they were: right ones stay right, and no two numbers meet."""
     at = [k for k, c in enumerate(v) if c != " "]
     flat = "".join(v[k] for k in at)
     rest = permute_text(flat[4:], key)
-    new = flat[:2] + iban_check(flat[:2], rest) + rest
+    check = (int(iban_check(flat[:2], rest)) + int(flat[2:4]) - int(iban_check(flat[:2], flat[4:]))) % 100
+    new = f"{flat[:2]}{check:02d}{rest}"
     out = list(v)
     for k, c in zip(at, new, strict=True):
         out[k] = c
@@ -208,12 +221,52 @@ def _typed_key(key: bytes, kind: str) -> bytes:
 
 @lru_cache(1 << 16)
 def surrogate(kind: str, value: str, key: bytes) -> str:
-    """A value of the same type and format, never the value itself unless its format has a single member."""
+    """A value of the same type and format, never the value itself unless its format has a single member.
+
+    Values of one type have different surrogates.
+    """
     make, k = SURROGATES[kind], _typed_key(key, kind)
     shape = "".join("0aA"[_class_of[c]] if c in _class_of else c for c in value) if kind in ("email", "secret") else ""
     k = _typed_key(k, shape) if shape else k
-    got = make(value, k)
-    return got if got != value else make(value, _typed_key(k, "again"))
+    return make(value, k)
+
+
+def longer(kind: str, value: str, key: bytes, n: int) -> str:
+    """The n-th keyed surrogate that is longer than the value; only names and e-mail addresses have so few members."""
+    k = _typed_key(key, f"longer {n} {kind} {value}")
+    drawn = hashlib.blake2b(b"letters", key=k).digest()
+    if kind == "email":
+        local, _, host = _email(value, k).partition("@")
+        return "".join("abcdefghijklmnopqrstuvwxyz"[d % 26] for d in drawn[: min(64, len(local) + 1 + n // 8)]) + "@" + host
+    head, _, last = _name(value, k).rpartition(" ")
+    letters = "абвгдежзиклмнопрстуфхцчшщэюя" if re.search("[А-ЯЁа-яё]", last) else "abcdefghijklmnopqrstuvwxyz"
+    return f"{head} " + "".join(letters[d % len(letters)] for d in drawn[: min(64, len(last) + 1 + n // 8)]).capitalize()
+
+
+def assign(values: dict[tuple[str, str], None], key: bytes) -> dict[tuple[str, str], tuple[str, bool]]:
+    """(surrogate, moved) of each (type, value) of a text: no surrogate is a value of the text or another's surrogate."""
+    got: dict[tuple[str, str], tuple[str, bool]] = {}
+    used = {value for _, value in values}
+    late, ahead = [], {}
+    for kind, value in values:
+        new = surrogate(kind, value, key)
+        if new in used:
+            late.append((kind, value, new))
+        else:
+            used.add(new)
+            got[kind, value] = new, False
+    for kind, value, first in late:
+        new, seen = first, set()
+        while new in used and new not in seen:
+            seen.add(new)
+            new = ahead.get((kind, new)) or surrogate(kind, new, key)
+        ahead |= {(kind, x): new for x in seen}  # all between is used, and no value becomes free again
+        n = 0
+        while new in used:  # the whole cycle is in this text
+            new, n = longer(kind, value, key, n), n + 1
+        used.add(new)
+        got[kind, value] = new, True
+    return got
 
 
 def detect(text: str) -> list[tuple[str, int, int]]:
@@ -227,17 +280,10 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[dict]]:
     found = detect(text)
     if not found:
         return text, []
-    originals = {text[a:b] for _, a, b in found}
+    surrogates = assign(dict.fromkeys((kind, text[a:b]) for kind, a, b in found), key)
     out, at, entities = [], 0, []
     for kind, a, b in found:
-        value = text[a:b]
-        new, moved = surrogate(kind, value, key), False
-        while new in originals and new != value and len(entities) < 1 << 20:
-            # It names someone else here: go on along the cycle, which stays one-to-one.
-            again = surrogate(kind, new, key)
-            moved, new = True, again
-            if again == value:
-                break
+        new, moved = surrogates[kind, text[a:b]]
         entities.append({"type": kind, "start": a, "end": b, "surrogate": new, "moved": moved})
         out += [text[at:a], new]
         at = b

@@ -155,3 +155,28 @@ def test_replacing_keeps_coreference_and_other_text(spark):
     for e in got[1].pii:
         assert text[e.start : e.end] not in got[1].text
     assert got[1].text.startswith("Mr. ") and "Mrs. " in got[1].text and F is not None
+
+
+def test_short_names_stay_apart_and_none_stays():
+    key = hashlib.blake2b(b"k", digest_size=32).digest()
+    names = [f"Mr. {c}{v}" for c in "BCDFGHJKLMNPQRSTVWXYZ" for v in "aeiou"]
+    cycle = ["Mr. Bo"]
+    while (then := pii.surrogate("name", cycle[-1], key)) != cycle[0]:
+        cycle.append(then)
+    assert set(cycle) == set(names)  # one cycle over the whole format
+    some = ["x@e.org", "y@e.org", "DE00370400440532013000", "DE89370400440532013000", "Mr. Éé"]
+    for values in (cycle[:2], cycle[::-1][:60], cycle, some):
+        new, found = pii.pseudonymise("; ".join([*values, *values]), key)
+        of = dict(zip([*values, *values], [e["surrogate"] for e in found], strict=True))
+        assert [of[v] for v in values * 2] == [e["surrogate"] for e in found] == new.split("; ")
+        assert len(set(of.values())) == len(values) and not set(of.values()) & set(values)
+    addresses = [f"{a}@example.com" for a in "abcdefghijklmnopqrstuvwxyz"]
+    new = pii.pseudonymise(" ".join(addresses), key)[0].split(" ")
+    assert len(set(new)) == 26 and not set(new) & set(addresses) and all(pii.detect(n) for n in new)
+
+
+def test_a_swap_of_two_entities_is_not_undone(monkeypatch):
+    swap = {"Mr. Bo": "Mr. Li", "Mr. Li": "Mr. Bo"}
+    monkeypatch.setattr(pii, "surrogate", lambda kind, value, key: swap[value])
+    new = pii.pseudonymise("Mr. Bo, Mr. Li", b"k" * 32)[0].split(", ")
+    assert len(set(new)) == 2 and not set(new) & set(swap)
