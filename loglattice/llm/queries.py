@@ -20,7 +20,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = scratch(spark, "token-store")
-    token_store.write_token_store(_docs(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    token_store.write_token_store(_docs(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), special=True)
     return token_store.read_token_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -36,25 +36,35 @@ def _byte_letters() -> dict[int, str]:
 class Encoder(dict):
     """Text to little-endian uint32 ids.
 
-    A space before visible text always starts a new pre-token, so a text without double spaces is encoded
-    unit by unit (a unit: text between single spaces, with the space in front), and units repeat: each
-    is encoded once per worker and then looked up.
+    A space before visible text always starts a new pre-token, so a text is encoded unit by unit (a unit ends
+    before such a space), and units repeat: each is encoded once per worker and then looked up. A unit with
+    white space besides a space in front, and a text with an added token, are encoded by the library as they
+    are. With ``special`` an added token in a text has its own id, as in the library unless it is told otherwise.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, special: bool = False):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.model = Tokenizer.from_file(tokenizer_file).model
+        self.whole = Tokenizer.from_file(tokenizer_file)
+        self.whole.encode_special_tokens = not special
+        self.added = regex.compile("|".join(regex.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or "(?!)").search
+        self.spaces = regex.compile(r"\s").search
+        self.twice = regex.compile(r" (?=\s|\Z)").search
+        self.cut = regex.compile(r"(?= \S)").split
+        self.model = self.whole.model
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = {b: c for b, c in _byte_letters().items()}
 
     def __missing__(self, unit: str) -> bytes:
         ids: list[int] = []
-        for piece in self.pieces(unit):
-            ids += [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        if self.spaces(unit, 1):
+            ids = self.whole.encode(unit, add_special_tokens=False).ids
+        else:
+            for piece in self.pieces(unit):
+                ids += [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
         out = array.array("I", ids).tobytes()
         if len(self) >= CACHE_PIECES:
             self.clear()
@@ -63,19 +73,21 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str) -> bytes:
+        if self.added(text):
+            return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.twice(text):
+            return b"".join(map(self.__getitem__, self.cut(text)))
         first, *rest = text.split(" ")
-        if not first or not all(rest):  # leading, trailing or double spaces
-            return b"".join(map(self.__getitem__, self.pieces(text)))
         return self[first] + b"".join(map(self.__getitem__, map(" ".__add__, rest)))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(tokenizer_file: str) -> Encoder:
-    if tokenizer_file not in _encoders:
-        _encoders[tokenizer_file] = Encoder(tokenizer_file)
-    return _encoders[tokenizer_file]
+def encoder(tokenizer_file: str, special: bool = False) -> Encoder:
+    if (tokenizer_file, special) not in _encoders:
+        _encoders[tokenizer_file, special] = Encoder(tokenizer_file, special)
+    return _encoders[tokenizer_file, special]
 
 
 def shuffle_planes(ids: np.ndarray, mode: str, block: int = BLOCK_IDS) -> tuple[bytes, list[int]]:
@@ -105,14 +117,15 @@ def unshuffle_planes(payload: bytes, sizes: list[int], n_ids: int, mode: str, bl
     return out
 
 
-def write_token_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0, mode: str = "byte", id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0, mode: str = "byte", id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> None:
     """Encode every whole text (null: empty), append ``end_id`` and write the store in ascending id order.
 
-    Rows of one id are ordered by text; null ids come first. An empty table gives an empty store.
+    Rows of one id are ordered by text; null ids come first. An empty table gives an empty store. With
+    ``special`` an added token in a text has its own id, otherwise it is text like any other.
     """
 
     def encode(batches):
-        enc, shard = encoder(tokenizer_file), _partition()
+        enc, shard = encoder(tokenizer_file, special), _partition()
         end = np.array([end_id], "<u4").tobytes()
         ids, lens, blobs, held, chunk, offset = [], [], [], 0, 0, 0
 

@@ -180,3 +180,22 @@ def test_a_swap_of_two_entities_is_not_undone(monkeypatch):
     monkeypatch.setattr(pii, "surrogate", lambda kind, value, key: swap[value])
     new = pii.pseudonymise("Mr. Bo, Mr. Li", b"k" * 32)[0].split(", ")
     assert len(set(new)) == 2 and not set(new) & set(swap)
+
+
+@pytest.mark.parametrize("special", [False, True])
+def test_units_equal_the_library(bpe, special):
+    import itertools
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe)
+    t.encode_special_tokens = not special
+    enc = token_store.Encoder(bpe, special)
+    texts = ["a<|endoftext|> b", "a \xa0 \xa0", "a\n <|endoftext|> \n<|endoftext|>", "a <|endoftext|  b"]
+    texts += ["".join(c) for n in range(1, 6) for c in itertools.product("a \xa0\n'\x1c\x85", repeat=n)]
+    texts += [f"a {c} {c}b  {c}" for c in "\u180e\u200b\ufeff\u2003\u3000\u2028\x1f\x0b\x0c\t"]
+    for x in texts:
+        assert np.frombuffer(enc.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+    if special:
+        assert np.frombuffer(enc.encode(texts[0]), "<u4").tolist() == [64, 50256, 275]
+    assert np.frombuffer(enc.encode(texts[1]), "<u4").tolist() == [64, 11504]
