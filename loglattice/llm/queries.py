@@ -46,7 +46,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_chats(chat.text_parts(rows.unionByName(extra))))
+    return chat.read_back(chat.format_chats(chat.text_parts(rows.unionByName(extra))), ordered=True)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

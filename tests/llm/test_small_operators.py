@@ -199,3 +199,23 @@ def test_units_equal_the_library(bpe, special):
     if special:
         assert np.frombuffer(enc.encode(texts[0]), "<u4").tolist() == [64, 50256, 275]
     assert np.frombuffer(enc.encode(texts[1]), "<u4").tolist() == [64, 11504]
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_long_conversations_are_written_in_pieces(spark, ordered):
+    n, text = 500, "<é\\" * 7000
+    odd = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.col("id").cast("string"), F.lit(text)).alias("text"))
+    few = odd.where("turn < 2").withColumn("conv_id", F.lit(None).cast("long")).union(odd.where("turn < 3").withColumn("conv_id", F.lit(2)))
+    rows = chat.text_parts(odd.union(few).repartition(5))
+    image = F.array_append("parts", F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("r").alias("ref"), F.lit(14).alias("width"), F.lit(14).alias("height"), F.lit(None).cast("double").alias("seconds"), F.lit(None).cast("int").alias("pages")))
+    done = chat.format_chats(rows.withColumn("parts", image))
+    pieces = done.where("conv_id = 1").orderBy("piece").collect()
+    assert len(pieces) > 5 and max(len(p.formatted) for p in pieces) < 3 * chat.PIECE_CHARS
+    assert [p.piece for p in pieces] == list(range(len(pieces))) and [a.ordinal for p in pieces for a in p.attachments] == list(range(n))
+    turns = [("assistant" if k % 2 else "user", f"{k}{text}<|image {k}|>") for k in range(n)]
+    whole = "".join(p.formatted for p in pieces)
+    assert all(whole[s.start : s.end] == chat.escape(f"{k}{text}") + f"<|image {k}|>" for k, s in zip(range(1, n, 2), [s for p in pieces for s in p.loss_spans], strict=True))
+    got = {r.conv_id: r for r in chat.read_back(done, ordered=ordered).collect()}
+    assert len(got) == 3 and [got[k].n_turns for k in (None, 1, 2)] == [2, n, 3]
+    assert got[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert (got[1].n_attachments, got[1].media_tokens, got[1].formatted_chars) == (n, n, len(whole))
