@@ -16,10 +16,11 @@ CLAUDE = """type string, uuid string, requestId string, sessionId string, isSide
  message struct<id string, model string, content string, usage struct<input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint, cache_creation_input_tokens bigint>>"""
 CLAUDE_BLOCK = "array<struct<type string, name string, id string, tool_use_id string, input string, content string>>"
 COPILOT_EVENT = "type string, timestamp string, data string"
-COPILOT_SHUTDOWN = """totalPremiumRequests bigint, totalNanoAiu bigint,
+COPILOT_SHUTDOWN = """totalPremiumRequests double, totalNanoAiu double,
  modelMetrics map<string, struct<usage struct<inputTokens bigint, outputTokens bigint, cacheReadTokens bigint, cacheWriteTokens bigint>>>"""
 VSCODE_PATCH = "kind int, k array<string>, v string"
-VSCODE_REQUEST = "requestId string, timestamp bigint, modelId string, agent struct<extensionId string>, promptTokens bigint, completionTokens bigint, copilotCredits double"
+VSCODE_REQUEST = """requestId: string, timestamp: bigint, modelId: string, agent: struct<extensionId: string>, promptTokens: bigint, completionTokens: bigint, copilotCredits: double,
+ sessionCopilotCredits: double, elapsedMs: bigint, timeSpentWaiting: bigint, modelTotals: array<struct<model: string, modelId: string, inputTokens: bigint, cachedTokens: bigint, outputTokens: bigint>>"""
 SIDECAR = "turnId string, ts string, model string, inputTokens bigint, outputTokens bigint, cacheReadTokens bigint, totalNanoAiu bigint"
 #: All that may be read of a debug log: its other fields are content.
 DEBUG_LOG = "type string, ts string, spanId string, attrs struct<model string, inputTokens bigint, outputTokens bigint, ttft double>"
@@ -76,7 +77,26 @@ def claude_chats(lines: DataFrame) -> DataFrame:
 
 def claude_names(lines: DataFrame) -> DataFrame:
     """(file, name): the last summary of each session file."""
-    return parsed(lines, CLAUDE).where("row.type = 'summary'").groupBy("file").agg(F.max_by("row.summary", "line_no").alias("name"))
+    return parsed(lines, CLAUDE).where("row.type = 'summary' and row.summary <> ''").groupBy("file").agg(F.max_by("row.summary", "line_no").alias("name"))
+
+
+def copilot_vscode_names(lines: DataFrame) -> DataFrame:
+    """(file, name): the last title that the user gave, else the first generated one, else empty."""
+    p = parsed(lines, VSCODE_PATCH)
+    custom = F.when(F.col("row.k") == F.array(F.lit("customTitle")), F.col("row.v")).when(F.col("row.kind") == 0, F.get_json_object("row.v", "$.customTitle"))
+    asked = F.when((F.col("row.kind") == 2) & (F.col("row.k") == F.array(F.lit("requests"))), F.from_json("row.v", "array<struct<response: array<string>>>"))
+    blocks = F.flatten(F.filter(F.transform(asked, lambda r: r["response"]), lambda r: r.isNotNull()))
+    titles = F.filter(F.transform(blocks, lambda b: F.get_json_object(b, "$.generatedTitle")), lambda t: t != "")
+    each = p.select("file", "line_no", F.nullif(custom, F.lit("")).alias("custom"), F.get(titles, 0).alias("generated"))
+    last, first = F.max_by("custom", F.when(F.col("custom").isNotNull(), F.col("line_no"))), F.min_by("generated", F.when(F.col("generated").isNotNull(), F.col("line_no")))
+    return each.groupBy("file").agg(F.coalesce(last, first, F.lit("")).alias("name"))
+
+
+def copilot_cli_names(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name): the ``name:`` of each workspace.yaml, without one pair of quotes; empty where there is none."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="workspace.yaml").select(F.col("_metadata.file_path").alias("file"), "value")
+    raw = F.trim(F.regexp_extract("value", r"(?m)^name:[^\S\n]*(.*)$", 1))
+    return files.select("file", F.trim(F.regexp_replace(raw, r"""^(['"])(.*)\1$""", "$2")).alias("name"))
 
 
 def claude_blocks(lines: DataFrame) -> DataFrame:
@@ -106,13 +126,27 @@ def claude_edits(lines: DataFrame) -> DataFrame:
 
 
 def copilot_cli_deltas(lines: DataFrame) -> DataFrame:
-    """Use of each model between two shutdowns of a session: its counters are cumulative, and a smaller one is a restart."""
+    """Use of each model between two shutdowns of a session: its counters are cumulative, and a smaller one is a restart.
+
+    What a shutdown bills is billed once: ``credits``, ``premium`` (whole requests) and ``nano_aiu`` stand on the model that
+    moved the most, and the others that moved name it in ``billed_with``. A shutdown without models that bills has a row of its own.
+    """
     rows = parsed(lines, COPILOT_EVENT).where("row.type = 'session.shutdown'").select("file", "line_no", F.col("row.timestamp").alias("ts"), F.from_json("row.data", COPILOT_SHUTDOWN).alias("d"))
-    each = rows.select("file", "line_no", S.normal_form(F.col("ts")).alias("ts"), F.explode("d.modelMetrics").alias("model", "m"))
-    out = each.select("file", "line_no", "ts", "model", *(F.coalesce(F.col("m.usage")[c], F.lit(0)).alias(n) for c, n in (("inputTokens", "tokens_in"), ("outputTokens", "tokens_out"), ("cacheReadTokens", "cached_in"))))
-    for c in ("tokens_in", "tokens_out", "cached_in"):
+    bills = rows.where("d.modelMetrics is not null").withColumn("total_credits", F.col("d.totalPremiumRequests")).withColumn("total_premium", F.floor("total_credits")).withColumn("total_nano_aiu", F.col("d.totalNanoAiu"))
+    for c in ("credits", "premium", "nano_aiu"):
+        bills = fold.delta_with_reset(bills, ["file"], "line_no", f"total_{c}", c)
+    each = bills.select("file", "line_no", S.normal_form(F.col("ts")).alias("ts"), "credits", "premium", "nano_aiu", F.explode_outer("d.modelMetrics").alias("model", "m"))
+    each = each.where("model is not null or credits <> 0 or nano_aiu <> 0").withColumn("model", F.coalesce("model", F.lit("copilot/unknown")))
+    counters = (("inputTokens", "tokens_in"), ("outputTokens", "tokens_out"), ("cacheReadTokens", "cached_in"), ("cacheWriteTokens", "cache_write"))
+    out = each.select("file", "line_no", "ts", "model", "credits", "premium", "nano_aiu", *(F.coalesce(F.col("m.usage")[c], F.lit(0)).alias(n) for c, n in counters))
+    for _, c in counters:
         out = fold.delta_with_reset(out, ["file", "model"], "line_no", c, f"{c}_delta")
-    return out
+    moved = (F.col("tokens_in_delta") != 0) | (F.col("tokens_out_delta") != 0)
+    out = largest_mover(out.withColumn("_size", F.struct(moved, "tokens_in_delta")), ["file", "line_no"], "_size", "model", "_carrier")
+    carries = F.col("model") == F.col("_carrier")
+    for c in ("credits", "premium", "nano_aiu"):
+        out = out.withColumn(f"_{c}", F.col(c)).withColumn(c, F.when(carries, F.col(c)))
+    return out.withColumn("billed_with", F.when(~carries & moved & F.col("_credits").isNotNull(), F.col("_carrier"))).drop("_size", "_carrier", "_credits", "_premium", "_nano_aiu")
 
 
 def copilot_cli_tool_runs(lines: DataFrame) -> DataFrame:
@@ -128,12 +162,19 @@ def copilot_vscode_requests(lines: DataFrame) -> DataFrame:
     p = parsed(lines, VSCODE_PATCH)
     first = p.where("row.kind = 0").select("file", "line_no", F.get_json_object("row.v", "$.requests").alias("v"))
     later = p.where("row.kind = 2 and row.k = array('requests')").select("file", "line_no", F.col("row.v").alias("v"))
-    each = first.unionByName(later).select("file", "line_no", F.posexplode(F.from_json("v", f"array<struct<{', '.join(c.replace(' ', ': ', 1) for c in VSCODE_REQUEST.split(', '))}>>")).alias("pos", "r"))
+    each = first.unionByName(later).select("file", "line_no", F.posexplode(F.from_json("v", f"array<struct<{VSCODE_REQUEST}>>")).alias("pos", "r"))
     each = each.select("file", "line_no", "pos", "r.*").where("requestId is not null and (agent.extensionId is null or lower(agent.extensionId) like '%copilot%')")
     last = fold.latest_per_key(each, ["file", "requestId"], ["line_no", "pos"])
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    totals = F.transform(
+        F.filter(F.coalesce("modelTotals", F.array().cast("array<struct<model: string, modelId: string, inputTokens: bigint, cachedTokens: bigint, outputTokens: bigint>>")), lambda t: t.isNotNull()),
+        lambda t: F.struct(F.coalesce(t["model"], t["modelId"], F.lit("")).alias("model"), zero(t["inputTokens"]).alias("tokens_in"), zero(t["cachedTokens"]).alias("cached_in"), zero(t["outputTokens"]).alias("tokens_out")),
+    )
     return last.select(
         "file", F.col("requestId").alias("request"), F.date_format(F.timestamp_millis("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"), F.col("modelId").alias("model"),
         S.provider_of(F.col("modelId")).alias("provider"), F.coalesce("promptTokens", F.lit(0)).alias("tokens_in"), F.coalesce("completionTokens", F.lit(0)).alias("tokens_out"), S.finite(F.col("copilotCredits")).alias("credits"),
+        S.finite(F.col("sessionCopilotCredits")).alias("session_credits"), F.col("elapsedMs").alias("elapsed_ms"), F.col("timeSpentWaiting").alias("waiting_ms"),
+        totals.alias("model_totals"), F.aggregate(totals, F.lit(0).cast("long"), lambda n, t: n + t["cached_in"]).alias("cached_in"),
     )
 
 

@@ -103,3 +103,32 @@ def test_a_stream_gives_what_the_table_gives(spark, tmp_path):
         q = view(stream).writeStream.format("memory").queryName(f"q_{name}").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
         q.awaitTermination(120)
         assert sorted(map(str, spark.table(f"q_{name}").collect())) == sorted(map(str, view(table).collect()))
+
+
+def test_copilot_cli_bills_once(spark, tmp_path):
+    def shutdown(credits, nano, **models):
+        return {"type": "session.shutdown", "timestamp": "2024-05-01T10:00:00Z", "data": {"totalPremiumRequests": credits, "totalNanoAiu": nano, "modelMetrics": {m: {"usage": {"inputTokens": n, "outputTokens": 1, "cacheWriteTokens": w}} for m, (n, w) in models.items()}}}
+
+    rows = [shutdown(2, 10, a=(15553, 7), b=(800, 0)), shutdown(2.33, 30, a=(15553, 9), b=(900, 0)), shutdown(3, 30), {"type": "session.shutdown", "data": {"modelMetrics": {"a": {"usage": {"inputTokens": 15554}}}}}, shutdown(0.5, 5, a=(1, 1), b=(1, 1))]
+    got = {(r["line_no"], r["model"]): r for r in T.copilot_cli_deltas(T.numbered_lines(spark, written(tmp_path, "b", rows))).collect()}
+    bill = lambda n, m: tuple(None if v is None else round(v, 6) if not isinstance(v, str) else v for v in (got[n, m][c] for c in ("credits", "premium", "nano_aiu", "billed_with", "cache_write_delta")))
+    assert bill(0, "a") == (2.0, 2, 10.0, None, 7) and bill(0, "b") == (None, None, None, "a", 0)
+    assert bill(1, "b") == (0.33, 0, 20.0, None, 0) and bill(1, "a") == (None, None, None, None, 2)
+    assert bill(2, "copilot/unknown")[:3] == (0.67, 1, 0.0) and bill(3, "a")[:4] == (None,) * 4
+    assert bill(4, "b")[:4] == (0.5, 0, 5.0, None) or bill(4, "a")[:4] == (0.5, 0, 5.0, None)
+    assert len(got) == 8
+
+
+def test_copilot_vscode_totals_and_names(spark, tmp_path):
+    totals = [{"model": "m", "inputTokens": 9, "cachedTokens": 4, "outputTokens": 2}, {"modelId": "n", "cachedTokens": 3}]
+    ask = {"kind": 2, "k": ["requests"], "v": [{"requestId": "q", "sessionCopilotCredits": 1.5, "elapsedMs": 70, "timeSpentWaiting": 6, "modelTotals": totals, "response": [{"x": 1}, {"generatedTitle": "made"}]}, {"requestId": "p", "response": [{"generatedTitle": "later"}]}]}
+    lines = T.numbered_lines(spark, written(tmp_path, "t", [ask]))
+    got = {r["request"]: r for r in T.copilot_vscode_requests(lines).collect()}
+    assert [got["q"][c] for c in ("session_credits", "elapsed_ms", "waiting_ms", "cached_in")] == [1.5, 70, 6, 7] and got["p"]["cached_in"] == 0
+    assert [tuple(t) for t in got["q"]["model_totals"]] == [("m", 9, 4, 2), ("n", 0, 3, 0)] and got["p"]["model_totals"] == []
+    titled = [{"kind": 0, "v": {"customTitle": "first"}}, {"kind": 1, "k": ["customTitle"], "v": "mine"}, {"kind": 1, "k": ["customTitle"], "v": ""}, ask]
+    assert [T.copilot_vscode_names(x).first()["name"] for x in (lines, T.numbered_lines(spark, written(tmp_path, "u", titled)), T.numbered_lines(spark, written(tmp_path, "e", [{"kind": 1, "k": ["x"], "v": "y"}])))] == ["made", "mine", ""]
+    for k, text in enumerate(["id: 1\nname: 'A b: c'\nuser_named: false\n", "name:\nother: x\n", "id: 2\n"]):
+        (tmp_path / f"w{k}").mkdir()
+        (tmp_path / f"w{k}" / "workspace.yaml").write_text(text)
+    assert [r["name"] for r in T.copilot_cli_names(spark, str(tmp_path)).orderBy("file").collect()] == ["A b: c", "", ""]
