@@ -60,11 +60,12 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three segmentations of each whole text: how many pieces, a digest of their ids, and the scores."""
+    """Three segmentations of each whole text: how many pieces, a digest of their ids and of the text that these decode to, and the scores."""
     import public_tokenizers
 
-    drawn = segmentation.sample_segmentations(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), k=3)
-    return drawn.select("doc_id", "rank", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "log_inclusion")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    drawn = segmentation.decode_segmentations(segmentation.sample_segmentations(_docs(spark, sf_dir), model, k=3), model)
+    return drawn.select("doc_id", "rank", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"), "log_prob", "perturbed", "log_inclusion")
 
 
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,7 +121,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def with_fields(schema: StructType, ddl: str) -> StructType:
-    """A copy of ``schema`` with more fields; a field of the same name is left to fail in Spark."""
+    """A copy of ``schema`` with more fields."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
