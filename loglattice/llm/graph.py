@@ -19,19 +19,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     work = materialize(edges.where("src <> dst").select("src", "dst"), "cc-edges")
     names = None
-    first = work
     while not work.isEmpty():
         both = work.select("src", "dst").unionByName(work.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
         hook = both.groupBy("src").agg(F.min(order("dst")).alias("m")).select(F.col("src").alias("node"), F.least(F.col("m"), order("src"))["id"].alias("up"))
         hook = materialize(hook, "cc-hooks")
-        names = hook if names is None else materialize(
-            names.join(hook.select(F.col("node").alias("up"), F.col("up").alias("next")), "up", "left").select("node", F.coalesce("next", "up").alias("up")), "cc-names"
-        )
-        renamed = work.join(hook.select(F.col("node").alias("src"), F.col("up").alias("a")), "src").join(hook.select(F.col("node").alias("dst"), F.col("up").alias("b")), "dst")
-        pairs = renamed.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-        work = materialize(pairs, "cc-edges")
+        if names is None:
+            names, spent = hook, None
+        else:
+            renamed = names.join(hook.select(F.col("node").alias("up"), F.col("up").alias("next")), "up", "left").select("node", F.coalesce("next", "up").alias("up"))
+            names, spent = materialize(renamed, "cc-names", (names,)), hook
+        moved = work.join(hook.select(F.col("node").alias("src"), F.col("up").alias("a")), "src").join(hook.select(F.col("node").alias("dst"), F.col("up").alias("b")), "dst")
+        pairs = moved.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+        work = materialize(pairs, "cc-edges", (work, spent))
     if names is None:
-        return first.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-    least = names.groupBy("up").agg(F.min("node").alias("component"))
-    return materialize(names.join(materialize(least, "cc-least"), "up").select("node", "component"), "cc-out")
+        return work.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    least = materialize(names.groupBy("up").agg(F.min("node").alias("component")), "cc-least")
+    return materialize(names.join(least, "up").select("node", "component"), "cc-out", (names, least, work))

@@ -5,15 +5,19 @@ threshold must share at least ``l`` of their first ``n - t + l`` shingles, ``t``
 partner can have. The first ``n - t + 1`` generate candidates; a document whose generators are expected to meet
 many others keeps a longer prefix and so demands more shared shingles before anything is verified.
 
-The order comes from a sketch of shingle frequencies over the whole corpus, of fixed size. It only has to be the
-same for all documents: a poor estimate costs time, never a link.
+The order comes from a sketch of shingle frequencies over the whole corpus; its counters are more on a larger corpus, and
+keep the logarithm of what they counted. It only has to be the same for all documents: a poor estimate costs time,
+never a link.
 
-Sets that are equal are one class and take part once, under their smallest document id. Shingles are 64-bit
-hashes. Documents that share an id are one vertex, linked as any of their texts is.
+Sets that are equal are one class and take part once, under their smallest document id. Candidates come from 64-bit
+hashes; what is linked is verified on the words themselves. Documents that share an id are one vertex, linked as any
+of their texts is.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,9 +28,12 @@ from pyspark.sql import functions as F
 from loglattice.llm.graph import connected_components
 from loglattice.llm.runtime import gather, hash_words, materialize, mix64, sum_slices
 
-#: The frequency sketch: 2^24 counters of one byte that stay at 255.
-SKETCH_BITS = 24
+#: Counters of the frequency sketch: about one for so many bytes of text, within these powers of two. A counter is
+#: two bytes in a task that counts, eight where the tasks are added up, and one (a logarithm) in what all tasks get.
+SKETCH_BYTES, SKETCH_BITS = 32, (16, 25)
 SLICES = 64
+#: One-byte counter to count: eight steps to a doubling.
+COUNT_OF = np.exp2(np.arange(256) / 8) - 1
 #: Groups up to this size give their pairs at once; larger ones go by pivots and blocks.
 SMALL = 8
 BLOCK = 1024
@@ -61,56 +68,70 @@ def pair_overlap(a, b, percent: int):
 
 
 def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """Saturating counts of hashed shingles over all documents. Goes to the driver: 2^24 bytes, whatever the input."""
+    """Logarithms of counts of hashed shingles over all documents, as COUNT_OF reads them. Goes to the driver: 2^25 bytes at most."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], (size // SKETCH_BYTES).bit_length()))
 
     def count(batches):
-        sums = np.zeros(1 << SKETCH_BITS, np.uint8)
+        sums = np.zeros(1 << bits, np.uint16)
         for batch in batches:
             held, size = [], 0
             for text in [*batch.column(0), None]:
                 if text is not None:
-                    held.append((shingles(text.as_py(), words) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+                    held.append((shingles(text.as_py(), words) >> np.uint64(64 - bits)).astype(np.int64))
                     size += len(held[-1])
                 if held and (text is None or size >= 1 << 20):
                     slots = np.sort(np.concatenate(held))
                     first = np.flatnonzero(np.diff(slots, prepend=-1))
                     at, n = slots[first], np.diff(first, append=len(slots))
-                    sums[at] = np.minimum(255, sums[at].astype(np.int64) + n)
+                    sums[at] = np.minimum(65535, sums[at].astype(np.int64) + n)
                     held, size = [], 0
         for k, part in enumerate(np.split(sums, SLICES)):
             if part.any():
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "counts": pa.array([part.astype("<u2").tobytes()], pa.binary())})
+
+    def logarithm(batches):
+        for pdf in batches:
+            pdf["counts"] = [np.minimum(255, np.rint(8 * np.log2(1.0 + np.frombuffer(c, "<i8")))).astype(np.uint8).tobytes() for c in pdf["counts"]]
+            yield pdf
 
-    parts = sum_slices(docs.select("text").mapInArrow(count, "slice int, counts binary"), "u1", 255)
-    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
+    parts = sum_slices(docs.select("text").mapInArrow(count, "slice int, counts binary"), "<u2").mapInPandas(logarithm, "slice int, counts binary")
+    out = np.zeros((SLICES, (1 << bits) // SLICES), np.uint8)
     for row in gather(parts):
         out[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
     return out.reshape(-1)
 
 
+def prefix_of(own: np.ndarray, sketch: np.ndarray, usual: float, percent: int) -> tuple[int, np.ndarray]:
+    """(how many generate candidates, the prefix in global order) of a sorted shingle set; ``usual``: a counter's mean count."""
+    n = len(own)
+    if not n:
+        return 0, own
+    t = least_overlap(n, percent)
+    est = sketch[(own >> np.uint64(65 - len(sketch).bit_length())).astype(np.int64)]
+    order = np.argsort(est, kind="stable")  # ties by hash
+    g = n - t + 1
+    cost = np.maximum(0.0, COUNT_OF[est[order[:g]]] - 2 * usual).sum()
+    l = int(min(t, 1 + round(g * min(1.0, np.log2(1 + cost) / 8))))  # noqa: E741
+    return g, own[order[: n - t + l]]
+
+
 def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, n, sig, gens, prefix): prefix holds little-endian hashes in global order, its first ``gens`` generate."""
     sketch = frequency_sketch(docs, words)
-    base = float(sketch[:: 1 << 8].mean()) + 1
+    usual = float(COUNT_OF[sketch[:: 1 << 8]].mean()) + 1
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
-        counts = shared.value
         for batch in batches:
             n_, sig, gens, prefix = [], [], [], []
             for text in batch.column(1):
                 own = sorted_set(shingles(text.as_py(), words))
-                n = len(own)
-                t = least_overlap(n, percent)
-                est = counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.argsort(est, kind="stable")  # ties by hash
-                g = n - t + 1 if n else 0
-                cost = np.maximum(0.0, est[order[:g]] - 2 * base).sum() if n else 0
-                l = int(min(t, 1 + round(g * min(1.0, np.log2(1 + cost) / 8)))) if n else 0  # noqa: E741
-                n_.append(n)
+                g, first = prefix_of(own, shared.value, usual, percent)
+                n_.append(len(own))
                 gens.append(g)
                 sig.append(xxhash.xxh3_128_digest(own.tobytes()))
-                prefix.append(own[order[: n - t + l]].astype("<u8").tobytes())
+                prefix.append(first.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_, pa.int32()), pa.array(sig, pa.binary()), pa.array(gens, pa.int32()), pa.array(prefix, pa.binary())], names=["doc_id", "n", "sig", "gens", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sig binary, gens int, prefix binary")
@@ -250,14 +271,48 @@ def _block_pairs(percent: int):
     return run
 
 
+def demanded(a: np.ndarray, b: np.ndarray, na: int, nb: int, percent: int) -> bool:
+    """Whether two prefixes share as much as any pair that meets the threshold: the longer they are, the more."""
+    o = pair_overlap(na, nb, percent)
+    return len(np.intersect1d(a, b, assume_unique=True)) >= min(len(a) - na, len(b) - nb) + o
+
+
+def _demand(percent: int):
+    def run(batches):
+        for batch in batches:
+            na, nb, pa_, pb = (batch.column(k).to_pylist() for k in range(2, 6))
+            keep = [demanded(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), m, n, percent) for p, q, m, n in zip(pa_, pb, na, nb, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def overlap_of_words(s: str | None, t: str | None, words: int) -> tuple[int, int, int]:
+    """(size of either shingle set, size of their intersection), by the words themselves."""
+    a, b = ((x or "").encode().lower().split() for x in (s, t))
+    if len(a) < words or len(b) < words:  # the whole sequence is the only shingle of a short text, and no other text has it
+        n = [min(1, len(x)) if len(x) < words else len(set(zip(*(x[k:] for k in range(words)), strict=False))) for x in (a, b)]
+        return n[0], n[1], int(bool(a) and a == b)
+    number = {w: k for k, w in enumerate(dict.fromkeys(chain(a, b)))}
+    ids = [np.fromiter(map(number.__getitem__, x), np.uint64, len(x)) for x in (a, b)]
+    bits = len(number).bit_length()
+    keys = [x[: len(x) - words + 1] for x in ids]
+    for k in range(1, words):
+        keys = [key << np.uint64(bits) | x[k : len(x) - words + 1 + k] for key, x in zip(keys, ids, strict=True)]
+        if (k + 2) * bits > 64 and k < words - 1:  # the next word would not fit: ranks take the keys' place
+            _, rank = np.unique(np.concatenate(keys), return_inverse=True)
+            keys = np.split(rank.astype(np.uint64), [len(keys[0])])
+    p, q = map(np.unique, keys)
+    return len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))
+
+
 def _verify(words: int, percent: int):
     def run(batches):
         for batch in batches:
             a, b = [], []
             for x, y, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p, q = sorted_set(shingles(s, words)), sorted_set(shingles(t, words))
-                i = len(np.intersect1d(p, q, assume_unique=True))
-                if i and 100 * i >= percent * (len(p) + len(q) - i):
+                p, q, i = overlap_of_words(s, t, words)
+                if i and 100 * i >= percent * (p + q - i):
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
@@ -276,7 +331,7 @@ def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[D
     members = table.select("doc_id", "n", "sig").join(reps, "sig", "left").select("doc_id", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"), "n")
     members = materialize(members, "jaccard-members")
     own = table.where("n > 0").join(reps.withColumnRenamed("sig", "s"), (F.col("doc_id") == F.col("rep")) & (F.col("sig") == F.col("s"))).select("rep", "n", "gens", "prefix")
-    own = materialize(own.dropDuplicates(["rep", "prefix"]), "jaccard-own")
+    own = materialize(own.dropDuplicates(["rep", "prefix"]), "jaccard-own", (table, reps))
     exploded = own.select("rep", "n", "gens", "prefix").mapInArrow(_explode, "token long, rep long, n int")
     met = exploded.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(_meetings(percent), "kind int, token long, a long, na int, b long, nb int")
     met = materialize(met, "jaccard-met")
@@ -293,41 +348,52 @@ def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[D
     small, big = F.least("n", "n_pivot"), F.greatest("n", "n_pivot")
     starred = large.where((F.col("pivot") != F.col("rep")) & (big * percent <= small * 100)).select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
     tried = materialize(direct.unionByName(starred).distinct(), "jaccard-tried")
-    edges = materialize(verified(tried, docs, words, percent), "jaccard-edges")
+    edges = verified(tried, own, docs, words, percent)
     linked = connected_components(edges)
 
     # What large groups still hold of different components: blocks against blocks, with the long prefixes.
     labelled = large.select("token", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("label"))
-    labelled = materialize(labelled, "jaccard-labelled")
+    labelled = materialize(labelled, "jaccard-labelled", (met, heavy, linked))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
     mixed = materialize(mixed.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "jaccard-mixed")
     rows = labelled.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
     rows = rows.join(own, "rep").select("token", "x", "y", "block", "rep", "n", "label", "gens", "prefix")
     left = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(_block_pairs(percent), "a long, b long").distinct()
-    left = materialize(left.join(tried, ["a", "b"], "left_anti"), "jaccard-left")
-    more = materialize(verified(left, docs, words, percent), "jaccard-more")
+    left = materialize(left.join(tried, ["a", "b"], "left_anti"), "jaccard-left", (labelled, mixed, tried))
+    more = verified(left, own, docs, words, percent)
     several = members.where("n > 0").groupBy("doc_id").agg(F.min("rep").alias("src"), F.max("rep").alias("dst")).where("src <> dst").select("src", "dst")
     return members, connected_components(edges.unionByName(more).unionByName(several))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts meet the threshold exactly, as (src, dst)."""
-    ids = materialize(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "jaccard-ids")
+def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share what theirs must, and whose texts meet the threshold exactly, as (src, dst)."""
+    side = lambda c: own.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}"))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_demand(percent), "a long, b long")
+    pairs = materialize(close, "jaccard-close")
+    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
     texts = materialize(docs.where("doc_id is not null").join(ids.withColumnRenamed("a", "doc_id"), "doc_id"), "jaccard-texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "src long, dst long")
+    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "src long, dst long"), "jaccard-edges", (pairs, texts))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row. A null id is linked as its text is and may have a null component."""
+    """(doc_id, n_shingles, component_id) of every row.
+
+    Null and empty texts, and texts without words, have no shingles and are alone. A null id is linked as its text is
+    and may have a null component. Rows that share an id are one vertex. An empty table gives no rows; other columns
+    are ignored.
+    """
     members, linked = jaccard_links(docs, words, percent)
     out = members.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; of repeated ids one row stays. Null ids stay."""
+    """The rows of ``docs`` whose id is the smallest of its component, with all their columns; of repeated ids one row stays.
+
+    Rows with a null id stay, and so does each row of a null or empty text. An empty table stays empty.
+    """
     # The decision is written once and small; the rows are then filtered by their own id.
     members, linked = jaccard_links(docs, words, percent)
     gone = members.join(linked.withColumnRenamed("node", "rep"), "rep", "left").where(F.col("doc_id") != F.coalesce("component", "rep")).select("doc_id").distinct()

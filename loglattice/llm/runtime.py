@@ -6,9 +6,11 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,31 +20,20 @@ MASK64 = (1 << 64) - 1
 
 #: Bytes hashed at once; a longer word is hashed whole all the same.
 HASH_BYTES = 1 << 20
+#: Longer words are hashed one by one.
+WORD_BYTES = 64
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
-_PRIME = 0x9E3779B97F4A7C15
-#: Bytes to what is summed: A-Z as a-z, white space as 0. And bytes to 1 where they are white space.
-_LETTERS = bytes(0 if c in SPACES else ord(chr(c).lower()) if c < 128 else c for c in range(256))
 _IS_SPACE = bytes(c in SPACES for c in range(256))
-
-
-@lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_PRIME to the powers 0..n-1 modulo 2^64, and their inverses."""
-
-    def of(base: int) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[:1] = 1
-        return np.multiply.accumulate(out)
-
-    return of(_PRIME), of(pow(_PRIME, -1, 1 << 64))
+#: What is kept of eight bytes of which only the first so many belong to a word.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def hash_words(raw: bytes, strip: bytes = b"") -> np.ndarray:
     """64-bit hashes of the words of ``raw`` in order: split at ASCII white space, A-Z as a-z.
 
-    Bytes in ``strip`` at either end of a word are left out, if anything is left then. A word's hash is a
-    polynomial in its bytes, so all words come from one running sum.
+    Bytes in ``strip`` at either end of a word are left out, if anything is left then. A word's hash starts from its
+    length and mixes in eight bytes at a time, all words of a block together.
     """
     if len(raw) <= HASH_BYTES:
         return _hash_block(raw, strip)
@@ -57,20 +48,30 @@ def hash_words(raw: bytes, strip: bytes = b"") -> np.ndarray:
 
 
 def _hash_block(raw: bytes, strip: bytes) -> np.ndarray:
-    raw = b" %b " % raw
-    space = np.frombuffer(raw.translate(_IS_SPACE), bool)
+    raw = b" %b %b" % (raw.lower(), bytes(8))
+    space = np.frombuffer(raw.translate(_IS_SPACE), bool)[:-8]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     start, end = edge[::2], edge[1::2]
     if strip:
-        core = np.frombuffer(raw.translate(_trim(strip)), bool)
+        core = np.frombuffer(raw.translate(_trim(strip)), bool)[:-8]
         at, before = np.flatnonzero(core), np.r_[0, np.cumsum(core)]
         some = before[end] > before[start]
         start, end = start.copy(), end.copy()
         start[some], end[some] = at[before[start[some]]], at[before[end[some]] - 1] + 1
-    power, inverse = _powers(max(HASH_BYTES + 2, len(raw)))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(np.frombuffer(raw.translate(_LETTERS), np.uint8) * power[: len(raw)], out=sums[1:])
-    return mix64((sums[end] - sums[start]) * inverse[start])
+    size = end - start
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    with np.errstate(over="ignore"):
+        out = mix64(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out = mix64(out ^ (eight[start] & _KEEP[np.minimum(size, 8)]))
+    rows = np.flatnonzero(size > 8)
+    for at in range(8, WORD_BYTES, 8):
+        if not len(rows):
+            break
+        out[rows] = mix64(out[rows] ^ (eight[start[rows] + at] & _KEEP[np.minimum(size[rows] - at, 8)]))
+        rows = rows[size[rows] > at + 8]
+    for k in rows.tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[start[k] : end[k]])
+    return out
 
 
 @lru_cache
@@ -79,9 +80,11 @@ def _trim(strip: bytes) -> bytes:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors see; a local one only where the session names none."""
+    """The folder that all executors see. A session of one machine that names none gets one of its own; a cluster has to name it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         root = tempfile.mkdtemp(prefix="llm-work-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir() or root
@@ -111,17 +114,34 @@ def gather(df: DataFrame) -> list:
         return df.collect()
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def materialize(df: DataFrame, tag: str, spent: tuple[DataFrame | None, ...] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``spent`` are earlier tables of this kind that nothing reads any more: their files go when ``df`` is written.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
     with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    for old in spent:
+        discard(old)
+    return out
+
+
+def discard(table: DataFrame | None) -> None:
+    """Delete the files of a materialised table; a table of another kind is left alone."""
+    if table is not None and (path := _written.pop(table, None)):
+        where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def with_fields(schema: StructType, ddl: str) -> StructType:
-    """A copy of ``schema`` with more fields."""
+    """A copy of ``schema`` with more fields; the caller drops columns of these names first."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
@@ -147,34 +167,30 @@ def shard_offsets(totals: DataFrame, size: str, base: str) -> DataFrame:
     return totals.select("_shard", F.coalesce(F.sum(size).over(order), F.lit(0)).alias(base))
 
 
-def sum_slices(df: DataFrame, dtype: str = "<i8", most: int | None = None) -> DataFrame:
-    """Sum equal-length count vectors: rows (slice int, counts binary) to one row a slice.
+def sum_slices(df: DataFrame, dtype: str = "<i8") -> DataFrame:
+    """Sum equal-length count vectors: rows (slice int, counts binary) to one row a slice, in 64 bits ("<i8").
 
-    Each slice has a fixed number of counters, one row comes from each task, and a group is summed row by
-    row, so memory stays at a few rows whatever the number of tasks. Counters stay at ``most`` if it is given;
-    otherwise the sums are 64 bits wide ("<i8"), whatever ``dtype`` the rows come in.
+    Each slice has a fixed number of counters (of ``dtype`` in the rows given), one row comes from each task, and a
+    group is summed row by row, so memory stays at a few rows whatever the number of tasks.
     """
 
-    def adder(taken: str, kept: str):
+    def adder(taken: str):
         def add(batches):
             sums: dict[int, np.ndarray] = {}
             for pdf in batches:
                 for k, blob in zip(pdf["slice"], pdf["counts"], strict=True):
                     got = np.frombuffer(blob, taken)
                     if k not in sums:
-                        sums[k] = got.astype(kept)
-                    elif most is None:
-                        sums[k] += got
+                        sums[k] = got.astype("<i8")
                     else:
-                        sums[k] = np.minimum(most, sums[k].astype(np.int64) + got).astype(kept)
+                        sums[k] += got
             yield pd.DataFrame({"slice": list(sums), "counts": [v.tobytes() for v in sums.values()]})
 
         return add
 
-    kept = "<i8" if most is None else dtype
     # Salted first so that one slice of many tasks is combined in several places.
-    salted = df.withColumn("salt", F.spark_partition_id() % 8).repartition("slice", "salt").mapInPandas(adder(dtype, kept), "slice int, counts binary")
-    return salted.repartition("slice").mapInPandas(adder(kept, kept), "slice int, counts binary")
+    salted = df.withColumn("salt", F.spark_partition_id() % 8).repartition("slice", "salt").mapInPandas(adder(dtype), "slice int, counts binary")
+    return salted.repartition("slice").mapInPandas(adder("<i8"), "slice int, counts binary")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

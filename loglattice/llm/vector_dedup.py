@@ -1,43 +1,68 @@
 """Near-duplicate vectors by p-stable hashing for Euclidean distance, with exact cosine checks.
 
-Normalised vectors at cosine c lie sqrt(2 - 2c) apart. Each table hashes a vector to K quantised random
-projections; vectors that agree in all K of some table, and in label, are compared in double precision. Equal
-vectors are one class and hashed once. A bucket is worked off in blocks: however many members it has,
-a task holds two blocks, and what leaves it is a sum per member and a spanning forest, not its pairs.
-A pair that meets in several tables counts in the first.
+Normalised vectors at cosine c lie sqrt(2 - 2c) apart. Each table hashes a vector to several quantised random
+projections; vectors that agree in all of them in some table, and in label, are compared in double precision. The
+number of projections follows the logarithm of the largest label, so that unrelated vectors seldom meet however many
+there are, and the number of tables follows from the share of pairs at the threshold that may be missed.
+
+Equal vectors of a label are one class and hashed once. Buckets are counted by class alone; vectors travel only to
+buckets where several classes meet. A bucket is worked off in blocks: however many members it has, a task holds two
+blocks, and what leaves it is a sum per member and a spanning forest, not its pairs. A pair that meets in several
+tables counts in the first.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from loglattice.llm.graph import connected_components
 from loglattice.llm.runtime import materialize
 
-TABLES = 24
-HASHES = 8
-WIDTH = 1.5
+WIDTH = 3.0
+#: Unrelated (orthogonal) vectors that share a bucket with one vector, in the mean.
+STRANGERS = 0.1
+#: Share of the pairs at the threshold that no table finds.
+MISSED = 1e-3
+LEAST_HASHES = 8
 BLOCK = 1024
 
 
-def _projections(dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng([seed, dim])
-    return r.standard_normal((dim, TABLES * HASHES)), r.uniform(0, WIDTH, TABLES * HASHES)
+def agreement(distance: float) -> float:
+    """The chance that one quantised projection of WIDTH is equal for two vectors so far apart."""
+    c = WIDTH / distance
+    return math.erf(c / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * c) * (1 - math.exp(-c * c / 2))
+
+
+def shape_for(n: int, low: float) -> tuple[int, int]:
+    """(tables, projections a table) for n classes in the largest label and a least cosine of ``low``."""
+    hashes = max(LEAST_HASHES, math.ceil(math.log(max(n, 2) / STRANGERS) / -math.log(agreement(math.sqrt(2)))))
+    meet = agreement(math.sqrt(max(2 - 2 * low, 1e-9))) ** hashes
+    return math.ceil(math.log(MISSED) / math.log1p(-min(meet, 0.999))), hashes
 
 
-def codes_of(unit: np.ndarray, seed: int) -> np.ndarray:
+def codes_of(unit: np.ndarray, seed: int, tables: int, hashes: int) -> np.ndarray:
     """One 32-bit bucket code for each row and table; a bucket is defined by its code."""
-    a, b = _projections(unit.shape[1], seed)
-    q = np.floor((unit @ a + b) / WIDTH).astype(np.int64).reshape(len(unit), TABLES, HASHES)
-    r = np.random.default_rng([seed, 1]).integers(1, 1 << 62, HASHES, dtype=np.int64) | 1
+    r = np.random.default_rng([seed, unit.shape[1]])
+    a, b = r.standard_normal((unit.shape[1], tables * hashes)), r.uniform(0, WIDTH, tables * hashes)
+    q = np.floor((unit @ a + b) / WIDTH).astype(np.int64).reshape(len(unit), tables, hashes)
+    r = np.random.default_rng([seed, 1]).integers(1, 1 << 62, hashes, dtype=np.int64) | 1
     with np.errstate(over="ignore"):
         return ((q * r).sum(axis=2) >> 13).astype(np.int32)
 
 
+def units(packed: list[bytes], kind: str) -> np.ndarray:
+    """Packed vectors of one length, normalised, in double precision."""
+    x = np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _usable(vectors, labels):
     """Rows that can link, as float64 arrays by position."""
     out = {}
@@ -50,42 +75,39 @@ def _usable(vectors, labels):
     return out
 
 
-def classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(vec_id, sig): sig is null for what links with nothing, else equal for equal vectors of one label."""
+def classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, kind: str) -> DataFrame:
+    """(vec_id, label, sig, dim, vector): sig is null for what links with nothing, else equal for equal vectors of one label."""
 
     def run(batches):
         for b in batches:
-            ids, label, vec = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
+            label, vec = b.column(1).to_pylist(), b.column(2).to_pylist()
             use = _usable(vec, label)
-            sig = [xxhash.xxh3_128_digest(repr(label[k]).encode() + b"\0" + use[k].tobytes()) if k in use else None for k in range(len(vec))]
-            packed = [use[k].tobytes() if k in use else None for k in range(len(vec))]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sig, pa.binary()), pa.array(packed, pa.binary())], names=["vec_id", "sig", "vector"])
+            sig = [xxhash.xxh3_128_digest(repr(label[k]).encode() + b"\0" + (use[k] + 0.0).tobytes()) if k in use else None for k in range(len(vec))]
+            packed = [use[k].astype(kind).tobytes() if k in use else None for k in range(len(vec))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.binary()), pa.array([len(use[k]) if k in use else None for k in range(len(vec))], pa.int32()), pa.array(packed, pa.binary())], names=["vec_id", "label", "sig", "dim", "vector"])
 
     rows = vectors.select(F.col(id_col).cast("long"), F.col(label_col), F.col(vector_col))
-    return rows.mapInArrow(run, "vec_id long, sig binary, vector binary")
+    return rows.mapInArrow(run, f"vec_id long, label {vectors.schema[label_col].dataType.simpleString()}, sig binary, dim int, vector binary")
+
 
+def _hash(seed: int, tables: int, hashes: int, kind: str):
+    """(cls, dim, vector) to (cls, codes)."""
 
-def _hash(seed: int):
     def run(batches):
         for batch in batches:
             by_dim: dict[int, list[int]] = {}
-            vectors = [np.frombuffer(v.as_py(), np.float64) for v in batch.column(2)]
-            for k, v in enumerate(vectors):
-                by_dim.setdefault(len(v), []).append(k)
-            for dim, at in by_dim.items():
-                x = np.stack([vectors[k] for k in at])
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                codes = codes_of(unit, seed)
-                rep, n, label = (batch.column(c).take(pa.array(at)) for c in (0, 1, 3))
-                packed, all_codes = [u.tobytes() for u in unit], [c.tobytes() for c in codes]
-                for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays([label, pa.array(np.full(len(at), t, np.int32)), pa.array(codes[:, t]), pa.array(np.full(len(at), dim, np.int32)), rep, n, pa.array(packed, pa.binary()), pa.array(all_codes, pa.binary())], names=["label", "t", "code", "dim", "rep", "m", "unit", "codes"])
+            for k, dim in enumerate(batch.column(1).to_pylist()):
+                by_dim.setdefault(dim, []).append(k)
+            for at in by_dim.values():
+                codes = codes_of(units(batch.column(2).take(pa.array(at)).to_pylist(), kind), seed, tables, hashes)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, tables, dtype=np.int32)), pa.array(codes.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), lists], names=["cls", "codes"])
 
     return run
 
 
-def _links(low: float):
-    """Blocks of buckets, sorted, to (a, n): linked vectors of class a; and (a, b): edges of a spanning forest."""
+def _links(low: float, kind: str):
+    """Blocks of buckets, sorted, to (a, n): vectors linked with class a; and (a, b): edges of a spanning forest."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def work(t, x, y, block, rep, m, unit, codes):
@@ -94,10 +116,10 @@ def _links(low: float):
             return None
         cosine = unit[p] @ unit[q].T
         i, j = np.nonzero((cosine >= low) & (rep[p][:, None] < rep[q][None, :] if x == y else rep[p][:, None] != rep[q][None, :]))
-        fresh = np.ones(len(i), bool)
-        for k in range(t):
-            fresh &= codes[p[i], k] != codes[q[j], k]
-        i, j = p[i[fresh]], q[j[fresh]]
+        i, j = p[i], q[j]
+        for k in range(t):  # what met in an earlier table has been counted there
+            fresh = codes[i, k] != codes[j, k]
+            i, j = i[fresh], j[fresh]
         if not len(i):
             return None
         links = np.bincount(i, m[j], len(rep)) + np.bincount(j, m[i], len(rep))
@@ -117,10 +139,8 @@ def _links(low: float):
         held, key = [], None
 
         def flush():
-            rep, m = (np.concatenate([h[k] for h in held]) for k in (1, 2))
-            block = np.concatenate([h[0] for h in held])
-            unit, codes = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
-            return work(key[1], key[4], key[5], block, rep, m, unit, codes)
+            block, cls, m = (np.concatenate([h[k] for h in held]) for k in range(3))
+            return work(key[1], key[4], key[5], block, cls, m, units([v for h in held for v in h[3]], kind), np.concatenate([h[4] for h in held]))
 
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True))
@@ -134,9 +154,8 @@ def _links(low: float):
                     held = []
                 key = keys[a]
                 part = batch.slice(a, b - a)
-                unit = np.frombuffer(b"".join(part.column(9).to_pylist()), np.float64).reshape(b - a, -1)
-                codes = np.frombuffer(b"".join(part.column(10).to_pylist()), np.int32).reshape(b - a, -1)
-                held.append((part.column(6).to_numpy(), part.column(7).to_numpy(), part.column(8).to_numpy(), unit, codes))
+                codes = part.column(10).flatten().to_numpy().reshape(b - a, -1)
+                held.append((part.column(6).to_numpy(), part.column(7).to_numpy(), part.column(8).to_numpy(), part.column(9).to_pylist(), codes))
         if held and (out := flush()) is not None:
             yield out
 
@@ -147,27 +166,30 @@ def vector_components(vectors: DataFrame, low: float = 0.93, id_col: str = "vec_
     """(vec_id, n_links, component_id, kept) of every row.
 
     Null, empty, zero, or non-finite vectors and null labels link with nothing. Vectors of different lengths
-    never link. Equal vectors of a label are linked with each other. A null id takes part, but is never a component's
-    name; alone it has a null component and is kept.
+    never link. Equal vectors of a label are linked with each other. Rows that share an id are vectors of their own: each
+    has its own label and links. A null id takes part, but is never a component's name; alone it has a null
+    component and is kept. An empty table gives no rows; other columns are ignored.
     """
-    base = materialize(classes(vectors, id_col, vector_col, label_col), "vectors")
-    labels = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"))
-    reps = base.where("sig is not null and vec_id is not null").groupBy("sig").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"))
-    reps = materialize(reps, "vector-classes")
-    own = base.where("sig is not null").join(reps.withColumnRenamed("sig", "s"), (F.col("sig") == F.col("s")) & (F.col("vec_id") == F.col("rep"))).select("rep", "m", "vector", F.xxhash64("sig").alias("sig64")).dropDuplicates(["rep", "sig64"])
-    own = own.join(labels.where("label is not null").dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "rep"), "rep").select("rep", "m", "vector", "label")
-    label_type = vectors.schema[label_col].dataType.simpleString()
-    hashed = own.mapInArrow(_hash(seed), f"label {label_type}, t int, code int, dim int, rep long, m long, unit binary, codes binary")
-    hashed = materialize(hashed, "vector-hashes")
+    kind = "<f4" if isinstance(vectors.schema[vector_col].dataType.elementType, FloatType) else "<f8"
+    base = materialize(classes(vectors, id_col, vector_col, label_col, kind), "vectors")
+    reps = base.where("sig is not null").groupBy("sig").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), *(F.any_value(c).alias(c) for c in ("label", "dim", "vector")))
+    # Numbered once and written: a class's number is its key from here on.
+    reps = materialize(reps.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
+    most = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    tables, hashes = shape_for(most, low)
+    hashed = materialize(reps.select("cls", "dim", "vector").mapInArrow(_hash(seed, tables, hashes, kind), "cls long, codes array<int>"), "vector-codes")
     key = ["label", "t", "code", "dim"]
-    sizes = materialize(hashed.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "vector-buckets")
-    rows = hashed.join(sizes, key).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = reps.select("cls", "label", "dim").join(hashed, "cls").select("cls", "label", "dim", F.posexplode("codes").alias("t", "code"))
+    sizes = materialize(placed.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "vector-buckets")
+    rows = placed.join(sizes, key).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    rows = rows.select(*key, "x", "y", "block", "rep", "m", "unit", "codes").repartition(*key, "x", "y").sortWithinPartitions(*key, "x", "y")
-    found = materialize(rows.mapInArrow(_links(low), "a long, b long, n long"), "vector-links")
-    links = found.where("a = b").groupBy("a").agg(F.sum("n").alias("n"))
-    linked = connected_components(found.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    info = reps.join(links.withColumnRenamed("a", "rep"), "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    info = materialize(info.select(F.col("sig"), (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-info")
-    out = base.join(info, "sig", "left")
+    rows = rows.join(reps.select("cls", "m", "vector").join(hashed, "cls"), "cls")
+    rows = rows.select(*key, "x", "y", "block", "cls", "m", "vector", "codes").repartition(*key, "x", "y").sortWithinPartitions(*key, "x", "y")
+    found = materialize(rows.mapInArrow(_links(low, kind), "a long, b long, n long"), "vector-links", (hashed, sizes))
+    links = found.where("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
+    linked = connected_components(found.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "cls")
+    info = reps.select("cls", "sig", "rep", "m").join(links, "cls", "left").join(linked, "cls", "left")
+    info = materialize(info.select("sig", "rep", F.coalesce("component", "cls").alias("component"), (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "vector-info", (reps, found, linked))
+    names = info.groupBy("component").agg(F.min("rep").alias("component_id"))
+    out = base.join(info.join(names, "component").select("sig", "n_links", "component_id"), "sig", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
