@@ -35,7 +35,7 @@ RANK_SHIFT = 100.0
 BYTE_SCORE = -14.0
 SAMPLES = 3
 #: Characters of text worked on at a time; a longer text is worked on alone.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 #: Log-probabilities are in units of 2^-LOG_BITS, shares of a lattice node in units of 2^-SHARE_BITS.
 LOG_BITS, SHARE_BITS = 36, 60
 LOG_ONE, SHARE_ONE = 1 << LOG_BITS, 1 << SHARE_BITS
@@ -141,6 +141,7 @@ class Lattices:
         word = np.repeat(np.arange(len(words)), size)
         node = np.arange(len(text)) + word  # node of a character
         end = np.repeat(np.cumsum(size), size)  # past the word's last character
+        del word
         self.n_nodes = int(len(text) + len(words))
         starts, ends, ids = [], [], []
         alive, h = np.arange(len(text)), np.zeros(len(text), np.uint64)
@@ -170,11 +171,13 @@ class Lattices:
         start, stop, ident = (np.concatenate(x[::-1]) if x else np.empty(0, np.int64) for x in (starts, ends, ids))
         order = np.argsort(start, kind="stable")
         start, stop, ident = start[order], stop[order], ident[order].astype(np.int64)
+        del starts, ends, ids, order, alive, h, single
         code = -1 - ident
         bytes_of = np.where(ident < 0, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), 0)
         plain = bytes_of == 1  # a single byte has a single id
         ident[plain] = v.byte_ids[code[plain]]
         weight = np.where(bytes_of == 0, v.score[np.maximum(ident, 0)], BYTE_SCORE * bytes_of)
+        del code, bytes_of, plain
         self.first = first = np.searchsorted(start, np.arange(self.n_nodes + 1))
         # Backwards over positions, all words at once: level d is d characters before the word's end.
         beta = np.zeros(self.n_nodes)
@@ -190,6 +193,7 @@ class Lattices:
             top = np.maximum.reduceat(s, cut)
             beta[at] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, n)), cut))
         logp = np.minimum(weight + beta[stop] - beta[start], 0.0)
+        del weight, beta, left, by_level
         self.start, self.stop, self.ident = start, stop, ident
         self.logp = np.rint(logp * LOG_ONE).astype(np.int64)
         total = np.cumsum(np.rint(np.exp(logp) * SHARE_ONE).astype(np.uint64))  # wraps around; differences do not
