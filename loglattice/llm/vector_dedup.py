@@ -17,6 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,8 @@ STRANGERS = 0.1
 #: Share of the pairs at the threshold that no table finds.
 MISSED = 1e-3
 LEAST_HASHES = 8
-BLOCK = 1024
+#: Buckets up to this size are worked off side by side, larger ones in blocks of so many.
+SMALL, BLOCK = 16, 1024
 
 
 def agreement(distance: float) -> float:
@@ -135,27 +137,55 @@ def _links(low: float, kind: str):
         own, edge = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(rep)))
         return pa.RecordBatch.from_arrays([pa.array(np.r_[rep[own], rep[edge]]), pa.array(np.r_[rep[own], rep[label[edge]]]), pa.array(np.r_[links[own].astype(np.int64), np.zeros(len(edge), np.int64)])], schema=schema)
 
+    def small(t, group, cls, m, unit, codes):
+        """All pairs within small buckets, side by side."""
+        for step in range(1, SMALL):
+            i = np.flatnonzero(group[step:] == group[:-step])
+            if not len(i):
+                return
+            j = i + step
+            near = np.einsum("ij,ij->i", unit[i], unit[j]) >= low
+            i, j = i[near], j[near]
+            first = (codes[i] == codes[j]).argmax(axis=1) == t[i]  # what met in an earlier table has been counted there
+            i, j = i[first], j[first]
+            if len(i):
+                a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[cls[i], cls[j], b]), pa.array(np.r_[cls[i], cls[j], a]), pa.array(np.r_[m[j], m[i], np.zeros(len(i), np.int64)])], schema=schema)
+
     def run(batches):
         held, key = [], None
 
         def flush():
-            block, cls, m = (np.concatenate([h[k] for h in held]) for k in range(3))
-            return work(key[1], key[4], key[5], block, cls, m, units([v for h in held for v in h[3]], kind), np.concatenate([h[4] for h in held]))
+            block, cls, m, codes = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2, 4))
+            return work(key[1], key[4], key[5], block, cls, m, units([v for h in held for v in h[3]], kind), codes)
 
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True))
-            if not keys:
+            if not batch.num_rows:
                 continue
-            starts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-            for a, b in zip(starts, starts[1:], strict=False):
-                if key is not None and keys[a] != key:
+            columns = [batch.column(c) for c in range(6)]
+            changed = np.zeros(batch.num_rows - 1, bool)
+            for c in columns:
+                changed |= ~np.asarray(pa.compute.equal(c.slice(1), c.slice(0, batch.num_rows - 1)))
+            starts = np.r_[0, np.flatnonzero(changed) + 1, batch.num_rows]
+            size = np.diff(starts)
+            few = (size <= SMALL) & (columns[5].to_numpy()[starts[:-1]] == 0)
+            few[[0, -1]] = False  # may go on in another batch
+            rows = np.flatnonzero(np.repeat(few, size))
+            codes = batch.column(10).flatten().to_numpy().reshape(batch.num_rows, -1)
+            cls, m, dim = batch.column(7).to_numpy(), batch.column(8).to_numpy(), batch.column(3).to_numpy()
+            group = np.repeat(np.arange(len(size)), size)
+            for d in np.unique(dim[rows]):
+                at = rows[dim[rows] == d]
+                yield from small(columns[1].to_numpy()[at], group[at], cls[at], m[at], units(batch.column(9).take(pa.array(at)).to_pylist(), kind), codes[at])
+            for k in np.flatnonzero(~few):
+                a, b = int(starts[k]), int(starts[k + 1])
+                own = tuple(c[a].as_py() for c in columns)
+                if key is not None and own != key:
                     if (out := flush()) is not None:
                         yield out
                     held = []
-                key = keys[a]
-                part = batch.slice(a, b - a)
-                codes = part.column(10).flatten().to_numpy().reshape(b - a, -1)
-                held.append((part.column(6).to_numpy(), part.column(7).to_numpy(), part.column(8).to_numpy(), part.column(9).to_pylist(), codes))
+                key = own
+                held.append((batch.column(6).to_numpy()[a:b], cls[a:b], m[a:b], batch.column(9).slice(a, b - a).to_pylist(), codes[a:b]))
         if held and (out := flush()) is not None:
             yield out
 
