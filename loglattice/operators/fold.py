@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglattice.functions import scalars as S
+
 
 def latest_per_key(rows: DataFrame, keys: list[str], score: list[str]) -> DataFrame:
     """The row with the largest score (in order of its columns) of each key. Partially aggregated, not sorted."""
@@ -37,7 +39,10 @@ def multiset_match(proposed: DataFrame, added: DataFrame, keys: list[str], line:
 
 
 def multiset_subtract(proposed: DataFrame, context: DataFrame, keys: list[str], line: str, name: str) -> DataFrame:
-    """Lines of ``proposed`` left when those of ``context`` are taken away one by one, with how often."""
-    p, c = multiset_counts(proposed, keys, line, "p"), multiset_counts(context, keys, line, "c")
+    """Lines of ``proposed`` left when those of ``context`` are taken away one by one, with how often.
+
+    A line too short to be matched is never taken away: it says nothing of where it came from.
+    """
+    p, c = multiset_counts(proposed, keys, line, "p"), multiset_counts(context.where(S.matchable(F.col(line))), keys, line, "c")
     left = F.greatest(F.col("p") - F.coalesce("c", F.lit(0)), F.lit(0))
     return p.join(c, [*keys, line], "left").withColumn(name, left).where(F.col(name) > 0).drop("p", "c")

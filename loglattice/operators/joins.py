@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def resolve_spend(calls: DataFrame, metrics: DataFrame, twins: DataFrame) -> DataFrame:
     """Calls without those told by metric rows: agents with metrics, and calls that have a twin; then the metric rows."""
     owned = metrics.select("agent").distinct()
-    left = calls.join(F.broadcast(owned), "agent", "left_anti").join(twins.where("call <> ''").select(F.col("call").alias("id")).distinct(), "id", "left_anti")
+    left = calls.join(owned, "agent", "left_anti").join(twins.where("call <> ''").select(F.col("call").alias("id")).distinct(), "id", "left_anti")
     return left.withColumn("basis", F.lit("calls")).unionByName(metrics.withColumn("basis", F.lit("metrics")), allowMissingColumns=True)
 
 
@@ -41,22 +41,31 @@ def windows_of(commits: DataFrame, at: str = "ts", key: str = "sha", by: tuple[s
     return out.withColumn("lo", F.coalesce("lo", "_before")).drop("_before", "_day").withColumnRenamed(at, "hi")
 
 
-def interval_join(events: DataFrame, windows: DataFrame, at: str = "ts", key: str = "sha", by: tuple[str, ...] = ()) -> DataFrame:
+#: Events of a day that one task takes; a fuller day is dealt to several, each with all ends of the day.
+DAY_ROWS = 2_000_000
+
+
+def interval_join(events: DataFrame, windows: DataFrame, at: str = "ts", key: str = "sha", by: tuple[str, ...] = (), rows: int = DAY_ROWS) -> DataFrame:
     """Add the commit whose window (lo, hi] holds each event: the first one at or after it; none for an event without a time.
 
-    Events and window ends of a day are merged in order of time and the next end is looked up backwards, which is one
-    sort of each day, where a range join would compare all with all. Events after a day's last end belong to the
-    first end of a later day; those are as many rows as there are days.
+    Events and window ends of a day are merged from the latest backwards and the last end seen is carried along: one sort
+    of each day, where a range join would compare all with all. A day of more than ``rows`` events is dealt to several
+    tasks. Events after a day's last end belong to the first end of a later day; those are as many rows as there are days.
     """
-    ends = windows.select(*by, F.col("hi").alias(at), F.col(key).alias("_sha"), F.lit(1).alias("_end"))
-    both = events.withColumn("_end", F.lit(0)).unionByName(ends, allowMissingColumns=True).select("*", _day(at))
+    timed = events.where(F.col(at).isNotNull()).select("*", _day(at))
     # Of several ends at one time the smallest key owns it.
-    w = Window.partitionBy(*by, "_day").orderBy(F.col(at), F.col("_end"), F.col("_sha")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    firsts = both.groupBy(*by, "_day").agg(F.min_by("_sha", F.when(F.col("_end") == 1, F.struct(at, "_sha"))).alias("_first"))
-    later = Window.partitionBy(*by).orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
-    carried = firsts.where("_day is not null").select(*by, "_day", F.first("_first", ignorenulls=True).over(later).alias("_next"))
-    found = both.withColumn(key, F.first("_sha", ignorenulls=True).over(w)).where("_end = 0").join(carried, [*by, "_day"], "left")
-    return found.withColumn(key, F.when(F.col(at).isNotNull(), F.coalesce(key, "_next"))).drop("_end", "_sha", "_day", "_next")
+    ends = windows.groupBy(*by, F.col("hi").alias(at)).agg(F.min(key).alias("_sha")).select("*", _day(at))
+    parts = timed.groupBy(*by, "_day").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_parts"))
+    dealt = timed.join(parts.where("_parts > 1"), [*by, "_day"], "left").withColumn("_part", F.floor(F.rand(7) * F.coalesce("_parts", F.lit(1))).cast("int"))
+    copies = ends.join(parts, [*by, "_day"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    both = dealt.withColumn("_end", F.lit(0)).unionByName(copies.withColumn("_end", F.lit(1)), allowMissingColumns=True).drop("_parts")
+    w = Window.partitionBy(*by, "_day", "_part").orderBy(F.desc(at), F.desc("_end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    days = both.select(*by, "_day").distinct().join(ends.groupBy(*by, "_day").agg(F.min_by("_sha", at).alias("_first")), [*by, "_day"], "left")
+    backwards = Window.partitionBy(*by).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    carried = days.select(*by, "_day", F.last("_first", ignorenulls=True).over(backwards).alias("_next"))
+    found = both.withColumn(key, F.last("_sha", ignorenulls=True).over(w)).where("_end = 0").join(carried, [*by, "_day"])
+    found = found.withColumn(key, F.coalesce(key, "_next")).drop("_end", "_sha", "_day", "_next", "_part")
+    return found.unionByName(events.where(F.col(at).isNull()), allowMissingColumns=True)
 
 
 def containment_join(events: DataFrame, spans: DataFrame, key: str, by: str, at: str, task: str) -> DataFrame:
@@ -71,6 +80,16 @@ def containment_join(events: DataFrame, spans: DataFrame, key: str, by: str, at:
     return events.join(met.groupBy(key).agg(F.min(task).alias(task)), key, "left")
 
 
+def task_join(calls: DataFrame, tasks: DataFrame, key: str, by: str, at: str, task: str, said: str) -> DataFrame:
+    """Adds ``task`` and ``via``: the task that a call names where there is such a task, else the one whose window holds it.
+
+    A call that names a task which is not there falls to the windows, and without one has no task.
+    """
+    known = calls.join(tasks.select(F.col(task).alias(said)).distinct(), said, "left_semi").select("*", F.col(said).alias(task), F.lit("task").alias("via"))
+    rest = containment_join(calls.join(known.select(key), key, "left_anti"), tasks, key, by, at, task)
+    return known.unionByName(rest.withColumn("via", F.when(F.col(task).isNotNull(), "window")))
+
+
 def prefix_match(probes: DataFrame, candidates: DataFrame, probe: str, full: str, least: int = 4) -> DataFrame:
     """(probe, match, verdict): the one candidate that either begins with the probe or begins it, 'ambiguous', or 'no-match'.
 

@@ -147,13 +147,11 @@ def commit_exclusions(spark, d):
 
 
 @query("""SELECT probe, CASE WHEN count(sha) = 1 THEN min(sha) END AS match, CASE WHEN count(sha) = 1 THEN 'match' WHEN count(sha) > 1 THEN 'ambiguous' ELSE 'no-match' END AS verdict
- FROM (SELECT DISTINCT substr(sha1(CAST(event_id AS VARCHAR)), 1, 4 + CAST(event_id % 3 AS INT)) AS probe FROM events WHERE event_id % 5 = 0) LEFT JOIN (SELECT DISTINCT sha1(CAST(event_id AS VARCHAR)) AS sha FROM events WHERE event_id % 2 = 0)
- ON starts_with(sha, probe) OR starts_with(probe, sha) GROUP BY probe""")
+ FROM (SELECT DISTINCT substr(sha1(CAST(event_id AS VARCHAR)), 1, 4 + CAST(event_id % 3 AS INT)) AS probe FROM events) LEFT JOIN (SELECT DISTINCT sha1(CAST(event_id AS VARCHAR)) AS sha FROM events) ON starts_with(sha, probe) OR starts_with(probe, sha) GROUP BY probe""")
 def prefix_match(spark, d):
-    """Every fifth event is probed by a short id against the even ones: the stand-in for rows with short and full ids."""
+    """Every event's short id, four to six letters of it, against all full ids."""
     e = table(spark, d, "events").select("event_id", F.sha1(F.col("event_id").cast("string")).alias("sha"))
-    probes = e.where("event_id % 5 = 0").select(F.expr("substr(sha, 1, 4 + cast(event_id % 3 as int))").alias("probe"))
-    return joins.prefix_match(probes, e.where("event_id % 2 = 0"), "probe", "sha")
+    return joins.prefix_match(e.select(F.expr("substr(sha, 1, 4 + cast(event_id % 3 as int))").alias("probe")), e, "probe", "sha")
 
 
 LINES_SQL = "lines AS (SELECT doc_id, lang, trim(regexp_replace(l, '\\s+', ' ', 'g')) AS line FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS l FROM documents))"
@@ -172,7 +170,7 @@ def line_match_multiset(spark, d):
     return fold.multiset_match(x.where("doc_id % 2 = 0"), x.where("doc_id % 2 = 1"), ["lang"], "line")
 
 
-@query(f""", {LINES_SQL}, p AS (SELECT lang, line, count(*) AS n FROM lines WHERE doc_id % 2 = 0 GROUP BY ALL), c AS (SELECT lang, line, count(*) AS n FROM lines WHERE doc_id % 2 = 1 GROUP BY ALL)
+@query(f""", {LINES_SQL}, p AS (SELECT lang, line, count(*) AS n FROM lines WHERE doc_id % 2 = 0 GROUP BY ALL), c AS (SELECT lang, line, count(*) AS n FROM lines WHERE doc_id % 2 = 1 AND length(line) >= 4 GROUP BY ALL)
  SELECT lang, CAST(sum(greatest(p.n - coalesce(c.n, 0), 0)) AS BIGINT) AS lines_left FROM p LEFT JOIN c USING (lang, line) GROUP BY lang""")
 def line_subtract_context(spark, d):
     x = _lines(spark, d)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loglattice.functions import scalars as S
@@ -21,13 +20,20 @@ def twin_suppression(spark, d):
     return c.join(c.where("id % 7 = 0").select("id").distinct(), "id", "left_anti").select("id", "agent", "tokens_in")
 
 
-@query("""SELECT c.id, min(t.id) AS task FROM calls c LEFT JOIN (SELECT id, session, ts AS lo, ts + INTERVAL 36 HOUR AS hi FROM calls WHERE agent = 'signup') t
- ON c.session = t.session AND c.ts BETWEEN t.lo AND t.hi WHERE c.agent = 'click' GROUP BY c.id""")
+TASKS_SQL = "tasks AS (SELECT id AS task, session, ts AS lo, ts + INTERVAL 36 HOUR AS hi FROM calls WHERE agent = 'signup')"
+
+
+@query(f""", {TASKS_SQL}, named AS (SELECT c.*, CASE WHEN id % 5 = 0 THEN (SELECT min(task) FROM tasks t WHERE t.session = c.session) END AS said FROM calls c WHERE agent = 'click')
+ SELECT c.id, coalesce(any_value(said), min(t.task)) AS task, CASE WHEN any_value(said) IS NOT NULL THEN 'task' WHEN min(t.task) IS NOT NULL THEN 'window' END AS via
+ FROM named c LEFT JOIN tasks t ON c.session = t.session AND c.ts BETWEEN t.lo AND t.hi GROUP BY c.id""")
 def task_session_join(spark, d):
-    """A signup opens a task of 36 hours; clicks of the session within it are its calls, the smallest task where they overlap."""
+    """A signup opens a task of 36 hours. Every fifth click names its session's first task; the others belong to the one
+    whose window holds them, the smallest task where several do."""
     c = calls(spark, d)
     tasks = c.where("agent = 'signup'").select(F.col("id").alias("task"), "session", F.col("ts").alias("lo"), F.expr("ts + interval 36 hours").alias("hi"))
-    return joins.containment_join(c.where("agent = 'click'").select("id", "session", "ts"), tasks, "id", "session", "ts", "task").select("id", "task")
+    first = tasks.groupBy("session").agg(F.min("task").alias("first"))
+    named = c.where("agent = 'click'").join(first, "session", "left").select("id", "session", "ts", F.when(F.col("id") % 5 == 0, F.col("first")).alias("said"))
+    return joins.task_join(named, tasks, "id", "session", "ts", "task", "said").select("id", "task", "via")
 
 
 LABELLED_LINES_SQL = "x AS (SELECT doc_id, source, length(text) - length(replace(text, chr(10), '')) + 1 AS n, quality FROM documents LEFT JOIN labels USING (doc_id))"
@@ -90,11 +96,10 @@ def month_pruning(spark, d):
     return recent.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT tokens_in, CASE WHEN count(DISTINCT agent) = 1 THEN min(agent) ELSE 'unknown' END AS owner FROM calls WHERE id % 3 = 0 GROUP BY tokens_in")
+@query("SELECT tokens_in, CASE WHEN count(DISTINCT agent) = 1 THEN min(agent) ELSE 'unknown' END AS owner FROM calls GROUP BY tokens_in")
 def ambiguous_owner(spark, d):
     """The agent of a hash, unknown where several have it."""
-    c = calls(spark, d).where("id % 3 = 0")
-    return c.groupBy("tokens_in").agg(F.when(F.min("agent") == F.max("agent"), F.min("agent")).otherwise("unknown").alias("owner"))
+    return calls(spark, d).groupBy("tokens_in").agg(F.when(F.min("agent") == F.max("agent"), F.min("agent")).otherwise("unknown").alias("owner"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, first_value(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber DESC) AS carrier FROM lineitem""")
@@ -137,11 +142,15 @@ def consistency_warnings(spark, d):
     return one.select(F.expr("stack(3, 'negative', neg, 'no-user', nouser, 'rare-type', rare) as (finding, n)"))
 
 
-@query("SELECT conv_id, CASE WHEN count(*) FILTER (role = 'user') >= 2 THEN median(length(text)) FILTER (role = 'user') END AS middle, max(length(text)) AS longest FROM conversations GROUP BY conv_id")
+#: Fewer rows than this say nothing of a middle (fixed value).
+CORRELATES = 5
+
+
+@query("SELECT conv_id, CASE WHEN count(*) FILTER (role = 'user') >= 5 THEN median(length(text)) FILTER (role = 'user') END AS middle, max(length(text)) AS longest FROM conversations GROUP BY conv_id")
 def task_correlation(spark, d):
     """A middle value only where there are enough rows to speak of one."""
     user = F.when(F.col("role") == "user", F.length("text"))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.when(F.count(user) >= 2, F.percentile(user, 0.5)).alias("middle"), F.max(F.length("text").cast("long")).alias("longest"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.when(F.count(user) >= CORRELATES, F.percentile(user, 0.5)).alias("middle"), F.max(F.length("text").cast("long")).alias("longest"))
 
 
 @query("SELECT event_type AS agent, CASE WHEN event_type IN ('click', 'view') THEN 'exact' WHEN event_type = 'purchase' THEN 'session' ELSE 'unknown' END AS fidelity, count(*) AS n FROM events GROUP BY event_type")
