@@ -3,7 +3,8 @@
 Detection is a set of patterns with checks; replacement is a keyed permutation of each entity's own format, so
 two entities never share a surrogate (distinctness) and one entity has the same surrogate everywhere
 (coreference), in every document and on every executor, without a lookup table. Names are permuted within
-their pool of the same gender and script. A surrogate that would equal another entity of the same document, or
+their pool of the same gender and script. An entity is known by its canonical form (an address in lower case, a
+number's digits, a name without its title), so all its spellings have the same surrogate, each in its own format. A surrogate that would equal another entity of the same document, or
 its surrogate, is reported and moved on along the permutation's cycle to a free value. If the document holds
 the whole cycle (all names of two letters, say), the surrogate is longer than the original.
 """
@@ -21,8 +22,8 @@ from loglattice.llm.runtime import with_fields
 
 #: Given names by script and gender. Surrogates come from the same list as the name they replace.
 GIVEN = {
-    ("latin", "f"): "Anna Maria Emma Julia Laura Sarah Sophie Clara Lucia Elena Carmen Alice Emily Grace Hannah Ingrid Petra Sabine Claire Camille".split(),
-    ("latin", "m"): "John James Peter Thomas Paul Michael David Daniel Robert Hans Klaus Jürgen Pierre Jean Louis Carlos Miguel Javier Antonio Luis".split(),
+    ("latin", "f"): "Anna Maria Emma Julia Laura Sarah Sophie Clara Lucia Elena Carmen Alice Emily Grace Hannah Ingrid Petra Sabine Claire Camille Priya Ananya Lakshmi Deepa Fatima Aisha Layla Yasmin Mei Xiuying Yuki Sakura Haruka Minji Nguyet Amara Ngozi Wanjiku Olga Natalia Agnieszka Katarzyna Zuzana Ines Beatriz".split(),
+    ("latin", "m"): "John James Peter Thomas Paul Michael David Daniel Robert Hans Klaus Jürgen Pierre Jean Louis Carlos Miguel Javier Antonio Luis Arjun Rahul Vikram Sanjay Mohammed Ahmed Omar Hassan Wei Jun Hiroshi Kenji Takeshi Minjun Quang Chidi Kwame Tunde Sergei Dmitri Piotr Tomasz Jiri Mateus Thiago".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
     ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Андрей Николай Михаил".split(),
 }
@@ -33,7 +34,7 @@ UPPER, LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
 _title = "|".join(re.escape(t) for ts in TITLES.values() for t in ts)
 _given = "|".join(n for names in GIVEN.values() for n in names)
 PATTERN = re.compile(
-    rf"""(?P<email>[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{{2,}})
+    rf"""(?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{{2,}})
     |(?P<iban>\b[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?\b)
     |(?P<secret>\b(?:sk|pk|ghp|gho|xox[bp]|AKIA)[_\-]?[A-Za-z0-9_\-]{{16,}}\b|(?<=["'=])[A-Fa-f0-9]{{32,}}\b)
     |(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))
@@ -48,8 +49,8 @@ SIGNS = re.compile(r"[@0-9]|(?:sk|pk|gh[po]|xox[bp]|AKIA)[_\-]?[A-Za-z0-9_\-]{16
 NAMES = [f"{w} " for ws in (*TITLES.values(), *GIVEN.values()) for w in ws]
 ENTITY = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("surrogate", pa.string()), ("moved", pa.bool_())]))
 
-_classes = [("0123456789",), ("abcdefghijklmnopqrstuvwxyz",), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ",)]
-_class_of = {c: k for k, (letters,) in enumerate(_classes) for c in letters}
+CLASSES, HEX = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("0123456789", "abcdef", "ABCDEF")
+_class_of = {c: k for k, letters in enumerate(CLASSES) for c in letters}
 
 
 def _number(digits: list[int], radices: list[int]) -> int:
@@ -103,12 +104,12 @@ def _round(key: bytes, k: int, half: int, n: int) -> int:
     return int.from_bytes(hashlib.blake2b(b"%d:%d" % (k, half), key=key, digest_size=32).digest(), "big") % n
 
 
-def permute_text(text: str, key: bytes, fixed: set[int] = frozenset()) -> str:
+def permute_text(text: str, key: bytes, fixed: set[int] = frozenset(), classes: tuple[str, ...] = CLASSES) -> str:
     """Permute letters and digits within their own class, all else and the positions in ``fixed`` staying."""
     at = [k for k, c in enumerate(text) if c in _class_of and k not in fixed]
     if not at:
         return text
-    pools = [_classes[_class_of[text[k]]][0] for k in at]
+    pools = [classes[_class_of[text[k]]] for k in at]
     # The format is part of the key: texts of other formats are permuted independently.
     got = permute([p.index(text[k]) for k, p in zip(at, pools, strict=True)], [len(p) for p in pools], key)
     out = list(text)
@@ -181,6 +182,12 @@ def _phone(v: str, key: bytes) -> str:
     return permute_text(v, key, set(range(m.end() if m else 0)))
 
 
+def _secret(v: str, key: bytes) -> str:
+    """The issuer's prefix stays; what has none is hexadecimal and stays so."""
+    m = re.match(r"(?:sk|pk|gh[po]|xox[bp]|AKIA)[_\-]?", v)
+    return permute_text(v, key, set(range(m.end()))) if m else permute_text(v, key, classes=HEX)
+
+
 @lru_cache(1 << 10)
 def _pool(script: str, gender: str, key: bytes) -> dict[str, str]:
     names = GIVEN[script, gender]
@@ -211,7 +218,7 @@ def _name(v: str, key: bytes) -> str:
     return "".join(out)
 
 
-SURROGATES = {"email": _email, "iban": _iban, "secret": permute_text, "ip": _ip, "ssn": permute_text, "phone": _phone, "card": _card, "name": _name}
+SURROGATES = {"email": _email, "iban": _iban, "secret": _secret, "ip": _ip, "ssn": permute_text, "phone": _phone, "card": _card, "name": _name}
 
 
 @lru_cache(1 << 14)
@@ -238,13 +245,52 @@ def longer(kind: str, value: str, key: bytes, n: int) -> str:
     if kind == "email":
         local, _, host = _email(value, k).partition("@")
         return "".join("abcdefghijklmnopqrstuvwxyz"[d % 26] for d in drawn[: min(64, len(local) + 1 + n // 8)]) + "@" + host
+    if kind != "name":
+        return value + "".join("0123456789"[d % 10] for d in drawn[: 1 + n // 8])
     head, _, last = _name(value, k).rpartition(" ")
     letters = "абвгдежзиклмнопрстуфхцчшщэюя" if re.search("[А-ЯЁа-яё]", last) else "abcdefghijklmnopqrstuvwxyz"
-    return f"{head} " + "".join(letters[d % len(letters)] for d in drawn[: min(64, len(last) + 1 + n // 8)]).capitalize()
+    return f"{head} ".lstrip() + "".join(letters[d % len(letters)] for d in drawn[: min(64, len(last) + 1 + n // 8)]).capitalize()
+
+
+def canonical(kind: str, value: str) -> str:
+    """What an entity is whatever its spelling."""
+    if kind == "email":
+        return value.lower()
+    if kind == "phone":
+        return "".join(c for c in value[_country(value) :] if c.isdigit())
+    if kind == "card":
+        return "".join(c for c in value if c.isdigit())
+    if kind == "iban":
+        return value.replace(" ", "")
+    if kind == "name":
+        words = value.split()
+        return " ".join(words[1:] if any(words[0] in ts for ts in TITLES.values()) else words)
+    return value
+
+
+def _country(phone: str) -> int:
+    """Where a number's national part begins."""
+    m = re.match(r"\+\d{1,3}(?=[ .\-(])|\+1(?=\d{10}$)", phone)
+    return m.end() if m else 0
+
+
+def spelled(kind: str, value: str, new: str) -> str:
+    """The canonical surrogate ``new`` in the spelling of ``value``."""
+    if kind == "email":
+        return "".join(c.upper() if o.isupper() else c for c, o in zip(new, value, strict=True)) if len(new) == len(value) else new
+    if kind in ("phone", "card", "iban"):
+        at = _country(value) if kind == "phone" else 0
+        left = iter(new)
+        return value[:at] + "".join(next(left) if c.isalnum() else c for c in value[at:])
+    if kind == "name":
+        title = re.match(rf"(?:{_title}) +", value)
+        words, gaps = new.split(" "), re.findall(" +", value[title.end() if title else 0 :])
+        return (title.group() if title else "") + words[0] + "".join(g + w for g, w in zip([*gaps, *[" "] * len(words)], words[1:], strict=False))
+    return new
 
 
 def assign(values: dict[tuple[str, str], None], key: bytes) -> dict[tuple[str, str], tuple[str, bool]]:
-    """(surrogate, moved) of each (type, value) of a text: no surrogate is a value of the text or another's surrogate."""
+    """(surrogate, moved) of each (type, canonical value) of a text: no surrogate is a value of the text or another's surrogate."""
     got: dict[tuple[str, str], tuple[str, bool]] = {}
     used = {value for _, value in values}
     late, ahead = [], {}
@@ -280,22 +326,26 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[dict]]:
     found = detect(text)
     if not found:
         return text, []
-    surrogates = assign(dict.fromkeys((kind, text[a:b]) for kind, a, b in found), key)
+    surrogates = assign(dict.fromkeys((kind, canonical(kind, text[a:b])) for kind, a, b in found), key)
     out, at, entities = [], 0, []
     for kind, a, b in found:
-        new, moved = surrogates[kind, text[a:b]]
+        new, moved = surrogates[kind, canonical(kind, text[a:b])]
+        new = spelled(kind, text[a:b], new)
         entities.append({"type": kind, "start": a, "end": b, "surrogate": new, "moved": moved})
         out += [text[at:a], new]
         at = b
     return "".join([*out, text[at:]]), entities
 
 
-def replace_pii(df: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """Replace entities in ``text_col`` and add ``pii``: (type, start, end, surrogate, moved) in order of the original.
+def replace_pii(df: DataFrame, key: bytes, text_col: str = "text", report: str | None = "pii") -> DataFrame:
+    """Replace entities in ``text_col``, and report (type, start, end, surrogate, moved) in order of the original in a column of that name.
 
-    A null text stays null with no entities. All other columns pass through.
+    A null text stays null with no entities, an empty one empty. All other columns pass through, but for one with the
+    report's name, which it replaces; with ``report`` None no column is added. Equal rows come out equal; an empty table
+    stays empty.
     """
-    names = [f.name for f in df.schema.fields]
+    df = df.drop(report) if report else df
+    names = df.columns
     t = names.index(text_col)
     key = hashlib.blake2b(key, digest_size=32).digest()
 
@@ -308,6 +358,6 @@ def replace_pii(df: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
                 texts.append(new)
                 spans.append(found)
             columns = [pa.array(texts, pa.string()) if k == t else c for k, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, ENTITY)], names=[*names, "pii"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, ENTITY)] if report else columns, names=[*names, report] if report else names)
 
-    return df.mapInArrow(run, with_fields(df.schema, "pii array<struct<type:string,start:bigint,end:bigint,surrogate:string,moved:boolean>>"))
+    return df.mapInArrow(run, with_fields(df.schema, f"`{report}` array<struct<type:string,start:bigint,end:bigint,surrogate:string,moved:boolean>>") if report else df.schema)
