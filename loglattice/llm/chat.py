@@ -37,6 +37,15 @@ def unescape(text: str) -> str:
     return text.replace("\\l", "<").replace("\\b", "\\")
 
 
+def escape_role(role: str | None) -> str:
+    """A role ends at the first bar, so it holds none; no role at all is told from an empty one."""
+    return "\\0" if role is None else escape(role).replace("|", "\\p")
+
+
+def unescape_role(role: str) -> str | None:
+    return None if role == "\\0" else unescape(role.replace("\\p", "|"))
+
+
 class Visitor:
     """Flattens the parts of one conversation; one method a part type, unknown types are kept as documents."""
 
@@ -73,7 +82,7 @@ def format_conversation(turns: list[dict], at: int = 0, first: int = 0) -> dict:
     """
     visitor, out, spans = Visitor(first), [], []
     for turn in turns:
-        head = f"{OPEN}{escape(turn['role'] or '')}{MID}"
+        head = f"{OPEN}{escape_role(turn['role'])}{MID}"
         body = "".join(map(visitor.visit, turn["parts"] or []))
         if turn["role"] == "assistant":
             spans.append({"start": at + len(head), "end": at + len(head) + len(body)})
@@ -82,12 +91,12 @@ def format_conversation(turns: list[dict], at: int = 0, first: int = 0) -> dict:
     return {"formatted": "".join(out), "loss_spans": spans, "attachments": visitor.attachments, "media_tokens": sum(a["tokens"] for a in visitor.attachments), "n_turns": len(turns)}
 
 
-def parse_formatted(formatted: str) -> list[tuple[str, str]]:
+def parse_formatted(formatted: str) -> list[tuple[str | None, str]]:
     """(role, text) of each turn, read from the output; placeholders stay as they stand in the text."""
     turns = []
     for piece in formatted.split(CLOSE)[:-1]:
         role, _, body = piece[len(OPEN) :].partition(MID)
-        turns.append((unescape(role), unescape(body)))
+        turns.append((unescape_role(role), unescape(body)))
     return turns
 
 
@@ -161,8 +170,10 @@ def format_chats(rows: DataFrame, key: str = "conv_id", order: str = "turn", rol
 
 
 def read_back(formatted: DataFrame, key: str = "conv_id", ordered: bool = False) -> DataFrame:
-    """Digests of what the formatted output and its loss mask say, one row per conversation.
+    """Digests of what the formatted output and its loss mask say, one row per conversation; none for an empty table.
 
+    A null role counts as an empty one in the digest, as a null text was an empty one from the start; a null key is a
+    conversation of its own. Turns that tie or repeat stand as they were formatted.
     ``ordered``: the pieces come straight from ``format_chats``; else they are put in order first.
     """
     key_type = formatted.schema[key].dataType.simpleString()
@@ -192,7 +203,7 @@ def read_back(formatted: DataFrame, key: str = "conv_id", ordered: bool = False)
                 row = rows[-1]
                 for n, v in zip(counts, (len(turns), len(masked), len(text), len(attached), media.as_py()), strict=True):
                     row[n] += v
-                row["turns_sha256"].update("".join(f"{r}\n{t}\n" for r, t in turns).encode())
+                row["turns_sha256"].update("".join(f"{r or ''}\n{t}\n" for r, t in turns).encode())
                 row["loss_sha256"].update(masked.encode())
         if rows:
             yield out()

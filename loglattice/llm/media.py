@@ -20,6 +20,7 @@ from loglattice.llm.runtime import with_fields
 
 WIDTH = 64
 RATE = 8000
+PIECE = 1 << 16
 
 
 def wav_of(payload: bytes) -> bytes:
@@ -28,12 +29,9 @@ def wav_of(payload: bytes) -> bytes:
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(payload) + pad, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", len(payload)) + payload + b"\0" * pad
 
 
-def samples_of(media: bytes) -> bytes | None:
-    """The data chunk of a RIFF/WAVE file."""
-    for name, start, size in _riff_chunks(media, 0, len(media)):
-        if name == b"data":
-            return media[start : start + size]
-    return None
+def samples_at(media: bytes) -> tuple[int, int] | None:
+    """(start, size) of the data chunk of a RIFF/WAVE file, wherever it stands."""
+    return next(((start, size) for name, start, size in _riff_chunks(media, 0, len(media)) if name == b"data"), None)
 
 
 def _riff_chunks(b: bytes, at: int, end: int):
@@ -127,10 +125,14 @@ def _pdf(b: bytes, at: int) -> int:
 
 
 def _gzip(b: bytes, at: int) -> int:
+    """What it unpacks to is read in pieces and let go."""
     try:
-        d = zlib.decompressobj(31)
-        d.decompress(b[at:])
-        return len(b) - at - len(d.unused_data) if d.eof else 0
+        d, pos = zlib.decompressobj(31), at
+        while not d.eof and (pos < len(b) or d.unconsumed_tail):
+            piece = d.unconsumed_tail or b[pos : pos + PIECE]
+            pos += 0 if d.unconsumed_tail else len(piece)
+            d.decompress(piece, PIECE)
+        return pos - at - len(d.unused_data) if d.eof else 0
     except zlib.error:
         return 0
 
@@ -209,32 +211,52 @@ def sniff(media: bytes, automaton: ahocorasick.Automaton | None = None) -> list[
 
 
 def sniff_media(df: DataFrame, media_col: str = "media", declared_col: str = "declared_type") -> DataFrame:
-    """Add detected_type, corrected, media_length and embedded (type, start, length) to each row.
+    """Add detected_type, corrected, media_length, payload (start, size: the samples of a WAV) and embedded (type, start, length).
 
     A null or empty value, and one that no validator confirms at byte 0, has a null detected type and is not
-    corrected. Extra columns pass through.
+    corrected. Extra columns pass through, but for those of the names added, which are replaced.
     """
-    names = [f.name for f in df.schema.fields]
-    out_schema = with_fields(df.schema, "detected_type string, corrected boolean, media_length long, embedded array<struct<type:string,start:bigint,length:bigint>>")
+    added = "detected_type string, corrected boolean, media_length long, payload struct<start:bigint,size:bigint>, embedded array<struct<type:string,start:bigint,length:bigint>>"
+    new = ["detected_type", "corrected", "media_length", "payload", "embedded"]
+    df = df.drop(*new)
+    names = df.columns
     m, d = names.index(media_col), names.index(declared_col)
     kind = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
+    part = pa.struct([("start", pa.int64()), ("size", pa.int64())])
 
     def run(batches):
         auto = _automaton()
         for batch in batches:
-            got = [sniff(x.as_py() or b"", auto) if x.is_valid else [] for x in batch.column(m)]
+            raw = [x.as_py() for x in batch.column(m)]
+            got = [sniff(x, auto) if x else [] for x in raw]
             top = [next((f for f in fs if f[1] == 0), None) for fs in got]
             rest = [[{"type": t, "start": s, "length": n} for t, s, n in fs if s] for fs in got]
+            place = [samples_at(x) if t and t[0] == "audio/wav" else None for t, x in zip(top, raw, strict=True)]
             declared = batch.column(d).to_pylist()
-            columns = [*batch.columns, pa.array([t and t[0] for t in top], pa.string()), pa.array([bool(t and t[0] != x) for t, x in zip(top, declared, strict=True)], pa.bool_()), pa.array([t and t[2] for t in top], pa.int64()), pa.array(rest, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "detected_type", "corrected", "media_length", "embedded"])
+            columns = [*batch.columns, pa.array([t and t[0] for t in top], pa.string()), pa.array([bool(t and t[0] != x) for t, x in zip(top, declared, strict=True)], pa.bool_()), pa.array([t and t[2] for t in top], pa.int64())]
+            columns += [pa.array([p and {"start": p[0], "size": p[1]} for p in place], part), pa.array(rest, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *new])
 
-    return df.mapInArrow(run, out_schema)
+    return df.mapInArrow(run, with_fields(df.schema, added))
+
+
+def carve_media(sniffed: DataFrame, media_col: str = "media") -> DataFrame:
+    """One row for each medium embedded in another: the row's other columns, ``carved`` (type, start, length) and its bytes as ``media_col``.
+
+    Media without any give no row.
+    """
+    own = [c for c in sniffed.columns if c not in (media_col, "carved", "embedded", "detected_type", "corrected", "media_length", "payload")]
+    each = sniffed.select(*own, media_col, F.explode("embedded").alias("carved"))
+    return each.withColumn(media_col, F.substring(media_col, F.col("carved.start").cast("int") + 1, F.col("carved.length").cast("int")))
 
 
 def text_to_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``media`` (a WAV of the padded UTF-8 bytes), ``n_bytes`` and a declared type that knows nothing."""
-    names = [f.name for f in docs.schema.fields]
+    """Add ``media`` (a WAV of the padded UTF-8 bytes; null is an empty text), ``n_bytes`` and a declared type that knows nothing.
+
+    Columns of these names are replaced.
+    """
+    docs = docs.drop("n_bytes", "media", "declared_type")
+    names = docs.columns
     t = names.index(text_col)
 
     def run(batches):
@@ -249,11 +271,14 @@ def text_to_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, with_fields(docs.schema, "n_bytes long, media binary, declared_type string"))
 
 
-def media_features(stored: DataFrame) -> DataFrame:
-    """Digest columns of stored media: what the data chunk holds, hashed, and a feature line."""
-    pcm = F.when(F.col("detected_type") == "audio/wav", F.expr("substring(media, 45, media_length - 44)"))
+def media_features(sniffed: DataFrame) -> DataFrame:
+    """Digest columns of stored media: what the data chunk holds, hashed, and a feature line.
+
+    Media that are no WAV have null payload columns; their own digests stay. An empty table stays empty.
+    """
+    pcm = F.when(F.col("payload").isNotNull(), F.substring("media", F.col("payload.start").cast("int") + 1, F.col("payload.size").cast("int")))
     return (
-        stored.withColumn("payload", pcm)
+        sniffed.withColumn("payload", pcm)
         .withColumn("payload_bytes", F.octet_length("payload").cast("long"))
         .withColumn("payload_sha256", F.sha2("payload", 256))
         .withColumn("tail_crc32", F.crc32(F.expr(f"substring(payload, payload_bytes - {WIDTH - 1}, {WIDTH})")))

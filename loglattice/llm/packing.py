@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.runtime import materialize, number_rows
+from loglattice.llm.runtime import number_rows
 
 CAPACITIES = (2048, 4096, 8192, 16384)
 #: Cost of a bin besides its positions, in positions: what a sequence costs whatever its length.
@@ -32,8 +32,30 @@ class Group:
     items: list[tuple[int, int, int]] = field(default_factory=list)
 
 
+#: Different lengths that an opening bin is reckoned to be filled with.
+KINDS = 12
+
+
+def fill_of(capacity: int, length: int, left: int, waiting: list[int], free: dict[int, int]) -> list[tuple[int, int]]:
+    """(length, how many of it) that best fit would put into a bin: this length first, then the largest that still fit."""
+    fill = [(length, min(capacity // length, left))]
+    room = capacity - length * fill[0][1]
+    k = len(waiting)
+    while room > 0 and len(fill) < KINDS and (k := bisect.bisect_right(waiting, room, 0, k)):
+        n = waiting[k - 1]
+        k -= 1
+        if m := min(room // n, free[n]):
+            fill.append((n, m))
+            room -= m * n
+    return fill
+
+
 def plan_bins(counts: dict[int, int], capacities: tuple[int, ...], bin_cost: int = BIN_COST) -> list[Group]:
-    """Best fit over decreasing lengths; ranks of a length are used up in order, so each run is contiguous."""
+    """Best fit over decreasing lengths; ranks of a length are used up in order, so each run is contiguous.
+
+    A bin is opened in the capacity whose cost for each position is least, all permitted ones being filled on paper with
+    the lengths still to be packed; at the end every bin is downsized to its contents.
+    """
     sizes = sorted(capacities)
     open_bins: dict[int, list[Group]] = {}  # by room left
     rooms: list[int] = []  # its keys, sorted
@@ -48,8 +70,11 @@ def plan_bins(counts: dict[int, int], capacities: tuple[int, ...], bin_cost: int
             open_bins[room] = [group]
             bisect.insort(rooms, room)
 
-    for length in sorted((n for n in counts if n > 0), reverse=True):
+    waiting = sorted(n for n in counts if n > 0)
+    free = {n: counts[n] for n in waiting}
+    for length in waiting[::-1]:
         left, rank = counts[length], 0
+        waiting = waiting[:-1]
         while left and (k := bisect.bisect_left(rooms, length)) < len(rooms):
             room = rooms[k]  # the tightest fit
             group = open_bins[room].pop()
@@ -64,10 +89,13 @@ def plan_bins(counts: dict[int, int], capacities: tuple[int, ...], bin_cost: int
             put(Group(group.capacity, bins, [*group.items, (length, each, rank)]), room - each * length)
             rank, left = rank + each * bins, left - each * bins
         while left:
-            # The capacity whose bins, filled with this length, cost least for each position used.
-            capacity = min((c for c in sizes if c >= length), key=lambda c: ((c + bin_cost) / (c // length * length), -c))
-            each = min(capacity // length, left)
-            bins = left // each
+            # The capacity that costs least for each position, as this length and what is still to come fill it.
+            fills = [(fill_of(c, length, left, waiting, free), c) for c in sizes if c >= length]
+            fill, capacity = min(fills, key=lambda f: ((f[1] + bin_cost) / sum(n * m for n, m in f[0]), -f[1]))
+            each = fill[0][1]
+            bins = max(1, min([left // each, *(free[n] // m for n, m in fill[1:])]))
+            for n, m in fill[1:]:
+                free[n] -= m * bins  # spoken for: the next bin opened reckons without it
             put(Group(capacity, bins, [(length, each, rank)]), capacity - each * length)
             rank, left = rank + each * bins, left - each * bins
     for groups in open_bins.values():
@@ -82,7 +110,8 @@ def pack_best_fit(docs: DataFrame, length_col: str = "length", id_col: str = "do
     """(doc_id, piece, n_pieces, length, bin_id, capacity, offset): the place of every piece of every document.
 
     A document longer than the largest capacity is cut into pieces of that capacity and a rest. A row of null or
-    non-positive length needs no place and is returned with a null bin. Repeated rows are packed each.
+    non-positive length needs no place and is returned with a null bin. Repeated rows are packed each, in some order; a
+    null id is like any other. An empty table gives no rows; other columns are ignored.
     """
     top = max(capacities)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(0)), F.lit(0)).alias("total"))
@@ -118,4 +147,27 @@ def pack_best_fit(docs: DataFrame, length_col: str = "length", id_col: str = "do
     return placed.unionByName(rows.where("total = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).alias("n_pieces"), F.lit(0).cast("long").alias("length")), allowMissingColumns=True)
 
 
-__all__ = ["CAPACITIES", "Group", "materialize", "pack_best_fit", "plan_bins"]
+def pack_sequences(docs: DataFrame, ids_col: str, width: int, id_col: str = "doc_id", capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
+    """(bin_id, capacity, used, ids, parts): the training sequences themselves.
+
+    ``ids_col`` holds a document's token ids, ``width`` bytes each (null or empty: the document has no place). ``ids`` is a
+    sequence's ids, end to end; ``parts`` says in order of offset which piece of which document stands where. Rows that
+    share an id are packed each with its own ids; a null id is like any other. A sequence is at most the largest capacity
+    long, whatever the corpus. An empty table gives no rows; other columns are ignored.
+    """
+    top = max(capacities)
+    # A row is known by its id and a hash of its ids; equal rows hold equal ids, so that one of them serves all places.
+    rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(ids_col).alias("h")).alias("row"), F.col(ids_col).alias("_ids"))
+    places = pack_best_fit(rows.select("row", F.floor(F.octet_length("_ids") / width).alias("length")), id_col="row", capacities=capacities).where("bin_id is not null").withColumnRenamed("doc_id", "row")
+    rows = rows.dropDuplicates(["row"])
+    part = F.struct("offset", F.col("row.doc_id").alias("doc_id"), "piece", "length", F.substring("_ids", (F.col("piece") * top * width).cast("int") + 1, (F.col("length") * width).cast("int")).alias("ids"))
+    bins = places.join(rows, "row").select("bin_id", "capacity", part.alias("part")).groupBy("bin_id", "capacity").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    whole = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
+    used = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["length"])
+    return bins.select("bin_id", "capacity", used.alias("used"), whole.alias("ids"), F.transform("parts", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["offset"].alias("offset"), p["length"].alias("length"))).alias("parts"))
+
+
+def unpack(sequences: DataFrame, width: int) -> DataFrame:
+    """(doc_id, piece, bin_id, capacity, offset, length, ids): each piece as it stands in its sequence."""
+    each = sequences.select("bin_id", "capacity", "ids", F.explode("parts").alias("p"))
+    return each.select("p.doc_id", "p.piece", "bin_id", "capacity", "p.offset", "p.length", F.substring("ids", (F.col("p.offset") * width).cast("int") + 1, (F.col("p.length") * width).cast("int")).alias("ids"))

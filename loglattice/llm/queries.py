@@ -49,10 +49,15 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(chat.text_parts(rows.unionByName(extra))), ordered=True)
 
 
+def byte_tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, ids): byte-level tokens of the whole text, one byte each, and the end token 0."""
+    return docs.select("doc_id", F.concat(F.encode(F.coalesce("text", F.lit("")), "utf-8"), F.lit(b"\0")).alias("ids"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte-level tokens: the UTF-8 bytes of the whole text and one end token."""
-    docs = _docs(spark, sf_dir).select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("length"))
-    return packing.pack_best_fit(docs)
+    """Byte-level tokens in training sequences that are written and read back: where each piece stands, and a digest of what stands there."""
+    sequences = materialize(packing.pack_sequences(byte_tokens(_docs(spark, sf_dir)), "ids", 1), "sequences")
+    return packing.unpack(sequences, 1).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

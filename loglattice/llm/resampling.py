@@ -3,11 +3,14 @@
 Two hashed n-gram models are fitted: one of the target (labelled good text), one of the raw corpus. A document's
 importance weight is the ratio of its probability under the two, tilted by a per-gram threshold that the labels
 settle; Gumbel noise, keyed by the document, makes the k largest perturbed weights a sample without
-replacement. k is the number of documents on the good side of the threshold, so it grows with the corpus.
+replacement. k is a stated share of the documents or, without one, the number of those on the good side of the
+threshold: either grows with the corpus.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,8 +30,8 @@ HELD_OUT = 4
 PRIOR = 8.0
 #: Log ratios are drawn towards 0 by so much: what all clean text gains on raw text says nothing of one document.
 SHRINK = 0.3
-#: Gumbel noise is added to weight / TEMPERATURE: small keeps the sample close to the ranking.
-TEMPERATURE = 0.05
+#: Gumbel noise is added to weight / TEMPERATURE: at 1 documents are drawn by their importance weights.
+TEMPERATURE = 1.0
 
 
 def gram_buckets(text: str | None) -> np.ndarray:
@@ -102,7 +105,7 @@ def _threshold(x: np.ndarray, good: np.ndarray) -> float:
     return float(x[0] - 1e-9) if k == 0 else float(x[-1] + 1e-9) if k == len(x) else float((x[k - 1] + x[k]) / 2)
 
 
-def score(docs: DataFrame, ratio: np.ndarray, threshold: float) -> DataFrame:
+def score(docs: DataFrame, ratio: np.ndarray, threshold: float, temperature: float = TEMPERATURE) -> DataFrame:
     """(doc_id, n_grams, log_weight, gumbel_key) of every row; a text without words has weight 0."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
@@ -114,7 +117,7 @@ def score(docs: DataFrame, ratio: np.ndarray, threshold: float) -> DataFrame:
             w = w - np.where(n > 0, n * max(threshold, -1e6), 0)
             ids = np.array([xxhash.xxh3_64_intdigest(str(i).encode()) for i in batch.column(0).to_pylist()], np.uint64)
             noise = -np.log(-np.log(uniform(mix64(ids))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(w), pa.array(w / TEMPERATURE + noise)], names=["doc_id", "n_grams", "log_weight", "gumbel_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(w), pa.array(w / temperature + noise)], names=["doc_id", "n_grams", "log_weight", "gumbel_key"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double, gumbel_key double")
 
@@ -154,20 +157,24 @@ def kth_largest(scored: DataFrame, column: str, k: int) -> float | None:
     return float(raw.astype(np.uint64).view(np.float64)[0])
 
 
-def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """(doc_id, n_grams, log_weight, gumbel_key) of the documents drawn: the k largest perturbed weights.
 
-    k is the number of rows whose weight is not negative. Rows that tie with the last one are drawn too, so
-    repeated rows stay or go together. A null or empty text weighs 0 and counts as good; a null id is drawn like any other.
+    k is ``share`` of the rows, rounded up, or the number of rows whose weight is not negative. Rows that tie with the last
+    one are drawn too, so repeated rows stay or go together. A null or empty text weighs 0 and counts as good; a null id
+    is drawn like any other. An empty table gives no rows; other columns are ignored.
     """
     ratio, threshold = fit(docs, labels)
-    scored = materialize(score(docs, ratio, threshold), "resampling-scores")
-    k = scored.where("log_weight >= 0").count()
+    scored = materialize(score(docs, ratio, threshold, temperature), "resampling-scores")
+    k = scored.where("log_weight >= 0").count() if share is None else math.ceil(share * scored.count())
     cut = kth_largest(scored, "gumbel_key", k) if k else None
     return scored.where(F.col("gumbel_key") >= cut) if cut is not None else scored.limit(0)
 
 
 def keep_resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are drawn, with their own columns. Rows with a null id are kept: nothing identifies them."""
+    """The rows of ``docs`` that are drawn, with their own columns. Rows with a null id are kept: nothing identifies them.
+
+    Rows that share an id stay if one of them is drawn.
+    """
     drawn = resample(docs, labels).where("doc_id is not null").select("doc_id").distinct()
     return docs.join(materialize(drawn, "resampling-drawn"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
