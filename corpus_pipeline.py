@@ -6,30 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglattice.llm import jaccard, packing, pii, resampling
-from loglattice.llm.queries import PII_KEY
+from loglattice.llm.queries import PII_KEY, byte_tokens
 from loglattice.llm.runtime import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the resampling rejects go."""
+    """Documents that the resampling rejects go; rows that share an id stay or go together, those without one stay."""
     return resampling.keep_resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word-shingle similarity 0.8 or more stays: the one with the smallest id."""
+    """One document of each group of five-word-shingle similarity 0.8 or more stays: the one with the smallest id. Of rows that share an
+    id one stays; null and empty texts, and rows without an id, all stay."""
     return jaccard.keep_one_of_each(docs, words=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Entities are replaced in the text; n_chars follows it."""
-    columns = docs.columns
-    out = pii.replace_pii(docs, PII_KEY).drop("pii")
-    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(*columns)
+    """Entities are replaced in the text, row by row; n_chars follows it. A null text stays null."""
+    out = pii.replace_pii(docs, PII_KEY, report=None)
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each document's UTF-8 bytes and end token in the training sequences."""
-    return packing.pack_best_fit(docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("length")))
+    """The training sequences of each document's UTF-8 bytes and end token; a null text is an empty one, rows that share an id are packed each."""
+    return packing.pack_sequences(byte_tokens(docs), "ids", 1)
 
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("PII", personal_data), ("best-fit packing", packed)]
