@@ -69,8 +69,8 @@ def op9_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    stored = materialize(segmentation.sample_segmentations(_docs(spark, sf_dir), model, k=3), "segmentations")
-    return segmentation.decode_segmentations(stored, model).select("doc_id", "rank", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"), "log_prob", "perturbed", "log_inclusion")
+    drawn = segmentation.sample_segmentations(_docs(spark, sf_dir), model, k=3)
+    return segmentation.decode_segmentations(drawn, model).select("doc_id", "rank", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"), "log_prob", "perturbed", "log_inclusion")
 
 
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

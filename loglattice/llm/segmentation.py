@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,9 @@ RANK_SHIFT = 100.0
 BYTE_SCORE = -14.0
 SAMPLES = 3
 #: Characters of text worked on at a time; a longer text is worked on alone.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 2_000_000
+#: Ids decoded at a time; a longer row is decoded alone.
+DECODE_IDS = 200_000
 #: Log-probabilities are in units of 2^-LOG_BITS, shares of a lattice node in units of 2^-SHARE_BITS.
 LOG_BITS, SHARE_BITS = 36, 60
 LOG_ONE, SHARE_ONE = 1 << LOG_BITS, 1 << SHARE_BITS
@@ -476,29 +479,34 @@ def decode_segmentations(df: DataFrame, model_file: str, ids_col: str = "ids", n
     df = df.drop(name)
     names, at = [*df.columns, name], df.columns.index(ids_col)
 
+    def text_of(v: Vocabulary, blobs: list[bytes | None]) -> pa.Array:
+        flat = np.frombuffer(b"".join(b or b"" for b in blobs), "<u4")
+        flat = np.where(flat < len(v.size), flat, 0)  # the unknown piece says nothing
+        ends = np.cumsum([len(b or b"") // 4 for b in blobs])
+        raw = v.blob[_ranges(v.place[flat], v.size[flat])]
+        upto = np.r_[0, np.cumsum(v.size[flat])]
+        a, b = upto[np.r_[0, ends[:-1]]], upto[ends]
+        keep = np.ones(len(raw), bool)
+        first = a[b > a]
+        keep[first[raw[first] == 0x20]] = False
+        left = np.r_[0, np.cumsum(keep)]
+        text = _cut_up(raw[keep], left[b] - left[a], pa.binary())
+        try:
+            text = text.cast(pa.string())
+        except pa.ArrowInvalid:
+            text = pa.array([x.decode("utf-8", "replace") for x in text.to_pylist()], pa.string())
+        return pa.compute.if_else(pa.array([b is not None for b in blobs]), text, pa.scalar(None, pa.string())) if None in blobs else text
+
     def run(batches):
         v = vocabulary(model_file)
         for batch in batches:
-            column = batch.column(at)
-            blobs = column.fill_null(b"") if column.null_count else column
-            flat = np.frombuffer(b"".join(blobs.to_pylist()), "<u4").astype(np.int64)
-            n = np.fromiter((len(b) // 4 for b in map(pa.BinaryScalar.as_py, blobs)), np.int64, len(blobs))
-            flat[flat >= len(v.size)] = 0  # the unknown piece says nothing
-            raw = v.blob[_ranges(v.place[flat], v.size[flat])]
-            upto = np.r_[0, np.cumsum(v.size[flat])]
-            ends = np.cumsum(n)
-            a, b = upto[ends - n], upto[ends]
-            keep = np.ones(len(raw), bool)
-            first = a[b > a]
-            keep[first[raw[first] == 0x20]] = False
-            left = np.r_[0, np.cumsum(keep)]
-            text = _cut_up(raw[keep], left[b] - left[a], pa.string())
-            try:
-                text.validate(full=True)
-            except pa.ArrowInvalid:
-                text = pa.array([x.decode("utf-8", "replace") for x in text.cast(pa.binary()).to_pylist()], pa.string())
-            if column.null_count:
-                text = pa.compute.if_else(column.is_valid(), text, pa.scalar(None, pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=names)
+            sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False) // 4)
+            lo = 0
+            while lo < batch.num_rows:
+                done = int(sizes[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(sizes, done + DECODE_IDS, "right")))
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, text_of(v, part.column(at).to_pylist())], names=names)
+                lo = hi
 
     return df.mapInArrow(run, with_fields(df.schema, f"`{name}` string"))
