@@ -42,7 +42,108 @@ def share(part: Column, rest: Column) -> Column:
 
 
 def basename(uri: Column) -> Column:
-    return F.regexp_extract(uri, r"([^/]*)/*$", 1)
+    """The last part of a path or URI, with its percent signs decoded; what cannot be decoded stays as it is."""
+    last = F.regexp_extract(uri, r"([^/]*)/*$", 1)
+    return F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last)
+
+
+def agent_name(agent: Column) -> Column:
+    return F.when(agent == "claude-code", "claude").otherwise(agent)
+
+
+def first_number(*aliases: Column, kind: str = "long") -> Column:
+    """The first alias that holds a usable number: neither missing nor infinite nor none."""
+    return F.coalesce(*(finite(F.expr("null").cast("double") if a is None else a.try_cast("double")) for a in aliases)).cast(kind)
+
+
+def digest(*parts: Column, length: int = 16) -> Column:
+    """The beginning of the SHA-1 of the parts, set apart by zero characters."""
+    return F.substring(F.sha1(F.concat_ws("\0", *parts)), 1, length)
+
+
+def content_signature(argv: Column, answer: Column) -> Column:
+    """(args_hash, answer_hash) of a tool run, whatever its program is called and however its answer is padded."""
+    tail = F.slice(argv, 2, F.greatest(F.size(argv) - 1, F.lit(0)))
+    return F.struct(digest(F.array_join(tail, "\0")).alias("args_hash"), digest(F.trim(F.coalesce(answer, F.lit("")))).alias("answer_hash"))
+
+
+def read_signature(path: Column, revision: Column) -> Column:
+    """(args_hash, answer_hash) of a report that was read: its path in one spelling, and the second of its graph's last change."""
+    return F.struct(digest(F.lower(F.replace(path, F.lit("\\"), F.lit("/")))).alias("args_hash"), digest(F.coalesce(F.floor(revision).cast("string"), F.lit(""))).alias("answer_hash"))
+
+
+def key_of(text: Column) -> Column:
+    """The key of a prompt or a place: the beginning of its SHA-256."""
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
+def under(path: Column, root: Column) -> Column:
+    """Whether a directory is the root or lies below it."""
+    return (path == root) | path.startswith(F.concat(root, F.lit("/")))
+
+
+def relative_to(path: Column, root: Column) -> Column:
+    """A path within a repository, from its root; NULL for one outside."""
+    return F.when(path.startswith(F.concat(root, F.lit("/"))), F.substring(path, F.length(root) + 2, F.length(path)))
+
+
+def result_text(content: Column) -> Column:
+    """The text of a tool's result: a JSON string as it is, or its blocks' texts, one a line; empty for anything else."""
+    blocks = F.from_json(content, "array<struct<text: string, content: string>>")
+    many = F.array_join(F.filter(F.transform(blocks, lambda b: F.coalesce(b["text"], b["content"])), lambda t: t.isNotNull()), "\n")
+    bare = F.when(~F.ltrim(content).startswith("{"), content)
+    return F.coalesce(F.when(F.ltrim(content).startswith("["), many), bare, F.lit(""))
+
+
+def cell(value: Column, kind: str) -> Column:
+    """A value as it stands in a CSV file: never an exponent, lists joined by semicolons, nothing for NULL."""
+    if kind == "boolean":
+        text = F.when(value, "true").otherwise("false")
+    elif kind in ("double", "float"):
+        fixed = F.format_string("%.6f", value.cast("double"))
+        text = F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", "")
+    elif kind.startswith("array"):
+        text = F.array_join(F.transform(value, lambda v: cell(v, kind[6:-1])), ";")
+    elif kind.startswith(("struct", "map")):
+        text = F.to_json(value)
+    else:
+        text = value.cast("string")
+    return F.when(value.isNull(), "").otherwise(text)
+
+
+def thousands(n: Column) -> Column:
+    return F.format_number(F.bround(n).cast("long"), 0)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    return F.when(whole != 0, F.concat(F.bround(100 * part / whole).cast("long").cast("string"), F.lit("%"))).otherwise("—")
+
+
+def ago(seconds: Column) -> Column:
+    """How long ago, in words; below a minute and a half nothing is counted."""
+    s = F.greatest(seconds, F.lit(0))
+    unit = lambda size, mark: F.concat(F.floor(s / size).cast("string"), F.lit(f"{mark} ago"))
+    return F.when(s < 90, "just now").when(s < 5400, unit(60, "m")).when(s < 172800, unit(3600, "h")).otherwise(unit(86400, "d"))
+
+
+def hours(wall: Column, span: Column, attested_min: Column, cap_s: int = 0, estimate: bool = True) -> Column:
+    """(value, tier, reason): what a person attested, else the wall clock less the agents' span, else why there is none."""
+    said = F.round(attested_min / 60.0, 2)
+    guess = F.round(F.greatest(wall - span, F.lit(0)) / 3600.0, 2)
+    why = F.when(F.lit(not estimate), "no-estimate").when(wall.isNull(), "no-wall").when(span.isNull(), "no-agent-span").when(F.lit(cap_s > 0) & (wall > cap_s), "gap-too-wide")
+    return F.struct(
+        F.coalesce(said, F.when(why.isNull(), guess)).alias("value"), F.when(attested_min.isNotNull(), "attested").when(why.isNull(), "estimated").alias("tier"),
+        F.when(attested_min.isNotNull(), "").otherwise(F.coalesce(why, F.lit(""))).alias("reason"),
+    )
+
+
+def agent_percent(agent: Column, agent_lines: Column, residual: Column, rows: Column, pre_upgrade: Column, blind: list[str]) -> Column:
+    """(value, refusal): the agents' share of landed lines, or why there is none; the most structural reason first."""
+    refusal = (
+        F.when(agent.isin(blind), "coverage").when(F.coalesce(rows, F.lit(0)) == 0, "no-evidence").when(rows == pre_upgrade, "pre-upgrade")
+        .when(F.coalesce(agent_lines + residual, F.lit(0)) == 0, "no-evidence").otherwise("")
+    )
+    return F.struct(F.when(refusal == "", 100.0 * agent_lines / (agent_lines + residual)).alias("value"), refusal.alias("refusal"))
 
 
 #: Model names to providers (fixed values).

@@ -15,6 +15,41 @@ def latest_per_key(rows: DataFrame, keys: list[str], score: list[str]) -> DataFr
     return best.select(*keys, *(F.col("best")[c].alias(c) for c in rest))
 
 
+def credit_fold(rows: DataFrame) -> DataFrame:
+    """Of each session's credit rows, from either home, the one of most turns; the home still written wins a tie, then the id."""
+    return latest_per_key(rows, ["session"], ["turns", "live", "id"])
+
+
+def copilot_fold(rows: DataFrame) -> DataFrame:
+    """Of each (source, session, surface, request, call) the row of most tokens, then of most credits: none counts below zero."""
+    scored = rows.withColumn("_tokens", F.col("tokens_in") + F.col("tokens_out")).withColumn("_credits", F.coalesce("credits", F.lit(-1.0)))
+    return latest_per_key(scored, ["source", "session", "surface", "request", "call"], ["_tokens", "_credits", "id"]).drop("_tokens", "_credits")
+
+
+def kiro_fold(rows: DataFrame) -> DataFrame:
+    """Of each (source, session, turn, row_ref) the row of most turns, then of most tokens."""
+    scored = rows.withColumn("_tokens", F.col("tokens_in") + F.col("tokens_out"))
+    return latest_per_key(scored, ["source", "session", "turn", "row_ref"], ["turns", "_tokens", "id"]).drop("_tokens")
+
+
+def claude_chat_fold(rows: DataFrame) -> DataFrame:
+    """Of each session's transcript rows the one of most requests, then of most tokens."""
+    scored = rows.where("source = 'transcript'").withColumn("_tokens", F.col("tokens_in") + F.col("tokens_out"))
+    return latest_per_key(scored, ["session"], ["requests", "_tokens", "id"]).drop("_tokens")
+
+
+def claude_request_fold(rows: DataFrame) -> DataFrame:
+    """Of each (session, request) of the transcripts the row of most tokens."""
+    scored = rows.where("source = 'transcript'").withColumn("_tokens", F.col("tokens_in") + F.col("tokens_out"))
+    return latest_per_key(scored, ["session", "request"], ["_tokens", "id"]).drop("_tokens")
+
+
+def credits_of(rows: DataFrame) -> DataFrame:
+    """Conversation rows as credit rows; those without credits and without context say nothing and go."""
+    used = (F.coalesce("credits", F.lit(0.0)) > 0) | (F.coalesce("context_pct", F.lit(0.0)) > 0)
+    return rows.where(used).withColumn("credits", F.coalesce("credits", F.lit(0.0))).withColumn("unit", F.lit("credits")).withColumn("method", F.lit("measured"))
+
+
 def field_merge(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Each field's last recorded value: a later row overrides only what it has."""
     rest = [c for c in rows.columns if c not in (key, order)]

@@ -15,23 +15,6 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return whole.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("row")).where("row is not null").select("row.*")
 
 
-def append_new(rows: DataFrame, path: str, key: str = "id") -> int:
-    """Append the rows whose id is not in the table yet, once each, by month of their own time; gives how many."""
-    spark = rows.sparkSession
-    fresh = rows.dropDuplicates([key]).withColumn("month", F.substring("ts", 1, 7))
-    try:
-        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-    except Exception as e:  # the first rows of a table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    fresh = fresh.persist()
-    n = fresh.count()
-    if n:
-        fresh.write.mode("append").partitionBy("month").parquet(path)
-    fresh.unpersist()
-    return n
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

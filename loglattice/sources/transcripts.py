@@ -28,7 +28,7 @@ KIRO_IDE = "model string, provider string, promptTokens bigint, generatedTokens
 GRAPH = "nodes array<struct<source_file string, community string>>"
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line_no, line) of each line that is JSON."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value")
     lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
