@@ -39,10 +39,10 @@ class Encoder(dict):
     A space before visible text always starts a new pre-token, so a text is encoded unit by unit (a unit ends
     before such a space), and units repeat: each is encoded once per worker and then looked up. A unit with
     white space besides a space in front, and a text with an added token, are encoded by the library as they
-    are. With ``special`` an added token in a text has its own id, as in the library unless it is told otherwise.
+    are. An added token in a text has its own id, unless ``special`` is False.
     """
 
-    def __init__(self, tokenizer_file: str, special: bool = False):
+    def __init__(self, tokenizer_file: str, special: bool = True):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -84,7 +84,7 @@ class Encoder(dict):
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(tokenizer_file: str, special: bool = False) -> Encoder:
+def encoder(tokenizer_file: str, special: bool = True) -> Encoder:
     if (tokenizer_file, special) not in _encoders:
         _encoders[tokenizer_file, special] = Encoder(tokenizer_file, special)
     return _encoders[tokenizer_file, special]
@@ -117,11 +117,12 @@ def unshuffle_planes(payload: bytes, sizes: list[int], n_ids: int, mode: str, bl
     return out
 
 
-def write_token_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0, mode: str = "byte", id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> None:
+def write_token_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0, mode: str = "byte", id_col: str = "doc_id", text_col: str = "text", special: bool = True) -> None:
     """Encode every whole text (null: empty), append ``end_id`` and write the store in ascending id order.
 
-    Rows of one id are ordered by text; null ids come first. An empty table gives an empty store. With
-    ``special`` an added token in a text has its own id, otherwise it is text like any other.
+    Rows of one id are ordered by text; null ids come first. An empty table gives an empty store. An
+    added token in a text has its own id, as the library gives it; with ``special`` False it is text like any other.
+    Other columns are ignored.
     """
 
     def encode(batches):
@@ -160,7 +161,10 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
 
 
 def read_token_store(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): ids as little-endian uint32, decoded from the stored planes."""
+    """(doc_id, start, n_tokens, ids): ids as little-endian uint32, decoded from the stored planes; null and repeated ids as they were written.
+
+    A store of an empty table gives no rows.
+    """
 
     def decode(batches):
         for batch in batches:

@@ -30,7 +30,6 @@ def test_token_store_equals_the_tokenizer(spark, bpe):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe)
-    t.encode_special_tokens = True
     texts = ["Hello  world, it's 5 o'clock\n\n next", None, "", " lead and trail ", "größe x\t\ty ² ½ 日本語 🙂", "a\r\nb \n c", "<|endoftext|> x", "x" * 300 + " " + "y z" * 50, "tab\t tab", "x   y\x1c z"]
     rows = [(k, x) for k, x in enumerate(texts)] + [(3, "again"), (None, "null id")]
     random.Random(1).shuffle(rows)
@@ -43,6 +42,9 @@ def test_token_store_equals_the_tokenizer(spark, bpe):
         assert (r.doc_id, r.start, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) == (i, at, len(ids), ids)
         at, stream = at + len(ids), stream + ids
     assert token_store.read_id_range(spark, path, 5, 40) == stream[5:45]
+    empty = scratch(spark, "test-store")
+    token_store.write_token_store(spark.createDataFrame([], "doc_id long, text string"), empty, bpe)
+    assert token_store.read_token_store(spark, empty).count() == 0
 
 
 def test_sniffing_and_carving(spark):
