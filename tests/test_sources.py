@@ -79,7 +79,7 @@ def test_scalars(spark):
     assert values(["GPT-5", "claude-3", "gemini", "copilot/auto"], S.provider_of) == ["openai", "anthropic", "google", ""]
     assert values(["12", "123456", "1234567890", "x" * 14], S.token_estimate) == [0, 2, 2, 4]
     assert command_words("A=1 tool query x; cd d && tool explain y | grep z") == ["tool", "cd", "tool", "grep"] and command_words("a 'b") == []
-    assert cut({"a": [1, 2, 3], "b": "xyz"}, 2, 2) == {"a": [1, 2, "… 1 more"], "b": "xy… 1 more"}
+    assert cut({"a": [1, 2, 3], "b": "xyz"}, 2, 2) == {"a": [1, 2, "…+1 more"], "b": "xy…(+1 chars)"}
 
 
 def test_interval_join_over_days_and_ties(spark):
