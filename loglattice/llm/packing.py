@@ -156,12 +156,13 @@ def pack_sequences(docs: DataFrame, ids_col: str, width: int, id_col: str = "doc
     long, whatever the corpus. An empty table gives no rows; other columns are ignored.
     """
     top = max(capacities)
-    # A row is known by its id and a hash of its ids; equal rows hold equal ids, so that one of them serves all places.
+    # A row is known by its id and a hash of its ids. Equal rows meet each other's places as well: what stands at an offset twice is equal.
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(ids_col).alias("h")).alias("row"), F.col(ids_col).alias("_ids"))
     places = pack_best_fit(rows.select("row", F.floor(F.octet_length("_ids") / width).alias("length")), id_col="row", capacities=capacities).where("bin_id is not null").withColumnRenamed("doc_id", "row")
-    rows = rows.dropDuplicates(["row"])
     part = F.struct("offset", F.col("row.doc_id").alias("doc_id"), "piece", "length", F.substring("_ids", (F.col("piece") * top * width).cast("int") + 1, (F.col("length") * width).cast("int")).alias("ids"))
     bins = places.join(rows, "row").select("bin_id", "capacity", part.alias("part")).groupBy("bin_id", "capacity").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    again = lambda p, k: (k > 0) & (p["offset"] == F.get("parts", k - 1)["offset"])
+    bins = bins.withColumn("parts", F.filter("parts", lambda p, k: ~F.coalesce(again(p, k), F.lit(False))))
     whole = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
     used = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["length"])
     return bins.select("bin_id", "capacity", used.alias("used"), whole.alias("ids"), F.transform("parts", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["offset"].alias("offset"), p["length"].alias("length"))).alias("parts"))
