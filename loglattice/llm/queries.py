@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import chat, jaccard, media, mixing_lm, packing, pii, resampling, segmentation, token_store, vector_dedup
+from loglattice.llm import chat, errata_trie, fill_middle, jaccard, media, mixing_lm, oracles, packing, pii, resampling, segmentation, token_store, vector_dedup
 from loglattice.llm.runtime import materialize, scratch
 
 #: Named in the queries only; a deployment passes its own.
@@ -77,6 +77,14 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
 
 
+def op11_errata_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errata_trie.spelling_variants(_docs(spark, sf_dir))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_middle(_docs(spark, sf_dir), digests=True)
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -88,6 +96,8 @@ QUERIES = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_sampled_segmentations": op9_sampled_segmentations,
     "op10_vector_dedup": op10_vector_dedup,
+    "op11_errata_trie": op11_errata_trie,
+    "op12_fill_middle": op12_fill_middle,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_errata_trie": oracles.OP11, "op12_fill_middle": oracles.OP12}
