@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import chat, errata_trie, fill_middle, jaccard, media, mixing_lm, oracles, packing, pii, resampling, segmentation, token_store, vector_dedup
+from loglattice.llm import chat, errata_trie, fill_middle, jaccard, media, mixing_lm, oracles, packing, pii, resampling, segmentation, token_store, vector_dedup, wrapper
 from loglattice.llm.runtime import materialize, scratch
 
 #: Named in the queries only; a deployment passes its own.
@@ -85,6 +85,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fill_middle(_docs(spark, sf_dir), digests=True)
 
 
+def op13_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -98,6 +102,7 @@ QUERIES = {
     "op10_vector_dedup": op10_vector_dedup,
     "op11_errata_trie": op11_errata_trie,
     "op12_fill_middle": op12_fill_middle,
+    "op13_wrapper_induction": op13_wrapper_induction,
 }
 
 ORACLES: dict[str, str] = {"op11_errata_trie": oracles.OP11, "op12_fill_middle": oracles.OP12}

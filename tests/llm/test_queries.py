@@ -21,6 +21,8 @@ def small(spark, tmp_path_factory):
     spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, 0, "user", "hi <"), (1, 1, "assistant", "yes"), (2, 0, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, [1.0, 0.0], 2)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    pages = [(k, f"http://h.example/{k}", f"<body><nav><a>x{k}</a></nav><div>Same on all</div><article><p>Body {k} &amp; more</article>") for k in range(8)] + [(8, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
     return d, texts
 
 
@@ -28,8 +30,10 @@ def small(spark, tmp_path_factory):
 def test_every_query_runs_on_all_rows(spark, small, name):
     d, texts = small
     got = QUERIES[name](spark, d).collect()
-    n = {"op6_chat_formatting": 3, "op10_vector_dedup": 3}.get(name, len(texts))
-    assert got and (len(got) == n or name in ("op5_importance_resampling", "op7_best_fit_packing", "op9_sampled_segmentations"))
+    n = {"op6_chat_formatting": 3, "op10_vector_dedup": 3, "op13_wrapper_induction": 9}.get(name, len(texts))
+    assert got and (len(got) == n or name in ("op5_importance_resampling", "op7_best_fit_packing", "op9_sampled_segmentations", "op11_errata_trie"))
+    if name == "op13_wrapper_induction":
+        assert {x.page_id: x.text for x in got} == {k: f"Body {k} & more" for k in range(8)} | {8: ""}
     if name == "op3_media_sniffing":
         for x in got:
             raw = (texts[x.doc_id] or "").encode()
