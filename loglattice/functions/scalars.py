@@ -188,13 +188,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
 
 
-def topic_score(terms: Column, asked: list[str]) -> Column:
-    """Three for each asked word among the terms, two for one of four letters or more that begins a term."""
+def topic_score(asked: list[str], own: Column, keywords: Column) -> Column:
+    """How well a topic answers: for each asked word three if it is a word of the topic's ``own`` name, two if it is a keyword; else, if it and a word
+    of the name begin one another (both of four letters or more), two, and one for a keyword."""
 
-    def begins(q: str) -> Column:
-        return F.exists(terms, lambda t: t.startswith(q)) if len(q) >= 4 else F.lit(False)
+    def stem(words: Column, q: str) -> Column:
+        return F.exists(words, lambda k: (F.length(k) >= 4) & (k.startswith(q) | F.lit(q).startswith(k)))
 
     total = F.lit(0)
     for q in asked:
-        total = total + F.when(F.array_contains(terms, q), 3).when(begins(q), 2).otherwise(0)
+        near = F.when(stem(own, q), 2).when(stem(keywords, q), 1).otherwise(0) if len(q) >= 4 else F.lit(0)
+        total = total + F.when(F.array_contains(own, q), 3).when(F.array_contains(keywords, q), 2).otherwise(near)
     return total

@@ -55,16 +55,20 @@ def interval_join(events: DataFrame, windows: DataFrame, at: str = "ts", key: st
     timed = events.where(F.col(at).isNotNull()).select("*", _day(at))
     # Of several ends at one time the smallest key owns it.
     ends = windows.groupBy(*by, F.col("hi").alias(at)).agg(F.min(key).alias("_sha")).select("*", _day(at))
-    parts = timed.groupBy(*by, "_day").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_parts"))
-    dealt = timed.join(parts.where("_parts > 1"), [*by, "_day"], "left").withColumn("_part", F.floor(F.rand(7) * F.coalesce("_parts", F.lit(1))).cast("int"))
-    copies = ends.join(parts, [*by, "_day"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-    both = dealt.withColumn("_end", F.lit(0)).unionByName(copies.withColumn("_end", F.lit(1)), allowMissingColumns=True).drop("_parts")
-    w = Window.partitionBy(*by, "_day", "_part").orderBy(F.desc(at), F.desc("_end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    days = both.select(*by, "_day").distinct().join(ends.groupBy(*by, "_day").agg(F.min_by("_sha", at).alias("_first")), [*by, "_day"], "left")
-    backwards = Window.partitionBy(*by).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)  # one row a day
-    carried = days.select(*by, "_day", F.last("_first", ignorenulls=True).over(backwards).alias("_next"))
-    found = both.withColumn(key, F.last("_sha", ignorenulls=True).over(w)).where("_end = 0").join(carried, [*by, "_day"])
-    found = found.withColumn(key, F.coalesce(key, "_next")).drop("_end", "_sha", "_day", "_next", "_part")
+    counted = timed.groupBy(*by, "_day").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_parts"))
+    # Dealt by what a row holds: a task that runs again deals its rows as before. Rows that are equal in all are few.
+    deal = F.pmod(F.xxhash64(*events.columns), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = timed.join(counted.where("_parts > 1"), [*by, "_day"], "left").withColumn("_part", deal)
+    firsts = ends.groupBy(*by, "_day").agg(F.min_by("_sha", at).alias("_first"))
+    days = counted.join(firsts, [*by, "_day"], "full")  # one row a day
+    backwards = Window.partitionBy(*by).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*by, "_day", "_parts", F.last("_first", ignorenulls=True).over(backwards).alias("_next"))
+    copies = ends.join(days.drop("_next"), [*by, "_day"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    # The first end after a day closes it: it is carried into the day as its last end, so no join of the events is needed.
+    after = days.where("_parts is not null and _next is not null").select(*by, F.col("_next").alias("_sha"), "_day", "_parts").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    both = dealt.withColumn("_end", F.lit(0)).unionByName(copies.withColumn("_end", F.lit(1)), allowMissingColumns=True).unionByName(after.withColumn("_end", F.lit(2)), allowMissingColumns=True).drop("_parts")
+    w = Window.partitionBy(*by, "_day", "_part").orderBy(F.desc(F.col("_end") == 2), F.desc(at), F.desc("_end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn(key, F.last("_sha", ignorenulls=True).over(w)).where("_end = 0").drop("_end", "_sha", "_day", "_part")
     return found.unionByName(events.where(F.col(at).isNull()), allowMissingColumns=True)
 
 
@@ -80,23 +84,43 @@ def containment_join(events: DataFrame, spans: DataFrame, key: str, by: str, at:
     return events.join(met.groupBy(key).agg(F.min(task).alias(task)), key, "left")
 
 
-def task_join(calls: DataFrame, tasks: DataFrame, key: str, by: str, at: str, task: str, said: str) -> DataFrame:
-    """Adds ``task`` and ``via``: the task that a call names where there is such a task, else the one whose window holds it.
+def task_join(calls: DataFrame, key: str = "id", by: str = "session", at: str = "ts", task: str = "task") -> DataFrame:
+    """``calls`` with ``task`` filled in and ``task_via``: the task that a call names, always, whether or not there is a row of it; else
+    the smallest task of which the call lies in a session and in its span.
 
-    A call that names a task which is not there falls to the windows, and without one has no task.
+    A task's span is that of the calls that name it, both ends included, and its sessions are theirs. A call without a key or a
+    time is not taken in.
     """
-    known = calls.join(tasks.select(F.col(task).alias(said)).distinct(), said, "left_semi").select("*", F.col(said).alias(task), F.lit("task").alias("via"))
-    rest = containment_join(calls.join(known.select(key), key, "left_anti"), tasks, key, by, at, task)
-    return known.unionByName(rest.withColumn("via", F.when(F.col(task).isNotNull(), "window")))
+    said = F.coalesce(F.col(task).cast("string"), F.lit("")) != ""
+    named = calls.where(said)
+    span = named.groupBy(task).agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    where = named.where(F.coalesce(F.col(by).cast("string"), F.lit("")) != "").select(task, by).distinct()
+    found = containment_join(calls.where(~said).drop(task), where.join(span.where("lo is not null"), task), key, by, at, task)
+    return named.withColumn("task_via", F.lit("named")).unionByName(found.withColumn("task_via", F.when(F.col(task).isNotNull(), "session")))
 
 
 def prefix_match(probes: DataFrame, candidates: DataFrame, probe: str, full: str, least: int = 4) -> DataFrame:
-    """(probe, match, verdict): the one candidate that either begins with the probe or begins it, 'ambiguous', or 'no-match'.
+    """(probe, match, verdict): the one candidate that begins with the probe or begins it; or why there is none: 'ambiguous', 'no-match', 'empty'.
 
-    Both sides are joined on their first ``least`` characters, so that only those can meet; shorter ones match nothing.
+    Strings of ``least`` characters or more meet on that many; the few shorter ones there can be meet the
+    beginnings of their own length of the other side.
     """
-    a = probes.select(probe).distinct().withColumn("_k", F.substring(probe, 1, least))
-    b = candidates.select(full).distinct().withColumn("_k", F.substring(full, 1, least))
-    met = a.join(b, (a["_k"] == b["_k"]) & (F.col(probe).startswith(F.col(full)) | F.col(full).startswith(F.col(probe))) & (F.length(probe) >= least) & (F.length(full) >= least), "left")
+    a = probes.select(probe).distinct()
+    b = candidates.where(F.col(full) != "").select(full).distinct()
+    met = None
+    for left, right in _prefix_keys(a, b, probe, full, least):
+        part = left.join(right, "_k").where(F.col(probe).startswith(F.col(full)) | F.col(full).startswith(F.col(probe))).select(probe, full)
+        met = part if met is None else met.unionByName(part)
     found = met.groupBy(probe).agg(F.count(full).alias("n"), F.min(full).alias("m"))
-    return found.select(probe, F.when(F.col("n") == 1, F.col("m")).alias("match"), F.when(F.col("n") == 1, "match").when(F.col("n") > 1, "ambiguous").otherwise("no-match").alias("verdict"))
+    n = F.coalesce("n", F.lit(0))
+    verdict = F.when(F.coalesce(F.col(probe), F.lit("")) == "", "empty").when(n == 1, "match").when(n > 1, "ambiguous").otherwise("no-match")
+    return a.join(found, probe, "left").select(probe, F.when(n == 1, F.col("m")).alias("match"), verdict.alias("verdict"))
+
+
+def _prefix_keys(a: DataFrame, b: DataFrame, x: str, y: str, least: int) -> list[tuple[DataFrame, DataFrame]]:
+    """Both sides keyed so that each pair of which one may begin the other meets once: long with long, short with short or long, long with short."""
+    long = lambda d, c: d.where(F.length(c) >= least).withColumn("_k", F.substring(c, 1, least))
+    short = lambda d, c: d.where((F.length(c) < least) & (F.length(c) > 0)).withColumn("_k", F.col(c))
+    starts = lambda d, c, n: d.withColumn("_k", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length(c), F.lit(n))), lambda k: F.substring(F.col(c), F.lit(1), k))))
+    below = lambda d, c: starts(d.where(F.length(c) > 1), c, least - 1).where(F.length("_k") < F.length(c))
+    return [(long(a, x), long(b, y)), (short(a, x), starts(b.where(F.length(y) > 0), y, least - 1)), (below(a, x), short(b, y))]

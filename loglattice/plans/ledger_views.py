@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loglattice.functions import scalars as S
-from loglattice.operators import attribution, fold
+from loglattice.operators import attribution, authorship, fold
+from loglattice.plans import views
 from loglattice.plans.registry import query
 from loglattice.sources import store
 from loglattice.sources.ledger import calls, table
@@ -48,8 +49,10 @@ def metric_folds(spark, d):
 
 
 COMMITS = "commits AS (SELECT sha1(CAST(event_id AS VARCHAR)) AS sha, ts, lag(ts) OVER (ORDER BY ts, sha1(CAST(event_id AS VARCHAR))) AS lo FROM events WHERE event_type = 'signup')"
-JOIN_SQL = f"""{COMMITS}, tasks AS (SELECT user_id AS task, substr(CASE WHEN user_id % 3 = 0 THEN sha1('gone' || CAST(min(event_id) AS VARCHAR)) ELSE sha1(CAST(min(event_id) AS VARCHAR)) END, 1, 12) AS commit FROM events WHERE event_type = 'signup' AND user_id % 4 = 0 GROUP BY user_id),
- rows_ AS (SELECT c.id, c.ts, CASE WHEN c.id % 2 = 0 THEN c.session END AS task, CASE agent WHEN 'view' THEN 'claude' ELSE agent END AS agent, CASE WHEN c.id % 3 = 0 THEN 'cli' ELSE 'ide' END AS surface, CASE c.id % 5 WHEN 0 THEN '' WHEN 1 THEN 'q' ELSE 'p' END AS project, tokens_in, tokens_out FROM calls c),
+JOIN_SQL = f"""{COMMITS}, tasks AS (SELECT user_id AS task, substr(CASE WHEN user_id % 3 = 0 THEN sha1('gone' || CAST(min(event_id) AS VARCHAR)) ELSE sha1(CAST(min(event_id) AS VARCHAR)) END, 1, 12) AS commit FROM events WHERE event_type = 'signup' AND user_id % 4 = 0 AND user_id % 5 > 0 AND user_id % 7 > 0 GROUP BY user_id),
+ said AS (SELECT id, session, ts, CASE WHEN id % 30 = 0 THEN 100000 + id WHEN id % 6 = 0 THEN session END AS task FROM calls), spans AS (SELECT task, min(ts) AS lo, max(ts) AS hi FROM said WHERE task IS NOT NULL GROUP BY task), inn AS (SELECT DISTINCT task, session FROM said WHERE task IS NOT NULL),
+ took AS (SELECT s.id, coalesce(any_value(s.task), min(p.task)) AS task FROM said s LEFT JOIN (inn JOIN spans USING (task)) p ON s.task IS NULL AND s.session = p.session AND s.ts BETWEEN p.lo AND p.hi GROUP BY s.id),
+ rows_ AS (SELECT c.id, c.ts, took.task, CASE agent WHEN 'view' THEN 'claude' ELSE agent END AS agent, CASE WHEN c.id % 3 = 0 THEN 'cli' ELSE 'ide' END AS surface, CASE c.id % 5 WHEN 0 THEN '' WHEN 1 THEN 'q' ELSE 'p' END AS project, tokens_in, tokens_out FROM calls c JOIN took USING (id)),
  early AS (SELECT r.*, t.commit IS NOT NULL AS named, (SELECT min(sha) FROM commits WHERE starts_with(sha, t.commit)) AS task_sha FROM rows_ r LEFT JOIN tasks t ON r.task = t.task),
  placed AS (SELECT e.*, CASE WHEN named THEN CASE WHEN task_sha IS NULL THEN 'dangling-task' END WHEN NOT (agent IN ('claude', 'click') OR agent = 'purchase' AND surface = 'cli') THEN 'no-ts-fidelity' WHEN project = '' THEN 'no-project' WHEN project <> 'p' THEN 'other-project' WHEN c.sha IS NULL THEN 'after-head' END AS reason,
  CASE WHEN named THEN task_sha ELSE c.sha END AS sha FROM early e LEFT JOIN commits c ON (e.ts > c.lo OR c.lo IS NULL) AND e.ts <= c.ts)"""
@@ -60,16 +63,18 @@ def _commits(spark, d):
 
 
 def _joined(spark, d):
-    """Stand-in: every fourth session is a task, a third of whose commits are gone; half of the calls name their session's task."""
+    """Stand-in: every fourth session is a task, a third of whose commits are gone, some still open or closed with changes; every sixth call names its session's task,
+    or one that no row tells of, and those between them belong to it."""
     e = table(spark, d, "events").where("event_type = 'signup' and user_id % 4 = 0").groupBy(F.col("user_id").alias("task")).agg(F.min("event_id").cast("string").alias("first"))
-    tasks = e.select("task", F.substring(F.sha1(F.when(F.col("task") % 3 == 0, F.concat(F.lit("gone"), "first")).otherwise(F.col("first"))), 1, 12).alias("commit"))
+    closed = [F.when(F.col("task") % 5 > 0, "done").otherwise("").alias("outcome"), F.when(F.col("task") % 7 > 0, 0).otherwise(2).alias("files_changed")]
+    tasks = e.select("task", *closed, F.substring(F.sha1(F.when(F.col("task") % 3 == 0, F.concat(F.lit("gone"), "first")).otherwise(F.col("first"))), 1, 12).alias("commit"))
     c = calls(spark, d)
     rows = c.select(
-        "id", "ts", F.when(F.col("id") % 2 == 0, F.col("session")).alias("task"), F.when(F.col("agent") == "view", "claude-code").otherwise(F.col("agent")).alias("agent"),
+        "id", "ts", "session", F.when(F.col("id") % 30 == 0, F.col("id") + 100000).when(F.col("id") % 6 == 0, F.col("session")).alias("task"), F.when(F.col("agent") == "view", "claude-code").otherwise(F.col("agent")).alias("agent"),
         F.when(F.col("id") % 3 == 0, "cli").otherwise("ide").alias("surface"), F.when(F.col("id") % 5 == 0, "").when(F.col("id") % 5 == 1, "q").otherwise("p").alias("project"), "tokens_in", "tokens_out",
     )
     trusted = spark.createDataFrame([("claude", None, True), ("click", None, True), ("purchase", "cli", True), ("purchase", None, False)], "agent string, surface string, joinable boolean")
-    return attribution.commit_join(rows, _commits(spark, d), tasks, trusted, "p")
+    return attribution.commit_join(rows, _commits(spark, d), attribution.trusted_commits(tasks)[0], trusted, "p")
 
 
 @query(f", {JOIN_SQL} SELECT id, CASE WHEN reason IS NULL THEN sha END AS sha, CASE WHEN reason IS NULL THEN CASE WHEN named THEN 'task' ELSE 'window' END END AS via, reason FROM placed")
@@ -149,27 +154,72 @@ def _files(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("sha"), F.col("source").alias("path"), F.explode(F.split("text", "\n")).alias("line"))
     x = docs.withColumn("line", S.normalize_line(F.col("line")))
     p, a = x.where("doc_id % 2 = 0 and path not like '%a'"), x.where("doc_id % 2 = 1 and path not like 'w%'")
-    return attribution.match_files(p, a, x.where("path like '%z'"), ["sha"])
+    return attribution.match_files(p, a, x.where("path like '%7'"), ["sha"])
 
 
-MATCH_SQL = f"""{FILES_SQL}, m AS (SELECT coalesce(pp.sha, aa.sha) AS sha, coalesce(pp.path, aa.path) AS path, coalesce(suggested, 0) AS suggested, coalesce(kept, 0) AS kept, coalesce(added, 0) AS added, coalesce(added_gated, 0) AS added_gated,
- CASE WHEN coalesce(pp.path, aa.path) LIKE '%z' THEN 'binary' WHEN added IS NULL THEN 'dropped' WHEN suggested IS NULL THEN 'not-proposed' WHEN suggested > 0 AND coalesce(kept, 0) = suggested THEN 'kept' ELSE 'landed-modified' END AS verdict
+MATCH_SQL = f"""{FILES_SQL}, bin AS (SELECT DISTINCT sha, path, true AS b FROM lines WHERE path LIKE '%7'), m0 AS (SELECT coalesce(pp.sha, aa.sha, bin.sha) AS sha, coalesce(pp.path, aa.path, bin.path) AS path, coalesce(suggested, 0) AS suggested,
+ CASE WHEN b THEN 0 ELSE coalesce(kept, 0) END AS kept, CASE WHEN b THEN 0 ELSE coalesce(added, 0) END AS added, CASE WHEN b THEN 0 ELSE coalesce(added_gated, 0) END AS added_gated, added IS NOT NULL OR b IS NOT NULL AS landed,
+ CASE WHEN b THEN 'unreadable' WHEN added IS NULL THEN 'dropped' WHEN suggested IS NULL THEN 'not-proposed' WHEN suggested > 0 AND coalesce(kept, 0) = suggested THEN 'kept' ELSE 'landed-modified' END AS verdict
  FROM (SELECT sha, path, count(*) FILTER (length(line) >= 4) AS suggested FROM p GROUP BY ALL) pp FULL JOIN (SELECT sha, path, count(*) AS added, count(*) FILTER (length(line) < 4) AS added_gated FROM a GROUP BY ALL) aa ON pp.sha = aa.sha AND pp.path = aa.path
+ FULL JOIN bin ON bin.sha = coalesce(pp.sha, aa.sha) AND bin.path = coalesce(pp.path, aa.path)
  LEFT JOIN (SELECT sha, path, CAST(sum(least(x.n, y.n)) AS BIGINT) AS kept FROM (SELECT sha, path, line, count(*) AS n FROM p WHERE length(line) >= 4 GROUP BY ALL) x JOIN (SELECT sha, path, line, count(*) AS n FROM a WHERE length(line) >= 4 GROUP BY ALL) y USING (sha, path, line) GROUP BY ALL) k
- ON k.sha = coalesce(pp.sha, aa.sha) AND k.path = coalesce(pp.path, aa.path))"""
+ ON k.sha = coalesce(pp.sha, aa.sha) AND k.path = coalesce(pp.path, aa.path)),
+ m AS (SELECT *, CASE WHEN landed THEN suggested - kept ELSE 0 END AS kept_modified, CASE WHEN landed THEN 0 ELSE suggested END AS dropped FROM m0)"""
 
 
-@query(f", {MATCH_SQL} SELECT sha, path, verdict, suggested, kept, added, added_gated FROM m")
+@query(f", {MATCH_SQL} SELECT sha, path, verdict, suggested, kept, kept_modified, dropped, added, added_gated FROM m")
 def match_files(spark, d):
     """Files of a commit that agents proposed lines for or that it changed: languages stand for commits, sources for files."""
     return _files(spark, d)
 
 
-@query(f", {MATCH_SQL} SELECT sha, CAST(sum(kept) AS BIGINT) AS agent_lines, CAST(greatest(sum(CASE WHEN verdict IN ('kept', 'landed-modified', 'not-proposed') THEN added - added_gated ELSE 0 END) - sum(kept), 0) AS BIGINT) AS residual_lines FROM m GROUP BY sha")
+@query(f""", {MATCH_SQL} SELECT sha, CAST(sum(suggested) AS BIGINT) AS suggested, CAST(sum(kept) AS BIGINT) AS kept, CAST(sum(kept_modified) AS BIGINT) AS kept_modified, CAST(sum(dropped) AS BIGINT) AS dropped, CAST(sum(kept) AS BIGINT) AS agent_lines,
+ CAST(sum(added) AS BIGINT) AS added, CAST(sum(added_gated) AS BIGINT) AS unknown, count(*) FILTER (verdict = 'not-proposed') AS not_proposed_files, count(*) FILTER (verdict = 'unreadable') AS binary_files FROM m GROUP BY sha""")
+def match_totals(spark, d):
+    return attribution.match_totals(_files(spark, d), ["sha"])
+
+
+@query(f", {MATCH_SQL} SELECT sha, CAST(sum(kept) AS BIGINT) AS agent_lines, CAST(greatest(sum(CASE WHEN verdict IN ('kept', 'landed-modified', 'unreadable') THEN added - added_gated ELSE 0 END) - sum(kept), 0) AS BIGINT) AS residual_lines FROM m GROUP BY sha")
 def residual_lines(spark, d):
+    """What is not the agent's in the files that it landed; files that it never proposed count for nobody here."""
     return attribution.residual(_files(spark, d), ["sha"])
 
 
+CAPTURE_SQL = f"""{COMMITS}, patch AS (SELECT c.sha, 'p' || i AS path, i, event_id, CASE WHEN i = 6 AND event_id % 5 = 0 THEN NULL ELSE event_id % 4 + 1 END AS added, event_id % 3 AS removed FROM commits c JOIN events e ON c.sha = sha1(CAST(e.event_id AS VARCHAR)), range(7) t(i) WHERE (event_id + i) % 3 <> 0 AND event_type = 'signup'),
+ added AS (SELECT sha, path, CASE WHEN j = 0 THEN '}}' ELSE 'line ' || (event_id + j) % 6 END AS line FROM (SELECT sha, path, event_id, unnest(range(added)) AS j FROM patch WHERE added IS NOT NULL)),
+ edits AS (SELECT event_id AS id, user_id AS session, ts, CASE WHEN event_id % 3 > 0 THEN '/repo/p' ELSE '/repository/p' END || event_id % 7 AS path, ['line ' || event_id % 6, 'line ' || event_id % 4, '}}', 'line  ' || event_id % 6] AS lines, CASE WHEN event_id % 4 = 0 THEN ['line ' || event_id % 4, '}}'] ELSE [] END AS context FROM events WHERE event_type = 'click'),
+ placed AS (SELECT e.id, c.sha, c.ts AS at, session, substr(path, 7) AS path, lines, context FROM edits e JOIN commits c ON (e.ts > c.lo OR c.lo IS NULL) AND e.ts <= c.ts WHERE path LIKE '/repo/%'),
+ norm AS (SELECT id, sha, session, path, trim(regexp_replace(l, '\\s+', ' ', 'g')) AS line, 1 AS k FROM (SELECT *, unnest(lines) AS l FROM placed) UNION ALL SELECT id, sha, session, path, trim(regexp_replace(l, '\\s+', ' ', 'g')), -1 FROM (SELECT *, unnest(context) AS l FROM placed)),
+ proposed AS (SELECT sha, session, path, line, sum(n) AS n FROM (SELECT id, sha, session, path, line, greatest(sum(k), 0) AS n FROM norm WHERE length(line) >= 4 GROUP BY ALL) WHERE n > 0 GROUP BY ALL),
+ files AS (SELECT DISTINCT sha, session, path FROM placed UNION SELECT p.sha, p.session, x.path FROM placed p JOIN patch x ON x.sha = p.sha AND x.added IS NULL),
+ k AS (SELECT p.sha, session, p.path, sum(least(p.n, a.n)) AS kept FROM proposed p JOIN (SELECT sha, path, line, count(*) AS n FROM added GROUP BY ALL) a ON a.sha = p.sha AND a.path = p.path AND a.line = p.line GROUP BY ALL),
+ g AS (SELECT f.sha, f.session, f.path, x.sha IS NOT NULL AS landed, x.sha IS NOT NULL AND x.added IS NULL AS bin, coalesce(x.added, 0) AS plus, CASE WHEN x.added IS NULL THEN 0 ELSE coalesce(x.removed, 0) END AS minus, coalesce(s.n, 0) AS suggested, CASE WHEN x.added IS NULL THEN 0 ELSE coalesce(kept, 0) END AS kept, greatest(coalesce(x.added, 0) - 1, 0) AS matchable
+ FROM files f LEFT JOIN patch x ON x.sha = f.sha AND x.path = f.path LEFT JOIN (SELECT sha, session, path, sum(n) AS n FROM proposed GROUP BY ALL) s ON s.sha = f.sha AND s.session = f.session AND s.path = f.path LEFT JOIN k ON k.sha = f.sha AND k.session = f.session AND k.path = f.path)"""
+
+
+@query(f""", {CAPTURE_SQL} SELECT sha, CAST(session AS VARCHAR) AS session, string_agg(path, ',' ORDER BY path) FILTER (landed) AS files, CAST(sum(plus) FILTER (landed) AS BIGINT) AS lines_added, CAST(sum(minus) FILTER (landed) AS BIGINT) AS lines_removed, CAST(sum(suggested) AS BIGINT) AS suggested, CAST(sum(kept) AS BIGINT) AS kept,
+ CAST(sum(CASE WHEN landed THEN suggested - kept ELSE 0 END) AS BIGINT) AS kept_modified, CAST(sum(CASE WHEN landed THEN 0 ELSE suggested END) AS BIGINT) AS dropped, CAST(sum(kept) AS BIGINT) AS agent_lines, CAST(greatest(sum(CASE WHEN landed THEN matchable ELSE 0 END) - sum(kept), 0) AS BIGINT) AS residual_lines
+ FROM g GROUP BY sha, session HAVING count(*) FILTER (landed) > 0""")
+def authorship_capture(spark, d):
+    """Clicks stand for edits, signups for commits whose patches follow from their ids: some binary, some of files that nobody edited, some edits merely restating lines."""
+    e = table(spark, d, "events")
+    sign = e.where("event_type = 'signup'").select(F.sha1(F.col("event_id").cast("string")).alias("sha"), "ts", "event_id")
+    patch = sign.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(6)))).where("(event_id + i) % 3 <> 0")
+    patch = patch.select("sha", F.concat(F.lit("p"), F.col("i").cast("string")).alias("path"), "event_id", F.when((F.col("i") != 6) | (F.col("event_id") % 5 != 0), F.col("event_id") % 4 + 1).alias("added"), (F.col("event_id") % 3).alias("removed"))
+    text = patch.where("added is not null")
+    j = F.explode(F.sequence(F.lit(0).cast("long"), F.col("added") - 1)).alias("j")
+    added = text.select("sha", "path", "event_id", j).select("sha", "path", F.when(F.col("j") == 0, "}").otherwise(F.concat(F.lit("line "), ((F.col("event_id") + F.col("j")) % 6).cast("string"))).alias("line"))
+    log = authorship.CommitLog(sign.select("sha", F.col("ts").cast("timestamp").alias("ts")), patch.select("sha", "path", "added", F.when(F.col("added").isNotNull(), F.col("removed")).alias("removed")), text.select("sha", "path"), added)
+    line = lambda k, gap=" ": F.concat(F.lit("line" + gap), (F.col("event_id") % k).cast("string"))
+    root = F.when(F.col("event_id") % 3 > 0, "/repo/p").otherwise("/repository/p")
+    edits = e.where("event_type = 'click'").select(
+        F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("session"), F.col("ts").cast("timestamp").alias("ts"), F.concat(root, (F.col("event_id") % 7).cast("string")).alias("path"),
+        F.array(line(6), line(4), F.lit("}"), line(6, "  ")).alias("lines"), F.when(F.col("event_id") % 4 == 0, F.array(line(4), F.lit("}"))).otherwise(F.array().cast("array<string>")).alias("context"),
+    )
+    rows, _ = authorship.capture(edits, log, spark.createDataFrame([], authorship.ROW), "/repo")
+    return rows.select("sha", "session", F.array_join("files", ",").alias("files"), "lines_added", "lines_removed", "suggested", "kept", "kept_modified", "dropped", "agent_lines", "residual_lines")
+
+
 @query(f", {COMMITS} SELECT sha, user_id AS session, 'p' || CAST(event_id % 7 AS VARCHAR) AS path, count(*) AS edits FROM events e JOIN commits c ON (e.ts > c.lo OR c.lo IS NULL) AND e.ts <= c.ts WHERE event_type = 'click' AND event_id % 3 > 0 GROUP BY ALL")
 def edit_buckets(spark, d):
     """Edits within the repository by commit, session and file; every third edit lies outside of it."""
@@ -267,11 +317,10 @@ def rollup_order(spark, d):
     return by.orderBy(order, "surface")
 
 
-@query("SELECT doc_id, score FROM (SELECT doc_id, CAST(list_sum(list_transform(['data', 'table', 'cost', 'ap'], lambda q: CASE WHEN list_contains(t, q) THEN 3 WHEN length(q) >= 4 AND len(list_filter(t, lambda w: starts_with(w, q))) > 0 THEN 2 ELSE 0 END)) AS INT) AS score FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)) ORDER BY score DESC, doc_id LIMIT 10")
+@query(f"SELECT doc_id, score FROM (SELECT doc_id, {views.SCORE_SQL}) ORDER BY score DESC, doc_id LIMIT 10")
 def explain_ranking(spark, d):
     """The ten best answers: a limit of the view."""
-    scored = table(spark, d, "documents").select("doc_id", S.topic_score(S.words(F.col("text")), ["data", "table", "cost", "ap"]).alias("score"))
-    return scored.orderBy(F.desc("score"), "doc_id").limit(10)
+    return views.topics(spark, d).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
 @query("SELECT session, saved, method FROM (SELECT l_orderkey AS session, CAST(round(sum(l_extendedprice * l_discount)) AS BIGINT) AS saved, min(l_returnflag) AS method FROM lineitem GROUP BY 1) ORDER BY saved DESC, session LIMIT 20")

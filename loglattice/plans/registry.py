@@ -146,12 +146,14 @@ def commit_exclusions(spark, d):
     return got.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT probe, CASE WHEN count(sha) = 1 THEN min(sha) END AS match, CASE WHEN count(sha) = 1 THEN 'match' WHEN count(sha) > 1 THEN 'ambiguous' ELSE 'no-match' END AS verdict
- FROM (SELECT DISTINCT substr(sha1(CAST(event_id AS VARCHAR)), 1, 4 + CAST(event_id % 3 AS INT)) AS probe FROM events) LEFT JOIN (SELECT DISTINCT sha1(CAST(event_id AS VARCHAR)) AS sha FROM events) ON starts_with(sha, probe) OR starts_with(probe, sha) GROUP BY probe""")
+@query("""SELECT probe, CASE WHEN count(sha) = 1 THEN min(sha) END AS match, CASE WHEN probe = '' THEN 'empty' WHEN count(sha) = 1 THEN 'match' WHEN count(sha) > 1 THEN 'ambiguous' ELSE 'no-match' END AS verdict
+ FROM (SELECT DISTINCT substr(sha1(CAST(event_id AS VARCHAR)), 1, CAST(event_id % 7 AS INT)) || CASE WHEN event_id % 11 = 0 AND event_id % 7 > 0 THEN 'x' ELSE '' END AS probe FROM events)
+ LEFT JOIN (SELECT DISTINCT CASE WHEN event_id % 97 = 0 THEN substr(sha1(CAST(event_id AS VARCHAR)), 1, 3) ELSE sha1(CAST(event_id AS VARCHAR)) END AS sha FROM events) ON probe <> '' AND (starts_with(sha, probe) OR starts_with(probe, sha)) GROUP BY probe""")
 def prefix_match(spark, d):
-    """Every event's short id, four to six letters of it, against all full ids."""
-    e = table(spark, d, "events").select("event_id", F.sha1(F.col("event_id").cast("string")).alias("sha"))
-    return joins.prefix_match(e.select(F.expr("substr(sha, 1, 4 + cast(event_id % 3 as int))").alias("probe")), e, "probe", "sha")
+    """Every event's short id, none to six letters of it, some with a letter that no id has, against all ids, some of which are short themselves."""
+    e = table(spark, d, "events").select("event_id", F.sha1(F.col("event_id").cast("string")).alias("whole"))
+    e = e.withColumn("sha", F.expr("case when event_id % 97 = 0 then substr(whole, 1, 3) else whole end"))
+    return joins.prefix_match(e.select(F.expr("substr(whole, 1, cast(event_id % 7 as int)) || case when event_id % 11 = 0 and event_id % 7 > 0 then 'x' else '' end").alias("probe")), e, "probe", "sha")
 
 
 LINES_SQL = "lines AS (SELECT doc_id, lang, trim(regexp_replace(l, '\\s+', ' ', 'g')) AS line FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS l FROM documents))"

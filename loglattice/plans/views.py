@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import scalars as S
 from loglattice.functions import udfs
-from loglattice.operators import joins
+from loglattice.operators import attribution, ceilings, joins
 from loglattice.plans.registry import query
 from loglattice.sources.ledger import calls, table
 from loglattice.sources.transcripts import largest_mover
@@ -20,48 +20,49 @@ def twin_suppression(spark, d):
     return c.join(c.where("id % 7 = 0").select("id").distinct(), "id", "left_anti").select("id", "agent", "tokens_in")
 
 
-TASKS_SQL = "tasks AS (SELECT id AS task, session, ts AS lo, ts + INTERVAL 36 HOUR AS hi FROM calls WHERE agent = 'signup')"
-
-
-@query(f""", {TASKS_SQL}, named AS (SELECT c.*, CASE WHEN id % 5 = 0 THEN (SELECT min(task) FROM tasks t WHERE t.session = c.session) END AS said FROM calls c WHERE agent = 'click')
- SELECT c.id, coalesce(any_value(said), min(t.task)) AS task, CASE WHEN any_value(said) IS NOT NULL THEN 'task' WHEN min(t.task) IS NOT NULL THEN 'window' END AS via
- FROM named c LEFT JOIN tasks t ON c.session = t.session AND c.ts BETWEEN t.lo AND t.hi GROUP BY c.id""")
+@query("""SELECT id, task, CASE WHEN said IS NOT NULL THEN 'named' WHEN task IS NOT NULL THEN 'session' END AS via FROM (SELECT n.id, n.said, coalesce(n.said, min(s.task)) AS task
+ FROM (SELECT id, session, ts, CASE WHEN id % 35 = 0 THEN session % 4 WHEN id % 5 = 0 THEN session * 10 + id % 3 END AS said FROM calls) n
+ LEFT JOIN (SELECT i.task, i.session, lo, hi FROM (SELECT DISTINCT CASE WHEN id % 35 = 0 THEN session % 4 ELSE session * 10 + id % 3 END AS task, session FROM calls WHERE id % 5 = 0) i
+  JOIN (SELECT CASE WHEN id % 35 = 0 THEN session % 4 ELSE session * 10 + id % 3 END AS task, min(ts) AS lo, max(ts) AS hi FROM calls WHERE id % 5 = 0 GROUP BY 1) p USING (task)) s
+ ON n.said IS NULL AND n.session = s.session AND n.ts BETWEEN s.lo AND s.hi GROUP BY n.id, n.said)""")
 def task_session_join(spark, d):
-    """A signup opens a task of 36 hours. Every fifth click names its session's first task; the others belong to the one
-    whose window holds them, the smallest task where several do."""
-    c = calls(spark, d)
-    tasks = c.where("agent = 'signup'").select(F.col("id").alias("task"), "session", F.col("ts").alias("lo"), F.expr("ts + interval 36 hours").alias("hi"))
-    first = tasks.groupBy("session").agg(F.min("task").alias("first"))
-    named = c.where("agent = 'click'").join(first, "session", "left").select("id", "session", "ts", F.when(F.col("id") % 5 == 0, F.col("first")).alias("said"))
-    return joins.task_join(named, tasks, "id", "session", "ts", "task", "said").select("id", "task", "via")
+    """Every fifth call names a task, of its session or of several sessions; there is no table of tasks. The other calls belong to the smallest task
+    of their session whose span, from the first to the last call that names it, holds them."""
+    said = F.when(F.col("id") % 35 == 0, F.col("session") % 4).when(F.col("id") % 5 == 0, F.col("session") * 10 + F.col("id") % 3)
+    return joins.task_join(calls(spark, d).select("id", "session", "ts", said.alias("task"))).select("id", "task", F.col("task_via").alias("via"))
 
 
-LABELLED_LINES_SQL = "x AS (SELECT doc_id, source, length(text) - length(replace(text, chr(10), '')) + 1 AS n, quality FROM documents LEFT JOIN labels USING (doc_id))"
+AUTHORED_SQL = """lines AS (SELECT doc_id, lang AS sha, source AS path, trim(regexp_replace(l, '\\s+', ' ', 'g')) AS line FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS l FROM documents)),
+ files AS (SELECT sha, path, count(*) AS added, count(*) FILTER (length(line) < 4) AS added_gated, count(*) FILTER (length(line) >= 4) AS keep FROM lines GROUP BY ALL),
+ mine AS (SELECT lang AS sha, source AS path, doc_id % 3 AS session, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND doc_id % 4 = 0),
+ claimed AS (SELECT m.sha, count(*) AS n FROM mine m JOIN lines l USING (doc_id) GROUP BY m.sha), proposed AS (SELECT DISTINCT sha, path FROM mine),
+ f AS (SELECT f.*, p.path IS NOT NULL AS p FROM files f LEFT JOIN proposed p ON p.sha = f.sha AND p.path = f.path)"""
 
 
-def _labelled_lines(spark, d):
-    n = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
-    return table(spark, d, "documents").select("doc_id", "source", n.cast("long").alias("n")).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+def _authored(spark, d):
+    """(files, rows): a language stands for a commit, a source for a file of it; labelled documents are what agents' sessions wrote."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("sha"), F.col("source").alias("path"), F.explode(F.split("text", "\n")).alias("line"))
+    lines = docs.withColumn("line", S.normalize_line(F.col("line")))
+    files = lines.groupBy("sha", "path").agg(F.count(F.lit(1)).alias("added"), F.count_if(~S.matchable(F.col("line"))).alias("added_gated"))
+    good = table(spark, d, "labels").where("quality = 1 and doc_id % 4 = 0").select("doc_id")
+    rows = docs.join(good, "doc_id").groupBy("sha", (F.col("doc_id") % 3).alias("session")).agg(F.collect_set("path").alias("files"), F.count(F.lit(1)).alias("agent_lines"))
+    return files, rows
 
 
-@query(f""", {LABELLED_LINES_SQL}, s AS (SELECT source, CAST(sum(n) AS BIGINT) AS added, CAST(coalesce(sum(n) FILTER (quality = 1), 0) AS BIGINT) AS a, CAST(2 * coalesce(sum(n) FILTER (quality = 0), 0) AS BIGINT) AS h FROM x GROUP BY source)
- SELECT source, added, least(a, added) AS agent_lines, least(h, added - least(a, added)) AS human_lines, greatest(added - a - h, 0) AS unknown_lines FROM s""")
+@query(f""", {AUTHORED_SQL} SELECT sha, added, agent, greatest(mine - agent, 0) AS human, unattributed, unknown FROM (SELECT sha, CAST(sum(added) AS BIGINT) AS added, CAST(sum(added_gated) AS BIGINT) AS unknown,
+ CAST(sum(CASE WHEN p THEN keep ELSE 0 END) AS BIGINT) AS mine, CAST(sum(CASE WHEN p THEN 0 ELSE keep END) AS BIGINT) AS unattributed, greatest(least(coalesce(any_value(n), 0), CAST(sum(CASE WHEN p THEN keep ELSE 0 END) AS BIGINT)), 0) AS agent
+ FROM f LEFT JOIN claimed USING (sha) GROUP BY sha)""")
 def commit_buckets(spark, d):
-    """Lines by author, clamped so that the parts never exceed the lines added. A source stands for a commit."""
-    s = _labelled_lines(spark, d).groupBy("source").agg(
-        F.sum("n").alias("added"), F.coalesce(F.sum(F.when(F.col("quality") == 1, F.col("n"))), F.lit(0)).alias("a"), (2 * F.coalesce(F.sum(F.when(F.col("quality") == 0, F.col("n"))), F.lit(0))).alias("h"),
-    )
-    agent = F.least("a", "added")
-    return s.select("source", "added", agent.alias("agent_lines"), F.least(F.col("h"), F.col("added") - agent).alias("human_lines"), F.greatest(F.col("added") - F.col("a") - F.col("h"), F.lit(0)).alias("unknown_lines"))
+    """Each commit's lines: the agents', as recorded and at most what proposed files have, people's, those of files nobody proposed, and those too short to tell."""
+    return attribution.commit_buckets(*_authored(spark, d))
 
 
-@query(f""", {LABELLED_LINES_SQL}, t AS (SELECT source, sum(n) AS whole, coalesce(sum(n) FILTER (quality = 1), 0) AS a FROM x GROUP BY source)
- SELECT doc_id, n, least(CAST(round_even(CAST(a AS DOUBLE) * n / whole, 0) AS BIGINT), n) AS agent_lines FROM x JOIN t USING (source)""")
+@query(f""", {AUTHORED_SQL}, t AS (SELECT f.*, coalesce(CASE WHEN p AND pool > 0 THEN least(CAST(round_even(CAST(n AS DOUBLE) * keep / pool, 0) AS BIGINT), keep) END, 0) AS agent
+ FROM f LEFT JOIN claimed USING (sha) LEFT JOIN (SELECT sha, sum(keep) AS pool FROM f WHERE p GROUP BY sha) w USING (sha))
+ SELECT sha, path, added, agent, CASE WHEN p THEN greatest(keep - agent, 0) ELSE 0 END AS human, CASE WHEN p THEN 0 ELSE keep END AS unattributed, added_gated AS unknown FROM t""")
 def file_split_rounding(spark, d):
-    """A commit's lines by agents, dealt to its files by their size, half to even, never more than a file has."""
-    x = _labelled_lines(spark, d)
-    t = x.groupBy("source").agg(F.sum("n").alias("whole"), F.coalesce(F.sum(F.when(F.col("quality") == 1, F.col("n"))), F.lit(0)).alias("a"))
-    return x.join(t, "source").select("doc_id", "n", F.least(F.bround(F.col("a").cast("double") * F.col("n") / F.col("whole")).cast("long"), F.col("n")).alias("agent_lines"))
+    """The agents' lines of each commit dealt to the files that were proposed, by their matchable lines."""
+    return attribution.file_split(*_authored(spark, d))
 
 
 @query("""SELECT 'source' AS kind, source AS key, count(*) AS n FROM documents GROUP BY source
@@ -74,13 +75,21 @@ def authorship_summary(spark, d):
 
 
 #: What is asked for.
-ASKED = ["data", "table", "cost", "ap"]
+ASKED = ["data", "table", "cost", "the", "entre", "src1"]
+SCORE_SQL = """CAST(list_sum(list_transform(['data', 'table', 'cost', 'the', 'entre', 'src1'], lambda q: CASE WHEN list_contains(i, q) THEN 3 WHEN list_contains(t, q) THEN 2 WHEN length(q) < 4 THEN 0
+ WHEN len(list_filter(i, lambda k: length(k) >= 4 AND (starts_with(k, q) OR starts_with(q, k)))) > 0 THEN 2 WHEN len(list_filter(t, lambda k: length(k) >= 4 AND (starts_with(k, q) OR starts_with(q, k)))) > 0 THEN 1 ELSE 0 END)) AS INT) AS score
+ FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t, list_append(regexp_extract_all(lower(source), '[a-z0-9]+'), source) AS i FROM documents)"""
+
+
+def topics(spark, d):
+    """(doc_id, score): the source names a document, its words are its keywords."""
+    own = F.array_append(S.words(F.col("source")), F.col("source"))
+    return table(spark, d, "documents").select("doc_id", S.topic_score(ASKED, own, S.words(F.col("text"))).alias("score"))
 
 
-@query("""SELECT doc_id, CAST(list_sum(list_transform(['data', 'table', 'cost', 'ap'], lambda q: CASE WHEN list_contains(t, q) THEN 3 WHEN length(q) >= 4 AND len(list_filter(t, lambda w: starts_with(w, q))) > 0 THEN 2 ELSE 0 END)) AS INT) AS score
- FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)""")
+@query(f"SELECT doc_id, {SCORE_SQL}")
 def topic_score(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.topic_score(S.words(F.col("text")), ASKED).alias("score"))
+    return topics(spark, d)
 
 
 @query("""SELECT DISTINCT a.l_orderkey, a.l_returnflag FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linestatus = b.l_linestatus AND a.l_returnflag <> b.l_returnflag""")
@@ -108,11 +117,15 @@ def billing_carrier(spark, d):
     return largest_mover(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey"], "l_quantity", "l_linenumber", "carrier").drop("l_quantity")
 
 
-@query("SELECT lang, coalesce(sum(t) FILTER (source LIKE '%news%'), sum(t)) AS ceiling, sum(t) FILTER (source LIKE '%news%') IS NULL AS unbounded FROM (SELECT lang, source, CAST(round_even(length(text) / 4, 0) AS BIGINT) AS t FROM documents) GROUP BY lang")
+@query("""SELECT lang, communities IS NOT NULL AS bounded, files, corpus_tokens, coalesce(communities, 0) AS communities, CASE WHEN communities > 0 THEN ceiling_files ELSE files END AS ceiling_files, CASE WHEN communities > 0 THEN ceiling_tokens ELSE corpus_tokens END AS ceiling_tokens,
+ CASE WHEN communities > 0 THEN typical_tokens ELSE corpus_tokens END AS typical_tokens FROM (SELECT lang, count(*) AS files, CAST(sum(t) AS BIGINT) AS corpus_tokens FROM x GROUP BY lang)
+ LEFT JOIN (SELECT lang, count(*) AS communities, CAST(floor(median(tokens)) AS BIGINT) AS typical_tokens, max(tokens) AS ceiling_tokens, arg_max(n, (tokens, n)) AS ceiling_files FROM (SELECT lang, c, count(*) AS n, CAST(sum(t) AS BIGINT) AS tokens FROM x WHERE c IS NOT NULL GROUP BY lang, c) GROUP BY lang) USING (lang)""".join(
+    (", x AS (SELECT lang, CASE WHEN lang <> 'fr' AND source <> 'src3' THEN source END AS c, t FROM (SELECT lang, source, CAST(round_even(length(text) / 4, 0) AS BIGINT) AS t FROM documents) WHERE t > 0) SELECT * FROM (", ")")))
 def repo_ceiling(spark, d):
-    x = table(spark, d, "documents").select("lang", "source", S.token_estimate(F.col("text")).alias("t"))
-    bounded = F.sum(F.when(F.col("source").like("%news%"), F.col("t")))
-    return x.groupBy("lang").agg(F.coalesce(bounded, F.sum("t")).alias("ceiling"), bounded.isNull().alias("unbounded"))
+    """What one question could save at most: a language stands for a repository, a source for a community of its graph; one language has none."""
+    community = F.when((F.col("lang") != "fr") & (F.col("source") != "src3"), F.col("source"))
+    x = table(spark, d, "documents").select("lang", community.alias("community"), S.token_estimate(F.col("text")).alias("tokens"))
+    return ceilings.repo_ceiling(x, ["lang"]).select("lang", "bounded", "files", "corpus_tokens", "communities", "ceiling_files", "ceiling_tokens", "typical_tokens")
 
 
 @query("SELECT event_type, count(*) FILTER (ts < TIMESTAMP '2024-01-05 00:00:00') AS stale, CAST(sum(strlen(props)) FILTER (ts < TIMESTAMP '2024-01-05 00:00:00') AS BIGINT) AS stale_bytes FROM events GROUP BY event_type")

@@ -101,8 +101,8 @@ def copilot_cli_names(spark: SparkSession, path: str) -> DataFrame:
 
 def claude_blocks(lines: DataFrame) -> DataFrame:
     """The content blocks of all messages, one a row."""
-    rows = parsed(lines, CLAUDE).select("file", "line_no", F.coalesce("row.sessionId", F.lit("")).alias("session"), "row.cwd", F.from_json("row.message.content", CLAUDE_BLOCK).alias("blocks"))
-    return rows.select("file", "line_no", "session", "cwd", F.posexplode("blocks").alias("block_no", "block"))
+    rows = parsed(lines, CLAUDE).select("file", "line_no", F.coalesce("row.sessionId", F.lit("")).alias("session"), "row.cwd", "row.timestamp", F.from_json("row.message.content", CLAUDE_BLOCK).alias("blocks"))
+    return rows.select("file", "line_no", "session", "cwd", "timestamp", F.posexplode("blocks").alias("block_no", "block"))
 
 
 def claude_tool_runs(lines: DataFrame) -> DataFrame:
@@ -114,15 +114,21 @@ def claude_tool_runs(lines: DataFrame) -> DataFrame:
 
 
 def claude_edits(lines: DataFrame) -> DataFrame:
-    """(session, path, proposed, context): the lines that each edit puts in, and those that it replaces."""
-    i = F.from_json("block.input", "file_path string, content string, old_string string, new_string string, edits array<struct<old_string string, new_string string>>")
-    rows = claude_blocks(lines).where("block.type = 'tool_use' and block.name in ('Edit', 'MultiEdit', 'Write')").withColumn("i", i)
-    pairs = F.when(F.col("i.edits").isNotNull(), F.col("i.edits")).otherwise(F.array(F.struct(F.col("i.old_string").alias("old_string"), F.coalesce("i.content", "i.new_string").alias("new_string"))))
+    """(id, session, ts, path, proposed, context): the lines that each edit puts in, and those that it replaces; a log's line and block tell an edit's id.
+
+    A notebook's edit puts in its cell's source.
+    """
+    i = F.from_json("block.input", "file_path string, notebook_path string, content string, old_string string, new_string string, new_source string, edits array<struct<old_string string, new_string string>>")
+    rows = claude_blocks(lines).where("block.type = 'tool_use' and block.name in ('Edit', 'MultiEdit', 'Write', 'NotebookEdit')").withColumn("i", i)
+    one = F.array(F.struct(F.col("i.old_string").alias("old_string"), F.coalesce("i.content", "i.new_source", "i.new_string").alias("new_string")))
+    pairs = F.when(F.col("i.edits").isNotNull(), F.col("i.edits")).otherwise(one)
 
     def cut(field: str) -> Column:
         return F.flatten(F.transform("pairs", lambda e: F.when(F.coalesce(e[field], F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(e[field], "\n"))))
 
-    return rows.withColumn("pairs", pairs).select("file", "line_no", "block_no", "session", F.col("i.file_path").alias("path"), cut("new_string").alias("proposed"), cut("old_string").alias("context"))
+    out = rows.withColumn("pairs", pairs).withColumn("path", F.coalesce("i.file_path", "i.notebook_path")).where("path <> ''")
+    at = S.short_id("e_", F.col("file"), F.col("line_no").cast("string"), F.col("block_no").cast("string"), length=24)
+    return out.select(at.alias("id"), "file", "line_no", "block_no", "session", F.try_to_timestamp("timestamp").alias("ts"), "path", cut("new_string").alias("proposed"), cut("old_string").alias("context"))
 
 
 def copilot_cli_deltas(lines: DataFrame) -> DataFrame:

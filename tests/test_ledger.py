@@ -104,16 +104,17 @@ def test_scalars_of_the_views(spark):
 
 def test_calls_find_their_commits(spark):
     commits = spark.createDataFrame([("aaaa1111", 100), ("bbbb2222", 200)], "sha string, t int").select("sha", F.timestamp_seconds("t").alias("ts"))
-    tasks = spark.createDataFrame([("T1", "bbbb", 0), ("T2", "dead", 0), ("T3", "aaaa", 2), ("T4", "", 0)], "task string, commit string, files_changed int")
+    tasks = spark.createDataFrame([("T1", "bb", 0, "ok"), ("T2", "dead", 0, "ok"), ("T3", "aaaa", 2, "ok"), ("T4", "", 0, "ok"), ("T5", "aaaa", 0, "")], "task string, commit string, files_changed int, outcome string")
     clean, dirty = attribution.trusted_commits(tasks)
     assert clean.count() == 2 and dirty.first().dirty_tasks == 1
     trusted = spark.createDataFrame([("claude", None, True), ("kiro", None, False), ("kiro", "cli", True)], "agent string, surface string, joinable boolean")
-    rows = [(1, 50, "T1", "x", "", ""), (2, 50, "T2", "claude", "", "p"), (3, 50, None, "claude-code", "", "p"), (4, 150, "T3", "kiro", "cli", "p"), (5, 150, None, "kiro", "ide", "p"), (6, 150, None, "claude", "", ""), (7, 150, None, "claude", "", "q"), (8, 250, None, "claude", "", "p"), (9, None, None, "claude", "", "p")]
-    calls = spark.createDataFrame(rows, "id int, t int, task string, agent string, surface string, project string").withColumn("ts", F.timestamp_seconds("t")).withColumn("tokens_in", F.lit(1)).withColumn("tokens_out", F.lit(2))
+    rows = [(1, 50, "T1", "x", "", ""), (2, 50, "T2", "claude", "", "p"), (3, 50, None, "claude-code", "", "p"), (4, 150, "T3", "kiro", "cli", "p"), (5, 150, None, "kiro", "ide", "p"), (6, 150, None, "claude", "", ""), (7, 150, None, "claude", "", "q"), (8, 250, None, "claude", "", "p"), (9, None, None, "claude", "", "p"), (10, 150, "T5", "claude", "", "p"), (11, 150, "T9", "claude", "", "p"), (12, 40, "T1", "x", "", ""), (13, 45, None, "claude", "", "p")]
+    calls = spark.createDataFrame(rows, "id int, t int, task string, agent string, surface string, project string").withColumn("session", F.when(F.col("id").isin(1, 12, 13), "s")).withColumn("ts", F.timestamp_seconds("t")).withColumn("tokens_in", F.lit(1)).withColumn("tokens_out", F.lit(2))
     got = {r.id: (r.sha, r.via, r.reason) for r in attribution.commit_join(calls, commits, clean, trusted, "p").collect()}
     assert got == {
         1: ("bbbb2222", "task", None), 2: (None, None, "dangling-task"), 3: ("aaaa1111", "window", None), 4: ("bbbb2222", "window", None), 5: (None, None, "no-ts-fidelity"),
         6: (None, None, "no-project"), 7: (None, None, "other-project"), 8: (None, None, "after-head"), 9: (None, None, "after-head"),
+        10: ("bbbb2222", "window", None), 11: ("bbbb2222", "window", None), 12: ("bbbb2222", "task", None), 13: ("bbbb2222", "task", None),
     }
     assert [tuple(r) for r in attribution.excluded(attribution.commit_join(calls, commits, clean, trusted, "p")).collect()][0] == ("after-head", 2, 6)
 
@@ -124,8 +125,8 @@ def test_files_and_what_is_left(spark):
     a = spark.createDataFrame([("c", "kept", "long one"), ("c", "kept", "}"), ("c", "part", "long one"), ("c", "part", "by a person"), ("c", "new", "by a person")], line)
     m = attribution.match_files(p, a, spark.createDataFrame([("c", "image")], "sha string, path string"), ["sha"])
     got = {r.path: (r.verdict, r.suggested, r.kept, r.added, r.added_gated) for r in m.collect()}
-    assert got == {"kept": ("kept", 1, 1, 2, 1), "part": ("landed-modified", 2, 1, 2, 0), "gone": ("dropped", 1, 0, 0, 0), "new": ("not-proposed", 0, 0, 1, 0), "image": ("binary", 0, 0, 0, 0)}
-    assert tuple(attribution.residual(m, ["sha"]).first()) == ("c", 2, 2)
+    assert got == {"kept": ("kept", 1, 1, 2, 1), "part": ("landed-modified", 2, 1, 2, 0), "gone": ("dropped", 1, 0, 0, 0), "new": ("not-proposed", 0, 0, 1, 0), "image": ("unreadable", 0, 0, 0, 0)}
+    assert tuple(attribution.residual(m, ["sha"]).first()) == ("c", 2, 1)
 
 
 @pytest.mark.parametrize("depth", [3, 5000])

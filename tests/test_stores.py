@@ -81,4 +81,4 @@ def test_git_logs(spark, tmp_path):
     normal = lambda d: d.withColumn("line", S.normalize_line(F.col("line")))
     binary = gitlog.numstat(spark, path).where("added is null")
     got = {r.path: r.verdict for r in attribution.match_files(normal(proposed), normal(lines), binary, ["sha"]).collect()}
-    assert got["src/new/a.py"] == "kept" and got["image.png"] == "binary"
+    assert got["src/new/a.py"] == "kept" and got["image.png"] == "unreadable"
