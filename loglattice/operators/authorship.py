@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from loglattice.functions import scalars as S
 from loglattice.operators import attribution
+from loglattice.sources.shared import cut
 
 #: Fixed values of the record: how far a method is trusted (ranks from 0), and what a second method adds.
 TRUST = {"hooked": 2, "transcript": 1, "heuristic": 0}
@@ -47,7 +48,8 @@ def capture(edits: DataFrame, log: CommitLog, have: DataFrame, repo: str, agent:
     lines of those files. Binary files of the commit land with every session on it, as no one can read them. Edits outside the
     repository and edits without a time are left out; those newer than every commit wait.
     """
-    placed = attribution.place_edits(edits.dropDuplicates(["id"]).where("ts is not null"), log.commits, repo)
+    commits = cut(log.commits.select("sha", "ts"), "commits")
+    placed = cut(attribution.place_edits(edits.dropDuplicates(["id"]).where("ts is not null"), commits, repo), "placed-edits")
     waiting = placed.where("sha is null").withColumn("path", F.concat(F.lit(f"{repo}/"), "path")).select(*edits.columns)
     held = placed.where("sha is not null")
     keys = ["sha", "session"]
@@ -57,16 +59,17 @@ def capture(edits: DataFrame, log: CommitLog, have: DataFrame, repo: str, agent:
     # The commit's side, for the sessions on it alone. Only proposed and binary files bear on a session's row.
     line = S.normalize_line(F.col("line")).alias("line")
     added = log.added.select("sha", "path", line).groupBy("sha", "path", "line").agg(F.count(F.lit(1)).alias("n")).join(files, ["sha", "path"])
-    patched, binary = log.patched.join(files, ["sha", "path"]), log.numstat.where("added is null").select("sha", "path").distinct().join(buckets, "sha")
+    numstat = cut(log.numstat.join(buckets.select("sha").distinct(), "sha", "left_semi"), "numstat")
+    patched, binary = log.patched.join(files, ["sha", "path"]), numstat.where("added is null").select("sha", "path").distinct().join(buckets, "sha")
     matches = attribution.match_files(lines, added, binary, keys, files, patched)
     landed = F.col("verdict").isin(*attribution.LANDED)
-    counts = log.numstat.groupBy("sha", "path").agg(F.sum("added").alias("plus"), F.sum("removed").alias("minus"))
+    counts = numstat.groupBy("sha", "path").agg(F.sum("added").alias("plus"), F.sum("removed").alias("minus"))
     sums = matches.join(counts, ["sha", "path"], "left").groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.when(landed, F.col("path")))).alias("files"), F.sum(F.when(landed, F.coalesce("plus", F.lit(0))).otherwise(0)).alias("lines_added"),
         F.sum(F.when(landed, F.coalesce("minus", F.lit(0))).otherwise(0)).alias("lines_removed"), *(F.sum(c).alias(c) for c in ("suggested", "kept", "kept_modified", "dropped")),
         F.sum("kept").alias("agent_lines"), F.greatest(F.sum(F.when(landed, F.col("added") - F.col("added_gated")).otherwise(0)) - F.sum("kept"), F.lit(0)).alias("residual_lines"),
     ).where(F.size("files") > 0)
-    rows = sums.join(log.commits.groupBy("sha").agg(F.max("ts").alias("_at")), "sha").withColumn("agent", F.lit(agent)).withColumn("method", F.lit(method))
+    rows = cut(sums, "landed").join(commits.groupBy("sha").agg(F.max("ts").alias("_at")), "sha").withColumn("agent", F.lit(agent)).withColumn("method", F.lit(method))
     other = have.where(F.col("method") != method).select("sha", "session", F.explode("files").alias("_f")).distinct()
     twice = rows.select("sha", "session", F.explode("files").alias("_f")).join(other, ["sha", "session", "_f"]).select(*keys).distinct().withColumn("_c", F.lit(True))
     rows = rows.join(twice, keys, "left").withColumn("confidence", confidence(method, F.coalesce("_c", F.lit(False))))

@@ -13,7 +13,8 @@ from loglattice.functions import scalars as S
 from loglattice.operators import fold
 
 CLAUDE = """type string, uuid string, requestId string, sessionId string, isSidechain boolean, timestamp string, cwd string, summary string,
- message struct<id string, model string, content string, usage struct<input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint, cache_creation_input_tokens bigint>>"""
+ message struct<id string, model string, content string, usage struct<input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint, cache_creation_input_tokens bigint,
+  cache_creation struct<ephemeral_5m_input_tokens bigint, ephemeral_1h_input_tokens bigint>, output_tokens_details struct<thinking_tokens bigint>, server_tool_use struct<web_search_requests bigint, web_fetch_requests bigint>>>"""
 CLAUDE_BLOCK = "array<struct<type string, name string, id string, tool_use_id string, input string, content string>>"
 COPILOT_EVENT = "type string, timestamp string, data string"
 COPILOT_SHUTDOWN = """totalPremiumRequests double, totalNanoAiu double,
@@ -47,8 +48,8 @@ def _zero(*parts: Column) -> Column:
     return total
 
 
-def claude_calls(lines: DataFrame) -> DataFrame:
-    """One row per assistant line that tells its use."""
+def claude_calls(lines: DataFrame, more: list[Column] | None = None) -> DataFrame:
+    """One row per assistant line that tells its use. ``more``: further columns of the parsed ``row``."""
     rows = parsed(lines, CLAUDE).where("row.type = 'assistant' and row.message.usage is not null")
     u = F.col("row.message.usage")
     return rows.select(
@@ -56,7 +57,7 @@ def claude_calls(lines: DataFrame) -> DataFrame:
         F.coalesce("row.requestId", "row.uuid").alias("request"), F.coalesce("row.message.id", "row.uuid").alias("message"),
         F.col("row.message.model").alias("model"), S.normal_form(F.col("row.timestamp")).alias("ts"), F.col("row.cwd").alias("project"), F.coalesce("row.isSidechain", F.lit(False)).alias("sidechain"),
         _zero(u["input_tokens"], u["cache_read_input_tokens"], u["cache_creation_input_tokens"]).alias("tokens_in"), F.coalesce(u["output_tokens"], F.lit(0)).alias("tokens_out"),
-        F.coalesce(u["cache_read_input_tokens"], F.lit(0)).alias("cached_in"), u["cache_creation_input_tokens"].alias("cache_write"),
+        F.coalesce(u["cache_read_input_tokens"], F.lit(0)).alias("cached_in"), u["cache_creation_input_tokens"].alias("cache_write"), *(more or []),
     )
 
 
@@ -65,14 +66,31 @@ def claude_requests(lines: DataFrame) -> DataFrame:
     return fold.latest_per_key(claude_calls(lines), ["session", "request", "message"], ["file", "line_no"])
 
 
+#: Counts of a chat, by model and altogether.
+BY_MODEL = ("tokens_in", "tokens_out", "cached_in", "cache_write")
+ALTOGETHER = (*BY_MODEL, "ttl_5m", "ttl_1h", "thinking", "web_search", "web_fetch", "sidechain_in", "sidechain_out")
+
+
 def claude_chats(lines: DataFrame) -> DataFrame:
-    """Totals of each session over its folded requests, and how many lines there were before folding."""
-    folded = claude_requests(lines).groupBy("session").agg(
-        F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cached_in").alias("cached_in"), F.sum("cache_write").alias("cache_write"),
-        F.sum(F.when(F.col("sidechain"), F.col("tokens_in")).otherwise(0)).alias("sidechain_in"), F.count(F.lit(1)).alias("requests"),
-        F.max("ts").alias("ts"), F.max_by("project", F.struct("file", "line_no")).alias("project"),
-    )
-    return folded.join(claude_calls(lines).groupBy("session").agg(F.count(F.lit(1)).alias("raw_rows")), "session")
+    """Totals of each session over its folded requests, by model as well, and how many lines there were before folding: the log is read once.
+
+    ``model_totals`` maps each model named to its sums. Cache writes are NULL where no line tells of any, the other counts are then 0.
+    """
+    u = F.col("row.message.usage")
+    more = [u["cache_creation"]["ephemeral_5m_input_tokens"].alias("ttl_5m"), u["cache_creation"]["ephemeral_1h_input_tokens"].alias("ttl_1h"), u["output_tokens_details"]["thinking_tokens"].alias("thinking"),
+            u["server_tool_use"]["web_search_requests"].alias("web_search"), u["server_tool_use"]["web_fetch_requests"].alias("web_fetch")]
+    calls = claude_calls(lines, more)
+    keys = ["session", "request", "message"]
+    rest = [c for c in calls.columns if c not in keys]
+    once = calls.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("file", "line_no")).alias("r"), F.count(F.lit(1)).alias("raw_rows")).select(*keys, "r.*", "raw_rows")
+    aside = lambda c: F.when(F.col("sidechain"), F.col(c)).otherwise(0)
+    once = once.withColumn("sidechain_in", aside("tokens_in")).withColumn("sidechain_out", aside("tokens_out"))
+    sums = [F.sum(c).alias(c) for c in ALTOGETHER]
+    where = F.max(F.when(F.col("project") != "", F.struct("file", "line_no", "project"))).alias("_where")
+    model = once.groupBy("session", F.coalesce("model", F.lit("")).alias("model")).agg(*sums, F.sum("raw_rows").alias("raw_rows"), F.count(F.lit(1)).alias("requests"), F.max("ts").alias("ts"), where)
+    named = F.when(F.col("model") != "", F.struct("model", F.struct(*BY_MODEL).alias("totals")))
+    out = model.groupBy("session").agg(*sums, F.sum("requests").alias("requests"), F.sum("raw_rows").alias("raw_rows"), F.max("ts").alias("ts"), F.max("_where")["project"].alias("project"), F.map_from_entries(F.sort_array(F.collect_list(named))).alias("model_totals"))
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ALTOGETHER if c != "cache_write"})
 
 
 def claude_names(lines: DataFrame) -> DataFrame:
@@ -80,6 +98,12 @@ def claude_names(lines: DataFrame) -> DataFrame:
     return parsed(lines, CLAUDE).where("row.type = 'summary' and row.summary <> ''").groupBy("file").agg(F.max_by("row.summary", "line_no").alias("name"))
 
 
+def claude_touched(lines: DataFrame) -> DataFrame:
+    """(file, session, files): the files that a log's edits name, each once, in the order in which they first appear."""
+    e = claude_edits(lines).groupBy("file", "session", "path").agg(F.min(F.struct("line_no", "block_no")).alias("at"))
+    return e.groupBy("file", "session").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "path"))), lambda x: x["path"]).alias("files"))
+
+
 def copilot_vscode_names(lines: DataFrame) -> DataFrame:
     """(file, name): the last title that the user gave, else the first generated one, else empty."""
     p = parsed(lines, VSCODE_PATCH)
