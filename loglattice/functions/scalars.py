@@ -64,7 +64,7 @@ def digest(*parts: Column, length: int = 16) -> Column:
 def content_signature(argv: Column, answer: Column) -> Column:
     """(args_hash, answer_hash) of a tool run, whatever its program is called and however its answer is padded."""
     tail = F.slice(argv, 2, F.greatest(F.size(argv) - 1, F.lit(0)))
-    return F.struct(digest(F.array_join(tail, "\0")).alias("args_hash"), digest(F.trim(F.coalesce(answer, F.lit("")))).alias("answer_hash"))
+    return F.struct(digest(F.array_join(tail, "\0")).alias("args_hash"), digest(F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?U)^\s+|\s+\z", "")).alias("answer_hash"))
 
 
 def read_signature(path: Column, revision: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import scalars as S
 from loglattice.functions import udfs
-from loglattice.operators import attribution, ceilings, joins
+from loglattice.operators import attribution, ceilings, joins, toolruns
 from loglattice.plans.registry import query
 from loglattice.sources.ledger import calls, table
 from loglattice.sources.transcripts import largest_mover
@@ -202,6 +202,57 @@ def shell_ops_udtf(spark, d):
     return lines.withColumn("tool", F.explode(udfs.commands(F.col("text"))))
 
 
+COMMANDS = ["graph query x{0}", "A=1 /opt/bin/graph explain 'y {0}'", "cd d && graph path a b{0} | tee o", "grep graph query {0}", "echo graph; cat f | grep graph", "graph build {0}; 'graph' --v explain {0}", "graph query 'open {0}"]
+RUNS_SQL = """runs AS (SELECT event_id AS id, user_id AS session, ts, event_id % 7 AS k, CAST(event_id % 40 AS VARCHAR) AS n FROM events WHERE event_type IN ('view', 'error')),
+ ops AS (SELECT *, CASE k WHEN 0 THEN 'query' WHEN 1 THEN 'explain' WHEN 2 THEN 'path' WHEN 5 THEN 'explain' END AS op,
+ CASE k WHEN 0 THEN ['graph', 'query', 'x' || n] WHEN 1 THEN ['/opt/bin/graph', 'explain', 'y ' || n] WHEN 2 THEN ['graph', 'path', 'a', 'b' || n] WHEN 5 THEN ['graph', '--v', 'explain', n] END AS argv FROM runs WHERE k IN (0, 1, 2, 5))"""
+
+
+def _tool_ops(spark, d):
+    """Commands that run a tool or only speak of it."""
+    n = (F.col("event_id") % 40).cast("string")
+    command = F.replace(F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("event_id") % 7 + 1).cast("int")), F.lit("{0}"), n)
+    e = table(spark, d, "events").where("event_type in ('view', 'error')").select(F.col("event_id").alias("id"), F.col("user_id").alias("session"), "ts", command.alias("command"))
+    return toolruns.tool_ops(e, "graph")
+
+
+@query(f", {RUNS_SQL} SELECT id, op, array_to_string(argv, ' ') AS argv FROM ops")
+def tool_ops(spark, d):
+    """The runs of a tool at command position, with their arguments; what only names it gives none."""
+    return _tool_ops(spark, d).select("id", "op", F.array_join("argv", " ").alias("argv"))
+
+
+RECEIPTS_SQL = f"""{RUNS_SQL}, said AS (SELECT id, CAST(session AS VARCHAR) AS session, op, argv, ts, CASE op WHEN 'query' THEN 'NODE a [src=src' || id % 20 || ' loc=L1]' || chr(10) || 'NODE b [src=src' || id % 7 || ' loc=L2]' || chr(10) || 'NODE c [src=gone loc=L3]'
+  ELSE 'Source:   src' || id % 20 || ' L7' || chr(10) || repeat('word ', CAST(id % 30 * 40 AS INT)) END AS answer FROM ops),
+ signed AS (SELECT *, substr(sha1(array_to_string(argv[2:], chr(0))), 1, 16) AS ah, substr(sha1(trim(answer, chr(10) || ' ')), 1, 16) AS nh FROM said),
+ keyed AS (SELECT *, 's_' || substr(sha1(concat_ws('|', session, op, ah, nh)), 1, 15) AS rid, 's_' || substr(sha1(concat_ws('|', '', op, ah, nh)), 1, 15) AS twin FROM signed),
+ have AS (SELECT rid AS id FROM keyed WHERE id % 11 = 0 UNION SELECT twin FROM keyed WHERE id % 13 = 0),
+ once AS (SELECT rid, min(ts) AS ts, arg_min(session, ts) AS session, arg_min(op, ts) AS op, arg_min(answer, ts) AS answer, arg_min(twin, ts) AS twin, arg_min(id, ts) AS id FROM keyed GROUP BY rid),
+ open_ AS (SELECT * FROM once WHERE rid NOT IN (SELECT id FROM have) AND twin NOT IN (SELECT id FROM have)),
+ cites AS (SELECT rid, ts, 'src' || id % 20 AS path FROM open_ WHERE op IN ('query', 'explain') UNION SELECT rid, ts, 'src' || id % 7 FROM open_ WHERE op = 'query'),
+ corpus AS (SELECT source AS path, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * (doc_id % 25) AS revision, max(CAST(round_even(length(text) / 4, 0) AS BIGINT)) AS tokens FROM documents GROUP BY ALL),
+ sized AS (SELECT c.rid, c.path, coalesce(arg_max(tokens, revision) FILTER (revision <= c.ts), arg_min(tokens, revision)) AS tokens FROM cites c JOIN corpus f USING (path) GROUP BY c.rid, c.path, c.ts)"""
+
+
+@query(f""", {RECEIPTS_SQL} SELECT rid AS id, o.session, op, CAST(raw AS BIGINT) AS raw_alternative, actual, CAST(raw - actual AS BIGINT) AS saved, CASE op WHEN 'query' THEN 3 ELSE 1 END AS source_files
+ FROM (SELECT *, CAST(round_even(length(answer) / 4, 0) AS BIGINT) AS actual FROM open_) o JOIN (SELECT rid, sum(tokens) AS raw FROM sized GROUP BY rid) USING (rid) WHERE raw > 0 AND actual < raw""")
+def run_receipts(spark, d):
+    """Receipts of a tool's runs: a source is a file that grows day by day, answers cite one or two of them and one that is gone; some runs are filed already, some by another route."""
+    x, n = _tool_ops(spark, d), F.col("id").cast("long")
+    src = lambda k: F.concat(F.lit("src"), (n % k).cast("string"))
+    told = F.concat(F.lit("NODE a [src="), src(20), F.lit(" loc=L1]\nNODE b [src="), src(7), F.lit(" loc=L2]\nNODE c [src=gone loc=L3]"))
+    shown = F.concat(F.lit("Source:   "), src(20), F.lit(" L7\n"), F.repeat(F.lit("word "), (n % 30 * 40).cast("int")))
+    runs = x.select("id", F.col("session").cast("string").alias("session"), "op", "argv", "ts", F.lit("").alias("cwd"), F.when(F.col("op") == "query", told).otherwise(shown).alias("answer"))
+    g = S.content_signature(F.col("argv"), F.col("answer"))
+    keyed = runs.withColumn("g", g)
+    key = lambda s: S.short_id("s_", s, F.col("op"), F.col("g.args_hash"), F.col("g.answer_hash")).alias("id")
+    have = keyed.where("id % 11 = 0").select(key(F.col("session"))).unionByName(keyed.where("id % 13 = 0").select(key(F.lit(""))))
+    day = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 25 as int))")
+    corpus = table(spark, d, "documents").groupBy(F.col("source").alias("path"), day.alias("revision")).agg(F.max(S.token_estimate(F.col("text"))).alias("tokens"))
+    filed, _ = toolruns.receipts(runs.drop("id"), corpus, have)
+    return filed.select("id", "session", "op", "raw_alternative", "actual", "saved", "source_files")
+
+
 @query()
 def json_shrink_udf(spark, d):
     """Properties with long lists and texts cut."""

@@ -98,3 +98,31 @@ def prune(spark: SparkSession, root: str, kind: str, schema: str, before: str, o
     kept = scan(spark, root, kind, schema)
     append(kept.where(F.col("ts").isNull() | (F.col("ts") >= before)), out, kind)
     return scan(spark, out, kind, schema)
+
+
+def retain(spark: SparkSession, root: str, kind: str, before: str) -> tuple[int, int]:
+    """Retention in place: rows of a kind older than ``before`` go, as they stand in their lines; gives (months dropped, months rewritten).
+
+    Whole months go with their folder, the month of the cutoff is written anew, no other file is touched; rows without a time stay, and so do
+    lines that are no JSON.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(f"{root}/kind={kind}")
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    months = sorted(s.getPath().getName().removeprefix("month=") for s in fs.listStatus(top)) if fs.exists(top) else []
+    drop = lambda m: fs.delete(hadoop.Path(top, f"month={m}"), True)
+    gone = [m for m in months if m != "undated" and m < before[:7]]
+    for m in gone:
+        drop(m)
+    if before[:7] not in months:
+        return len(gone), 0
+    lines = spark.read.schema("value string, kind string, month string").text(root).where((F.col("kind") == kind) & (F.col("month") == before[:7]))
+    ts = F.get_json_object("value", "$.ts")
+    kept = lines.where(ts.isNull() | (ts >= before))
+    if lines.count() == (left := kept.count()):
+        return len(gone), 0
+    if left:
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "month").text(root)
+    else:
+        drop(before[:7])
+    return len(gone), 1
