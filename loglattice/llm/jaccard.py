@@ -37,6 +37,8 @@ COUNT_OF = np.exp2(np.arange(256) / 8) - 1
 #: Groups up to this size give their pairs at once; larger ones go by pivots and blocks.
 SMALL = 8
 BLOCK = 1024
+#: Shingles whose rows are compared at once within two blocks.
+COLUMNS = 4096
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -219,15 +221,21 @@ def _block_pairs(percent: int):
         place = np.arange(len(where)) - np.repeat(np.cumsum(size) - size, size)
         mine = np.array([int(np.flatnonzero(p == token)[0]) for p in parts])
         use = common[where]
-        shared = np.zeros((len(parts), int(common.sum())), np.float32)
-        shared[row[use], column[where[use]]] = 1
-        early = np.zeros_like(shared)
-        use &= place < mine[row]
-        early[row[use], column[where[use]]] = 1
+        early = use & (place < mine[row])
         a, b = np.flatnonzero(block == x), np.flatnonzero(block == y)
         n = n.astype(np.int64)
-        hits = shared[a] @ shared[b].T
-        first = early[a] @ early[b].T == 0
+        # Shared shingles are counted some columns at a time, so memory is that of two blocks of rows, however long their prefixes.
+        hits, before = np.zeros((2, len(a), len(b)), np.float32)
+        order = np.argsort(column[where[use]], kind="stable")
+        rows, columns, is_early = row[use][order], column[where[use]][order], early[use][order]
+        for at in range(0, int(common.sum()), COLUMNS):
+            lo, hi = np.searchsorted(columns, [at, at + COLUMNS])
+            some = np.zeros((len(parts), COLUMNS), np.float32)
+            some[rows[lo:hi], columns[lo:hi] - at] = 1
+            hits += some[a] @ some[b].T
+            some[rows[lo:hi][~is_early[lo:hi]], columns[lo:hi][~is_early[lo:hi]] - at] = 0
+            before += some[a] @ some[b].T
+        first = before == 0
         na, nb = n[a][:, None], n[b][None, :]
         o = pair_overlap(na, nb, percent)
         need = np.minimum(size[a][:, None] - na + o, size[b][None, :] - nb + o)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
 
 import ahocorasick
@@ -119,9 +120,41 @@ def _bmp(b: bytes, at: int) -> int:
     return size if good and at + size <= len(b) else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at + 8)
-    return end + 5 - at if b[at + 5 : at + 6].isdigit() and end > 0 and b.find(b"startxref", at, end) > 0 else 0
+class Marks:
+    """Where patterns stand in a medium, each looked for once however many magics ask."""
+
+    def __init__(self, b: bytes):
+        self.b, self.known = b, {}
+
+    def of(self, pattern: bytes) -> list[int]:
+        if pattern not in self.known:
+            at, found = self.b.find(pattern), []
+            while at >= 0:
+                found.append(at)
+                at = self.b.find(pattern, at + 1)
+            self.known[pattern] = found
+        return self.known[pattern]
+
+    def next(self, pattern: bytes, at: int) -> int:
+        """The first place from ``at`` on, or -1."""
+        found = self.of(pattern)
+        k = bisect_left(found, at)
+        return found[k] if k < len(found) else -1
+
+    def last(self, pattern: bytes, before: int) -> int:
+        """The last place before ``before``, or -1."""
+        k = bisect_left(self.of(pattern), before)
+        return self.of(pattern)[k - 1] if k else -1
+
+
+def _pdf(b: bytes, at: int, marks: Marks) -> int:
+    """Up to the last end mark before the next header: a file that was saved again has several. An end mark follows the place of the cross-references."""
+    head = marks.next(b"%PDF-", at + 5)
+    end = marks.last(b"%%EOF", head if head >= 0 else len(b))
+    if end < at + 8:  # a header inside the file's own data
+        end = marks.last(b"%%EOF", len(b))
+    good = b[at + 5 : at + 6].isdigit() and end >= at + 8 and at < marks.last(b"startxref", end)
+    return end + 5 - at if good else 0
 
 
 def _gzip(b: bytes, at: int) -> int:
@@ -137,8 +170,8 @@ def _gzip(b: bytes, at: int) -> int:
         return 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, marks: Marks) -> int:
+    end = marks.next(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return 0
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
@@ -169,7 +202,7 @@ def _mp4(b: bytes, at: int) -> int:
 
 
 #: Magic bytes of public formats, with type, offset of the magic, validator.
-FORMATS: list[tuple[bytes, str, int, Callable[[bytes, int], int]]] = [
+FORMATS: list[tuple[bytes, str, int, Callable[..., int]]] = [
     (b"RIFF", "audio/wav", 0, _riff),
     (b"\x89PNG\r\n\x1a\n", "image/png", 0, _png),
     (b"GIF87a", "image/gif", 0, _gif),
@@ -193,16 +226,19 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 def sniff(media: bytes, automaton: ahocorasick.Automaton | None = None) -> list[tuple[str, int, int]]:
-    """(type, start, length) of each confirmed format, in order of start; none inside an earlier one but those at byte 0."""
+    """(type, start, length) of each confirmed format, in order of start; none inside an earlier one but one at byte 0, and there no
+    page of an Ogg stream, which are the stream's own."""
     found: list[tuple[str, int, int]] = []
-    over = 0
+    over, marks = 0, Marks(media)
     for last, (k, size) in (automaton or _automaton()).iter(media.decode("latin-1")):
         _, kind, back, valid = FORMATS[k]
         at = last + 1 - size
         start = at - back
         if start < 0 or found and start < over and start != 0:
             continue
-        if length := valid(media, at):
+        if kind == "audio/ogg" and found and found[0][:2] == (kind, 0) and start < found[0][2]:
+            continue
+        if length := valid(media, at, marks) if valid in (_pdf, _zip) else valid(media, at):
             if kind == "audio/wav" and media[at + 8 : at + 12] == b"WEBP":
                 kind = "image/webp"
             found.append((kind, start, length))

@@ -318,7 +318,18 @@ def assign(values: dict[tuple[str, str], None], key: bytes) -> dict[tuple[str, s
 def detect(text: str) -> list[tuple[str, int, int]]:
     if not SIGNS.search(text) and not any(w in text for w in NAMES):
         return []
-    return [(m.lastgroup, m.start(), m.end()) for m in PATTERN.finditer(text)]
+    return [(m.lastgroup, m.start(), m.end()) for m in PATTERN.finditer(text) if is_sound(m.lastgroup, m.group())]
+
+
+def is_sound(kind: str, value: str) -> bool:
+    """Whether a number is what it looks like: cards start as a network's do and pass the Luhn check, as IBANs do theirs; orders and times do not."""
+    if kind == "card":
+        digits = canonical(kind, value)
+        return digits[0] in "23456" and len(set(digits)) > 1 and luhn_valid(digits)
+    if kind == "iban":
+        flat = canonical(kind, value)
+        return iban_check(flat[:2], flat[4:]) == flat[2:4]
+    return True
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[dict]]:
