@@ -156,11 +156,12 @@ def pack_sequences(docs: DataFrame, ids_col: str, width: int, id_col: str = "doc
     long, whatever the corpus. An empty table gives no rows; other columns are ignored.
     """
     top = max(capacities)
-    # A row is known by its id and a hash of its ids; of equal rows one gives its ids to all their places.
+    # A row is known by its id and a hash of its ids; of equal rows, where there are any, one gives its ids to all their places.
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(ids_col).alias("h")).alias("row"), F.col(ids_col).alias("_ids"))
     places = pack_best_fit(rows.select("row", F.floor(F.octet_length("_ids") / width).alias("length")), id_col="row", capacities=capacities).where("bin_id is not null").withColumnRenamed("doc_id", "row")
     part = F.struct("offset", F.col("row.doc_id").alias("doc_id"), "piece", "length", F.substring("_ids", (F.col("piece") * top * width).cast("int") + 1, (F.col("length") * width).cast("int")).alias("ids"))
-    one = rows.withColumn("_k", F.row_number().over(Window.partitionBy("row").orderBy("row"))).where("_k = 1").drop("_k")
+    repeated = places.where("piece = 0").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    one = rows if repeated.isEmpty() else rows.withColumn("_k", F.row_number().over(Window.partitionBy("row").orderBy("row"))).where("_k = 1").drop("_k")
     bins = places.join(one, "row").select("bin_id", "capacity", part.alias("part")).groupBy("bin_id", "capacity").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     whole = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
     used = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["length"])
