@@ -97,7 +97,7 @@ def _whole(text: str) -> bool:
 
 
 class AgentLogs(DataSource):
-    """Options: ``path``, ``glob`` (*.jsonl), ``taskBytes``."""
+    """Options: ``path``, ``glob`` (*.jsonl), ``taskBytes``, ``pushdown`` (false)."""
 
     @classmethod
     def name(cls) -> str:
@@ -107,7 +107,7 @@ class AgentLogs(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return LogReader(self.options)
+        return (FilteringLogReader if self.options.get("pushdown") == "true" else LogReader)(self.options)
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return LogStreamReader(self.options)
@@ -124,6 +124,16 @@ class LogReader(DataSourceReader):
         self.path, self.glob, self.size = options["path"], options.get("glob", "*.jsonl"), int(options.get("taskBytes", TASK_BYTES))
         self.only: set[str] | None = None
 
+    def partitions(self) -> list[Files]:
+        return shared_out([f for f in listing(self.path, self.glob) if self.only is None or f[0] in self.only], self.size)
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        yield from read_lines(partition.value if partition else [])
+
+
+class FilteringLogReader(LogReader):
+    """Spark keeps what a reader was asked for with the load, so a load with filters serves one question; ``pushdown`` asks for it."""
+
     def pushFilters(self, filters):
         """Files asked for by name are the only ones that are read."""
         for f in filters:
@@ -133,12 +143,6 @@ class LogReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Files]:
-        return shared_out([f for f in listing(self.path, self.glob) if self.only is None or f[0] in self.only], self.size)
-
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        yield from read_lines(partition.value if partition else [])
-
 
 class LogStreamReader(DataSourceStreamReader):
     def __init__(self, options):

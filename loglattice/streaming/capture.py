@@ -98,7 +98,7 @@ def refold(spark: SparkSession, path: str, touched: DataFrame, fold: Parse, root
         return 0
     names = spark.createDataFrame([(f[0],) for f in listing(path, glob)], "file string")
     mine = [r["file"] for r in names.where(_part(F.col("file")).isin(list(parts))).toLocalIterator()]  # names, as of any listing
-    lines = spark.read.format("agent_logs").option("path", path).option("glob", glob).load().where(F.col("file").isin(mine))
+    lines = spark.read.format("agent_logs").option("path", path).option("glob", glob).option("pushdown", "true").load().where(F.col("file").isin(mine))
     rows = fold(lines.withColumn("main", session_log(F.col("file")))).withColumn("part", _part(F.col("main")))
     rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(root)
     return len(parts)

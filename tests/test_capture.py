@@ -3,7 +3,6 @@
 import json
 import os
 import threading
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,9 +163,9 @@ def test_the_source_reads_only_files_asked_for_and_never_a_whole_log(spark, tmp_
     log_source.register(spark)
     df = spark.read.format("agent_logs").option("path", str(tmp_path)).option("taskBytes", "2000").load()
     assert df.count() == 502 and df.rdd.getNumPartitions() >= 3
-    one = df.where(F.col("file") == str(tmp_path / "3.jsonl"))
+    one = spark.read.format("agent_logs").option("path", str(tmp_path)).option("pushdown", "true").load().where(F.col("file") == str(tmp_path / "3.jsonl"))
+    assert df.where(F.col("file") == str(tmp_path / "3.jsonl")).count() == 100 and df.count() == 502
     assert one.count() == 100 and one.rdd.getNumPartitions() == 1 and one.agg(F.max("line_no")).first()[0] == 99
     monkeypatch.setattr(log_source, "BATCH_LINES", 10)
     sizes = [b.num_rows for b in log_source.read_lines([str(tmp_path / "3.jsonl"), str(tmp_path / "gone.jsonl")])]
     assert sizes == [10] * 10
-    time.sleep(0)
