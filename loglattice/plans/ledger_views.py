@@ -62,19 +62,25 @@ def _commits(spark, d):
     return table(spark, d, "events").where("event_type = 'signup'").select(F.sha1(F.col("event_id").cast("string")).alias("sha"), "ts")
 
 
-def _joined(spark, d):
-    """Stand-in: every fourth session is a task, a third of whose commits are gone, some still open or closed with changes; every sixth call names its session's task,
-    or one that no row tells of, and those between them belong to it."""
+def _tasks(spark, d):
+    """Stand-in: every fourth session is a task, a third of whose commits are gone, some still open or closed with changes; people say of half of them how long they took."""
     e = table(spark, d, "events").where("event_type = 'signup' and user_id % 4 = 0").groupBy(F.col("user_id").alias("task")).agg(F.min("event_id").cast("string").alias("first"))
     closed = [F.when(F.col("task") % 5 > 0, "done").otherwise("").alias("outcome"), F.when(F.col("task") % 7 > 0, 0).otherwise(2).alias("files_changed")]
-    tasks = e.select("task", *closed, F.substring(F.sha1(F.when(F.col("task") % 3 == 0, F.concat(F.lit("gone"), "first")).otherwise(F.col("first"))), 1, 12).alias("commit"))
-    c = calls(spark, d)
-    rows = c.select(
+    commit = F.substring(F.sha1(F.when(F.col("task") % 3 == 0, F.concat(F.lit("gone"), "first")).otherwise(F.col("first"))), 1, 12)
+    return e.select("task", *closed, commit.alias("commit"), F.when(F.col("task") % 8 == 0, F.col("task") % 90).alias("human_minutes"))
+
+
+def _task_calls(spark, d):
+    """Every sixth call names its session's task, or one that no row tells of, and those between them belong to it."""
+    return calls(spark, d).select(
         "id", "ts", "session", F.when(F.col("id") % 30 == 0, F.col("id") + 100000).when(F.col("id") % 6 == 0, F.col("session")).alias("task"), F.when(F.col("agent") == "view", "claude-code").otherwise(F.col("agent")).alias("agent"),
         F.when(F.col("id") % 3 == 0, "cli").otherwise("ide").alias("surface"), F.when(F.col("id") % 5 == 0, "").when(F.col("id") % 5 == 1, "q").otherwise("p").alias("project"), "tokens_in", "tokens_out",
     )
+
+
+def _joined(spark, d):
     trusted = spark.createDataFrame([("claude", None, True), ("click", None, True), ("purchase", "cli", True), ("purchase", None, False)], "agent string, surface string, joinable boolean")
-    return attribution.commit_join(rows, _commits(spark, d), attribution.trusted_commits(tasks)[0], trusted, "p")
+    return attribution.commit_join(_task_calls(spark, d), _commits(spark, d), attribution.trusted_commits(_tasks(spark, d))[0], trusted, "p")
 
 
 @query(f", {JOIN_SQL} SELECT id, CASE WHEN reason IS NULL THEN sha END AS sha, CASE WHEN reason IS NULL THEN CASE WHEN named THEN 'task' ELSE 'window' END END AS via, reason FROM placed")
@@ -197,11 +203,8 @@ CAPTURE_SQL = f"""{COMMITS}, patch AS (SELECT c.sha, 'p' || i AS path, i, event_
  FROM files f LEFT JOIN patch x ON x.sha = f.sha AND x.path = f.path LEFT JOIN (SELECT sha, session, path, sum(n) AS n FROM proposed GROUP BY ALL) s ON s.sha = f.sha AND s.session = f.session AND s.path = f.path LEFT JOIN k ON k.sha = f.sha AND k.session = f.session AND k.path = f.path)"""
 
 
-@query(f""", {CAPTURE_SQL} SELECT sha, CAST(session AS VARCHAR) AS session, string_agg(path, ',' ORDER BY path) FILTER (landed) AS files, CAST(sum(plus) FILTER (landed) AS BIGINT) AS lines_added, CAST(sum(minus) FILTER (landed) AS BIGINT) AS lines_removed, CAST(sum(suggested) AS BIGINT) AS suggested, CAST(sum(kept) AS BIGINT) AS kept,
- CAST(sum(CASE WHEN landed THEN suggested - kept ELSE 0 END) AS BIGINT) AS kept_modified, CAST(sum(CASE WHEN landed THEN 0 ELSE suggested END) AS BIGINT) AS dropped, CAST(sum(kept) AS BIGINT) AS agent_lines, CAST(greatest(sum(CASE WHEN landed THEN matchable ELSE 0 END) - sum(kept), 0) AS BIGINT) AS residual_lines
- FROM g GROUP BY sha, session HAVING count(*) FILTER (landed) > 0""")
-def authorship_capture(spark, d):
-    """Clicks stand for edits, signups for commits whose patches follow from their ids: some binary, some of files that nobody edited, some edits merely restating lines."""
+def _captured(spark, d):
+    """(files of the patches, rows to record). Clicks stand for edits, signups for commits whose patches follow from their ids: some binary, some of files that nobody edited, some edits merely restating lines."""
     e = table(spark, d, "events")
     sign = e.where("event_type = 'signup'").select(F.sha1(F.col("event_id").cast("string")).alias("sha"), "ts", "event_id")
     patch = sign.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(6)))).where("(event_id + i) % 3 <> 0")
@@ -217,7 +220,14 @@ def authorship_capture(spark, d):
         F.array(line(6), line(4), F.lit("}"), line(6, "  ")).alias("lines"), F.when(F.col("event_id") % 4 == 0, F.array(line(4), F.lit("}"))).otherwise(F.array().cast("array<string>")).alias("context"),
     )
     rows, _ = authorship.capture(edits, log, spark.createDataFrame([], authorship.ROW), "/repo")
-    return rows.select("sha", "session", F.array_join("files", ",").alias("files"), "lines_added", "lines_removed", "suggested", "kept", "kept_modified", "dropped", "agent_lines", "residual_lines")
+    return patch, rows
+
+
+@query(f""", {CAPTURE_SQL} SELECT sha, CAST(session AS VARCHAR) AS session, string_agg(path, ',' ORDER BY path) FILTER (landed) AS files, CAST(sum(plus) FILTER (landed) AS BIGINT) AS lines_added, CAST(sum(minus) FILTER (landed) AS BIGINT) AS lines_removed, CAST(sum(suggested) AS BIGINT) AS suggested, CAST(sum(kept) AS BIGINT) AS kept,
+ CAST(sum(CASE WHEN landed THEN suggested - kept ELSE 0 END) AS BIGINT) AS kept_modified, CAST(sum(CASE WHEN landed THEN 0 ELSE suggested END) AS BIGINT) AS dropped, CAST(sum(kept) AS BIGINT) AS agent_lines, CAST(greatest(sum(CASE WHEN landed THEN matchable ELSE 0 END) - sum(kept), 0) AS BIGINT) AS residual_lines
+ FROM g GROUP BY sha, session HAVING count(*) FILTER (landed) > 0""")
+def authorship_capture(spark, d):
+    return _captured(spark, d)[1].select("sha", "session", F.array_join("files", ",").alias("files"), "lines_added", "lines_removed", "suggested", "kept", "kept_modified", "dropped", "agent_lines", "residual_lines")
 
 
 @query(f", {COMMITS} SELECT sha, user_id AS session, 'p' || CAST(event_id % 7 AS VARCHAR) AS path, count(*) AS edits FROM events e JOIN commits c ON (e.ts > c.lo OR c.lo IS NULL) AND e.ts <= c.ts WHERE event_type = 'click' AND event_id % 3 > 0 GROUP BY ALL")

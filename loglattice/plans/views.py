@@ -160,7 +160,7 @@ CORRELATES = 5
 
 
 @query("SELECT conv_id, CASE WHEN count(*) FILTER (role = 'user') >= 5 THEN median(length(text)) FILTER (role = 'user') END AS middle, max(length(text)) AS longest FROM conversations GROUP BY conv_id")
-def task_correlation(spark, d):
+def gated_middle(spark, d):
     """A middle value only where there are enough rows to speak of one."""
     user = F.when(F.col("role") == "user", F.length("text"))
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.when(F.count(user) >= CORRELATES, F.percentile(user, 0.5)).alias("middle"), F.max(F.length("text").cast("long")).alias("longest"))
