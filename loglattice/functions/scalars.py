@@ -126,10 +126,15 @@ def ago(seconds: Column) -> Column:
     return F.when(s < 90, "just now").when(s < 5400, unit(60, "m")).when(s < 172800, unit(3600, "h")).otherwise(unit(86400, "d"))
 
 
+def round_exact(x: Column, places: int) -> Column:
+    """A double rounded by the binary value it holds, exact halves to even: 0.575 holds a little less, so it is 0.57 (``round`` goes by its decimal digits)."""
+    return F.regexp_replace(F.format_number(x, places), ",", "").cast("double")
+
+
 def hours(wall: Column, span: Column, attested_min: Column, cap_s: int = 0, estimate: bool = True) -> Column:
     """(value, tier, reason): what a person attested, else the wall clock less the agents' span, else why there is none."""
-    said = F.round(attested_min / 60.0, 2)
-    guess = F.round(F.greatest(wall - span, F.lit(0)) / 3600.0, 2)
+    said = round_exact(attested_min / 60.0, 2)
+    guess = round_exact(F.greatest(wall - span, F.lit(0)) / 3600.0, 2)
     why = F.when(F.lit(not estimate), "no-estimate").when(wall.isNull(), "no-wall").when(span.isNull(), "no-agent-span").when(F.lit(cap_s > 0) & (wall > cap_s), "gap-too-wide")
     return F.struct(
         F.coalesce(said, F.when(why.isNull(), guess)).alias("value"), F.when(attested_min.isNotNull(), "attested").when(why.isNull(), "estimated").alias("tier"),

@@ -21,7 +21,7 @@ REPORT_SQL = f"""{JOIN_SQL}, {LAID_SQL}, mins AS (SELECT c.sha, CAST(sum(t.task
  report AS (SELECT sha, ts, coalesce(calls, 0) AS calls, coalesce(via_task, 0) AS via_task, coalesce(calls - via_task, 0) AS via_window, CAST(coalesce(tokens_in, 0) AS BIGINT) AS tokens_in, CAST(coalesce(tokens_out, 0) AS BIGINT) AS tokens_out, CAST(coalesce(cache_read, 0) AS BIGINT) AS cache_read, CAST(coalesce(cache_write, 0) AS BIGINT) AS cache_write,
  CAST(coalesce(suggested, 0) AS BIGINT) AS suggested, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(kept_modified, 0) AS BIGINT) AS kept_modified, CAST(coalesce(dropped, 0) AS BIGINT) AS dropped, CAST(coalesce(added, 0) AS BIGINT) AS added, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(agent AS BIGINT) AS agent,
  CAST(coalesce(mine, 0) - agent AS BIGINT) AS human, CAST(coalesce(unattributed, 0) AS BIGINT) AS unattributed, CAST(coalesce(unknown, 0) AS BIGINT) AS unknown, coalesce(binary_files, 0) AS binary_files, CAST(wall AS BIGINT) AS wall_s, CAST(span AS BIGINT) AS agent_span_s, how AS agent_span_method,
- CASE WHEN minutes IS NOT NULL THEN round(minutes / 60.0, 2) WHEN wall <= 86400 AND span IS NOT NULL THEN round(greatest(wall - span, 0) / 3600.0, 2) END AS hours, CASE WHEN minutes IS NOT NULL THEN 'attested' WHEN wall <= 86400 AND span IS NOT NULL THEN 'estimated' END AS tier,
+ CASE WHEN minutes IS NOT NULL THEN CAST(format('{{:.2f}}', minutes / 60.0) AS DOUBLE) WHEN wall <= 86400 AND span IS NOT NULL THEN CAST(format('{{:.2f}}', greatest(wall - span, 0) / 3600.0) AS DOUBLE) END AS hours, CASE WHEN minutes IS NOT NULL THEN 'attested' WHEN wall <= 86400 AND span IS NOT NULL THEN 'estimated' END AS tier,
  CASE WHEN minutes IS NOT NULL THEN '' WHEN wall IS NULL THEN 'no-wall' WHEN span IS NULL THEN 'no-agent-span' WHEN wall > 86400 THEN 'gap-too-wide' ELSE '' END AS reason, coalesce(sessions, '') AS sessions FROM r0)"""
 
 

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from loglattice.functions import scalars as S
 from loglattice.operators import commit_report as R
 
 FILES = "sha string, path string, added long, added_gated long, removed long, binary boolean"
@@ -90,3 +91,9 @@ def test_calls_are_adopted_by_closed_tasks_only_and_not_by_few(spark):
     got = R.adopted(c, tasks).collect()
     assert {(r.id, r.task, r.method, r.confidence) for r in got} == {(10 + k, "T", "estimated", R.ADOPTED) for k in range(1, 6)}
     assert R.adopted(c.where("id <> 13"), tasks).count() == 0 and R.adopted(c.limit(0), tasks).count() == 0
+
+
+def test_hours_are_rounded_as_the_doubles_are(spark):
+    halves = [s / 3600.0 for s in range(18, 400_000, 36)] + [0.125, 0.375, 1.005, 2.675, 1234567.885, 0.0]
+    got = spark.createDataFrame([(x,) for x in halves], "x double").select("x", S.round_exact(F.col("x"), 2).alias("r")).collect()
+    assert [(r.x, r.r) for r in got if r.r != round(r.x, 2)] == []
