@@ -131,10 +131,11 @@ def round_exact(x: Column, places: int) -> Column:
     return F.regexp_replace(F.format_number(x, places), ",", "").cast("double")
 
 
-def hours(wall: Column, span: Column, attested_min: Column, cap_s: int = 0, estimate: bool = True) -> Column:
-    """(value, tier, reason): what a person attested, else the wall clock less the agents' span, else why there is none."""
-    said = round_exact(attested_min / 60.0, 2)
-    guess = round_exact(F.greatest(wall - span, F.lit(0)) / 3600.0, 2)
+def hours(wall: Column, span: Column, attested_min: Column, cap_s: int = 0, estimate: bool = True, exact: bool = False) -> Column:
+    """(value, tier, reason): what a person attested, else the wall clock less the agents' span, else why there is none; ``exact``: rounded by ``round_exact``."""
+    cents = round_exact if exact else F.round
+    said = cents(attested_min / 60.0, 2)
+    guess = cents(F.greatest(wall - span, F.lit(0)) / 3600.0, 2)
     why = F.when(F.lit(not estimate), "no-estimate").when(wall.isNull(), "no-wall").when(span.isNull(), "no-agent-span").when(F.lit(cap_s > 0) & (wall > cap_s), "gap-too-wide")
     return F.struct(
         F.coalesce(said, F.when(why.isNull(), guess)).alias("value"), F.when(attested_min.isNotNull(), "attested").when(why.isNull(), "estimated").alias("tier"),

@@ -74,7 +74,7 @@ def report(commits: DataFrame, joined: DataFrame, files: DataFrame, provenance:
     out = out.join(minutes.select("sha", F.col("minutes").alias("_said")), "sha", "left")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     wall = F.floor((micros("hi") - micros("lo")) / 1_000_000).cast("long")
-    cell = S.hours(wall, F.col("agent_span_s"), F.col("_said"), cap_s, estimate)
+    cell = S.hours(wall, F.col("agent_span_s"), F.col("_said"), cap_s, estimate, exact=True)
     counted = ["calls", "via_task", "via_window", *USE, *PROPOSALS, "added", "removed", *BUCKETS, "binary_files"]
     none = F.array().cast("array<string>")
     return out.withColumn("_h", cell).select(
