@@ -38,7 +38,7 @@ SPARE_BITS = 5
 #: Pairs of context and code that a range holds at most, if all tokens give different ones.
 RANGE_PAIRS = 4_000_000
 #: A predictor's say on a bit: its log odds in steps, and how much the context has seen (nothing, a little, more).
-STEP, LEVELS = 0.4, 35
+STEP, LEVELS = 0.2, 42
 #: Tokens of a document between two refinements of its weights.
 BLOCK = 64
 RATE = 1.0
@@ -208,6 +208,10 @@ class Coder:
         """The place of each code among all codes in order."""
         return np.searchsorted(self.left, code << (self.width - size))
 
+    def sizes(self, keys: np.ndarray) -> np.ndarray:
+        """The length of the code that ends each key."""
+        return self.left_size[np.searchsorted(self.left, (keys & np.uint64((1 << self.width) - 1)).astype(np.int64))]
+
     def __call__(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(code, length, is it a head word) of each word."""
         if not len(self.head):
@@ -250,12 +254,35 @@ def path_says(keys: np.ndarray, total: np.ndarray, width: int) -> np.ndarray:
         fresh = np.r_[True, begin[1:] != begin[:-1]][: len(keys)]
         below = np.add.reduceat(total, np.flatnonzero(fresh))[np.cumsum(fresh) - 1] if len(keys) else total
         if d:
-            odds = np.log((below + 0.4) / (node - below + 0.4)) / STEP
+            odds = (np.log(below + 0.4) - np.log(node - below + 0.4)) / STEP
             says[:, d - 1] = np.clip(np.rint(odds), -LEVELS, LEVELS) + LEVELS + (2 * LEVELS + 1) * ((node > 0).astype(np.int8) + (node > 3))
         node = below
     return says
 
 
+def unsaid(keys: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """The bits that the key before does not tell: those after the path that both share and the bit in which they part,
+    which is the other one of the same node."""
+    shared = np.full(len(keys), -1)
+    shared[1:] = np.maximum(width - np.frexp((keys[1:] ^ keys[:-1]).astype(np.float64))[1], -1)
+    depth = np.arange(width)
+    return (depth > shared[:, None]) & (depth < size[:, None])
+
+
+def said_again(told: np.ndarray, keys: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """``path_says`` of all bits from that of the bits that had to be told; bits after a code's end are 0."""
+    new, row, byte = unsaid(keys, size, width), np.arange(len(keys)), np.arange(256)
+    other = (byte // (2 * LEVELS + 1) * (2 * LEVELS + 1) + 2 * LEVELS - byte % (2 * LEVELS + 1)).astype(np.uint8)
+    says = np.zeros((len(keys), width), np.uint8)
+    says[new] = told
+    for d in range(width):
+        at = np.maximum.accumulate(np.where(new[:, d], row, 0))
+        parted = (keys ^ keys[at]) >> np.uint64(width - 1 - d) & np.uint64(1) == 1
+        column = says[at, d]
+        says[:, d] = np.where(d < size, np.where(parted, other[column], column), 0)
+    return says
+
+
 def context_keys(context: np.ndarray, context_bits: int, left: np.ndarray, width: int) -> np.ndarray:
     return (context >> np.uint64(64 - context_bits)) << np.uint64(width) | left.astype(np.uint64)
 
@@ -291,15 +318,15 @@ def _pairs(coder, context_bits: int, bits: int):
 
 
 def _answer_pairs(coder):
-    """One range of one kind of context: what its predictors say, sent back to each chunk for its pairs."""
+    """One range of one kind of context: what its predictors say, sent back to each chunk for its pairs, once for what neighbours share."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, total, where, at = _added(pdf["keys"], pdf["counts"])
         width = coder.value.width
         says = path_says(keys, total, width)
-        size = coder.value.left_size[np.searchsorted(coder.value.left, (keys & np.uint64((1 << width) - 1)).astype(np.int64))]
-        says[np.arange(width) >= size[:, None]] = 0
-        back = [_zstd()[0].compress(says[where[a:b]].tobytes()) for a, b in zip(at, at[1:], strict=False)]
+        size = coder.value.sizes(keys)
+        asked = (where[a:b] for a, b in zip(at, at[1:], strict=False))
+        back = [_zstd()[0].compress(says[k][unsaid(keys[k], size[k], width)].tobytes()) for k in asked]
         return pd.DataFrame({"chunk": pdf["chunk"], "kind": pdf["kind"], "range": pdf["range"], "counts": back})
 
     return run
@@ -374,8 +401,10 @@ def _score(coder, says_none: np.ndarray, context_bits: int, classes, n_train: in
                 left = (code << (width - size))[local]
                 says, pairs = [says_none], [coder.value.symbols(code, size)[local]]
                 for order in range(1, CONTEXTS):
-                    says.append(np.concatenate([np.frombuffer(_zstd()[1].decompress(b), np.uint8).reshape(-1, width) for b in answers[order]]))
-                    pairs.append(np.unique(context_keys(contexts[order], context_bits, left, width), return_inverse=True)[1])
+                    keys, where = np.unique(context_keys(contexts[order], context_bits, left, width), return_inverse=True)
+                    told = np.frombuffer(b"".join(_zstd()[1].decompress(b) for b in answers[order]), np.uint8)
+                    says.append(said_again(told, keys, coder.value.sizes(keys), width))
+                    pairs.append(where)
                 bits = mixer.log_probability(size[local], says, pairs, lens) / np.log(10)
                 score = bits + np.add.reduceat(inside[local], first)
                 columns = [row["doc_ids"], row["held_out"], lens, np.add.reduceat((count > 0).astype(np.int64)[local], first), np.full(len(lens), n_train), np.add.reduceat(base[local], first), score, row["doc_bytes"]]

@@ -119,6 +119,22 @@ def test_codes_are_a_distribution():
     assert abs(np.exp(logp).sum() - 1) < 1e-5
 
 
+def test_what_neighbours_share_is_told_once():
+    r = np.random.default_rng(4)
+    coder = M.Coder(r.integers(0, 2**64, 40, np.uint64), r.integers(1, 500, 40))
+    for n in (0, 1, 3, 5000):
+        left = coder.left[r.integers(0, len(coder.left), n)]
+        context = r.integers(0, max(1, n // 40), n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys = np.unique(M.context_keys(context, 40, left, coder.width))
+        size = coder.sizes(keys)
+        says = M.path_says(keys, r.integers(0, 200, len(keys)), coder.width)
+        says[np.arange(coder.width) >= size[:, None]] = 0
+        chunk = np.sort(r.permutation(len(keys))[: len(keys) // 2 + 1])  # a chunk asks for some of a range's keys
+        new = M.unsaid(keys[chunk], size[chunk], coder.width)
+        assert np.array_equal(M.said_again(says[chunk][new], keys[chunk], size[chunk], coder.width), says[chunk])
+        assert n < 5000 or new.sum() < 0.7 * size[chunk].sum()
+
+
 def test_packed_numbers_come_back():
     for values in ([], [5], [0, 1, 2**63, 2**64 - 1], sorted(random.Random(3).getrandbits(64) for _ in range(999))):
         values = np.array(values, np.uint64)
