@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from loglattice.functions import scalars as S
 from loglattice.operators import fold
-from loglattice.sources.transcripts import VSCODE_PATCH, parsed
+from loglattice.sources.transcripts import VSCODE_PATCH
 
 TOTALS = "array<struct<model: string, tokens_in: bigint, cached_in: bigint, tokens_out: bigint>>"
 COPILOT = f"""id string, ts string, agent string, source string, session string, surface string, request string, call string, model string, provider string, tokens_in bigint, tokens_out bigint,
@@ -46,6 +46,11 @@ REQUEST = f"""struct<requestId: string, timestamp: bigint, modelId: string, agen
  result: string, modelTotals: array<string>>"""
 
 
+def _once(text: str, schema: str) -> Column:
+    """A parsed text as a generated column: filters on it are not pushed below, where each mention would parse it again."""
+    return F.explode(F.array(F.from_json(text, schema)))
+
+
 def _number(row: Column, names: list[str]) -> Column:
     return F.coalesce(*(S.finite(row[n]) for n in names))
 
@@ -80,18 +85,19 @@ def copilot_chats(lines: DataFrame) -> DataFrame:
 
     The session is the one that the chat's own state names last, else the file's name. A request without counts of its own has those of its result.
     """
-    p = parsed(lines, VSCODE_PATCH)
+    p = lines.select("file", "line_no", _once("line", VSCODE_PATCH).alias("row"))
     named = F.when(F.col("row.kind") == 0, F.nullif(F.get_json_object("row.v", "$.sessionId"), F.lit("")))
     asked = F.when((F.col("row.kind") == 2) & (F.col("row.k") == F.array(F.lit("requests"))), _objects(F.from_json("row.v", "array<string>")))
     each = p.select("file", "line_no", named.alias("named"), asked.alias("asked")).where("named is not null or asked is not null")
     # A name is a row of its own, so that one shuffle by file settles both sessions and states.
-    flat = each.select("file", "line_no", "named", F.posexplode_outer("asked").alias("pos", "text")).withColumn("r", F.from_json("text", REQUEST)).drop("text")
+    flat = each.select("file", "line_no", "named", F.posexplode_outer("asked").alias("pos", "text"))
+    flat = flat.select("file", "line_no", "named", "pos", _once("text", REQUEST).alias("r"))
     session = F.max_by("named", F.when(F.col("named").isNotNull(), F.col("line_no"))).over(Window.partitionBy("file"))
     flat = flat.withColumn("session", F.coalesce(session, F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1))).where("r.requestId <> ''")
     last = fold.latest_per_key(flat.select("file", "session", F.col("r.requestId").alias("request"), "line_no", "pos", "r"), ["file", "session", "request"], ["line_no", "pos"])
 
-    r = F.col("r")
-    md = F.from_json(F.get_json_object(r["result"], "$.metadata"), f"struct<{_COUNTS}>")
+    last = last.withColumn("md", F.from_json(F.get_json_object("r.result", "$.metadata"), f"struct<{_COUNTS}>"))
+    r, md = F.col("r"), F.col("md")
     extension = F.coalesce(*(F.nullif(F.get_json_object(r["agent"]["extensionId"], f"$.{c}"), F.lit("")) for c in ("_lower", "value")), F.when(~r["agent"]["extensionId"].startswith("{"), r["agent"]["extensionId"]))
     own = lambda c: F.when(_count(r, c) != 0, _count(r, c)).otherwise(_count(md, c))
     listed = F.transform(_objects(F.coalesce(r["modelTotals"], F.array().cast("array<string>"))), lambda t: F.from_json(t, f"struct<model: string, modelId: string, {_COUNTS}>"))
@@ -114,24 +120,25 @@ def copilot_cli(lines: DataFrame) -> DataFrame:
     key keeps every one; totals have none, so that it keeps the last. Shutdowns without a map of models are skipped and not numbered,
     as are those that tell nothing. The shutdowns of a session are ordered in one task, by one shuffle.
     """
-    d = parsed(lines, "type string, timestamp string, data string").where("row.type = 'session.shutdown'").select("file", "line_no", F.col("row.timestamp").alias("ts"), F.from_json("row.data", SHUTDOWN).alias("d"))
-    # Counts lie under ``usage``, or beside it where that is no object.
-    models = F.map_entries(F.map_filter("d.modelMetrics", lambda _, m: m.startswith("{")))
-    nested = lambda m: F.get_json_object(m, "$.usage")
-    usage = lambda e: _entry(e["key"], F.from_json(F.when(nested(e["value"]).startswith("{"), nested(e["value"])).otherwise(e["value"]), f"struct<{_COUNTS}>"))
+    events = lines.select("file", "line_no", _once("line", "type string, timestamp string, data string").alias("row")).where("row.type = 'session.shutdown'")
+    d = events.select("file", "line_no", F.col("row.timestamp").alias("ts"), _once("row.data", SHUTDOWN).alias("d"))
     x = d.where("d.modelMetrics is not null").select(
-        "file", "line_no", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("session"), S.normal_form(F.col("ts")).alias("ts"), F.transform(models, usage).alias("model_totals"),
+        "file", "line_no", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("session"), S.normal_form(F.col("ts")).alias("ts"), F.map_entries(F.map_filter("d.modelMetrics", lambda _, m: m.startswith("{"))).alias("models"),
         _number(F.col("d"), CREDITS["premium"]).alias("credits"), _number(F.col("d"), CREDITS["nano_aiu"]).alias("nano_aiu"),
-    ).where("size(model_totals) > 0 or credits is not null or nano_aiu is not null")
+    ).where("size(models) > 0 or credits is not null or nano_aiu is not null")
     for c in ("credits", "nano_aiu"):
         x = fold.delta_with_reset(x, ["file"], "line_no", c, f"{c}_grown")
     x = x.withColumn("no", F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1)
-    one = x.select("*", F.posexplode_outer("model_totals").alias("pos", "t")).withColumn("model", F.col("t.model"))
+    # One row a model, parsed once. Counts lie under ``usage``, or beside it where that is no object.
+    one = x.select("*", F.posexplode_outer("models").alias("pos", "m")).withColumn("nested", F.get_json_object("m.value", "$.usage"))
+    one = one.withColumn("u", F.from_json(F.when(F.col("nested").startswith("{"), F.col("nested")).otherwise(F.col("m.value")), f"struct<{_COUNTS}>"))
+    one = one.select("file", "line_no", "session", "ts", "credits", "nano_aiu", "credits_grown", "nano_aiu_grown", "no", "pos", F.col("m.key").alias("model"), _entry(F.col("m.key"), F.col("u")).alias("t"))
     for c in ("tokens_in", "tokens_out", "cached_in"):
         one = fold.delta_with_reset(one.withColumn(f"_{c}", F.col(f"t.{c}")), ["file", "model"], "line_no", f"_{c}", c)
     grown = F.when((F.col("tokens_in") != 0) | (F.col("tokens_out") != 0), F.struct("pos", F.struct("model", "tokens_in", "cached_in", "tokens_out").alias("t")))
-    keep = ["session", "ts", "model_totals", "credits", "nano_aiu", "credits_grown", "nano_aiu_grown", "no"]
-    both = one.groupBy("file", "line_no").agg(*(F.first(c).alias(c) for c in keep), F.transform(F.sort_array(F.collect_list(grown)), lambda e: e["t"]).alias("grown"))
+    listed = lambda e, name: F.transform(F.sort_array(F.collect_list(e)), lambda v: v["t"]).alias(name)
+    keep = ["session", "ts", "credits", "nano_aiu", "credits_grown", "nano_aiu_grown", "no"]
+    both = one.groupBy("file", "line_no").agg(*(F.first(c).alias(c) for c in keep), listed(F.when(F.col("model").isNotNull(), F.struct("pos", "t")), "model_totals"), listed(F.when(F.col("model").isNotNull(), grown), "grown"))
 
     def sums(totals: Column) -> dict[str, Column]:
         return {"model_totals": totals} | {c: _total(totals, c) for c in ("tokens_in", "tokens_out", "cached_in")}
