@@ -336,7 +336,7 @@ def explain_ranking(spark, d):
 @query("SELECT session, saved, method FROM (SELECT l_orderkey AS session, CAST(round(sum(l_extendedprice * l_discount)) AS BIGINT) AS saved, min(l_returnflag) AS method FROM lineitem GROUP BY 1) ORDER BY saved DESC, session LIMIT 20")
 def savings_topk(spark, d):
     """The twenty sessions that saved the most (the view's own limit), each with its least trusted method."""
-    by = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("session")).agg(F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount"))).cast("long").alias("saved"), F.min("l_returnflag").alias("method"))
+    by = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("session")).agg(S.whole_total(F.col("l_extendedprice"), F.col("l_discount")).alias("saved"), F.min("l_returnflag").alias("method"))
     return by.orderBy(F.desc("saved"), "session").limit(20)
 
 

@@ -108,7 +108,7 @@ TRUST = ["A", "N", "R"]
 def graphify_chats(spark, d):
     """Savings by conversation, with the least trusted method among them."""
     rank = F.array_position(F.array(*map(F.lit, TRUST)), F.col("l_returnflag"))
-    saved = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount"))).cast("long").alias("saved"), F.min_by("l_returnflag", rank).alias("method"))
+    saved = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), S.whole_total(F.col("l_extendedprice"), F.col("l_discount")).alias("saved"), F.min_by("l_returnflag", rank).alias("method"))
     chats = table(spark, d, "orders").select(F.col("o_orderkey").alias("session"), F.col("o_orderpriority").alias("agent"))
     return chats.join(saved, F.col("session") == F.col("l_orderkey"), "left").select("session", "agent", F.coalesce("n", F.lit(0)).alias("receipts"), "saved", "method")
 
