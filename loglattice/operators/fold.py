@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from loglattice.functions import scalars as S
 
 
+#: Rows that one task sorts: tasks grow in number with the table, not in size.
+TASK_ROWS = 1 << 20
+#: Tasks over which the rows of one key are dealt.
+SALTS = 64
+
+
+def tasks_for(n_rows: int) -> int:
+    return max(1, -(-n_rows // TASK_ROWS))
+
+
 def latest_per_key(rows: DataFrame, keys: list[str], score: list[str]) -> DataFrame:
     """The row with the largest score (in order of its columns) of each key. Partially aggregated, not sorted."""
     rest = [c for c in rows.columns if c not in keys]
