@@ -14,6 +14,7 @@ before they meet. Seeds are broadcast if they are few bytes, else they are joine
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,8 +38,10 @@ SEEDS = 4
 BROADCAST_BYTES, PART_PAGES = 16 << 20, 20_000
 #: Bytes of candidate seeds, and parsed seeds, that a task holds.
 HELD_BYTES, HELD_SEEDS = 16 << 20, 128
-#: Pairs of children that are compared; longer lists are matched in order, label by label.
+#: Pairs of children that are compared one by one; longer lists row by row in arrays, with the same matching.
 PAIRS = 1_000_000
+#: Pairs of shapes, and weights of shapes with all of a list's, that a matcher remembers.
+MEMO, HELD_WEIGHTS = 500_000, 1 << 22
 
 #: Elements that never hold article text.
 DROPPED = frozenset("script style noscript template head title svg iframe object embed canvas audio video form button select option optgroup textarea input fieldset label nav footer aside menu dialog datalist map".split())
@@ -241,7 +244,7 @@ class Matcher:
         if got is None:
             x, y = _kids(a), _kids(b)
             if len(x) * len(y) > PAIRS:
-                got = 1 + sum(self.score(p, q) for p, q in _in_order(x, y))
+                got = 1 + self._most(x, y)
             else:
                 row = [0] * (len(y) + 1)
                 for p in x:
@@ -250,6 +253,8 @@ class Matcher:
                         w = self.score(p, q)
                         row.append(max(above[j] + w, above[j + 1], row[j]) if w else max(above[j + 1], row[j]))
                 got = 1 + row[-1]
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
             self.memo[a.shape, b.shape] = got
         return got
 
@@ -267,8 +272,8 @@ class Matcher:
         if not x or not y:
             return
         if len(x) * len(y) > PAIRS:
-            for p, q in _in_order(x, y):
-                yield from self.align(p, q)
+            for i, j in self._pairs(x, y):
+                yield from self.align(x[i], y[j])
             return
         weight = [[w and 2 * w + (p.whole == q.whole) for q in y for w in (self.score(p, q),)] for p in x]
         best = [[0] * (len(y) + 1)]
@@ -290,17 +295,73 @@ class Matcher:
         for i, j in reversed(pairs):
             yield from self.align(x[i], y[j])
 
+    def _weigher(self, x: list, y: list, texts: bool):
+        """Function from a child of ``x`` to its weights with all of ``y``: matched nodes or, with ``texts``, what ``align`` weighs."""
+        first: dict[int, int] = {}
+        at = np.array([first.setdefault(q.shape, len(first)) for q in y])
+        shapes = {q.shape: q for q in reversed(y)}
+        each = [shapes[k] for k in first]
+        wholes = np.array([q.whole for q in y])
+        held: dict[int, np.ndarray] = {}
+
+        def weights(p) -> np.ndarray:
+            got = held.get(p.shape)
+            if got is None:
+                got = np.array([self.score(p, q) for q in each], np.int32)
+                if (len(held) + 1) * len(each) > HELD_WEIGHTS:
+                    held.clear()
+                held[p.shape] = got
+            w = got[at]
+            return np.where(w > 0, 2 * w + (wholes == p.whole), 0).astype(np.int32) if texts else w
+
+        return weights
+
+    def _most(self, x: list, y: list) -> int:
+        """What ``score`` sums up over two lists of children, in the memory of one row. Equal ends match each other in some best matching."""
+        lo = hi = 0
+        while lo < min(len(x), len(y)) and x[lo].shape == y[lo].shape:
+            lo += 1
+        while hi < min(len(x), len(y)) - lo and x[-1 - hi].shape == y[-1 - hi].shape:
+            hi += 1
+        ends = sum(self.sizes[k.shape] for k in x[:lo]) + sum(self.sizes[k.shape] for k in x[len(x) - hi :])
+        x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
+        if not x or not y:
+            return ends
+        weights, row = self._weigher(x, y, False), np.zeros(len(y) + 1, np.int32)
+        for p in x:
+            row = _next_row(row, weights(p))
+        return ends + int(row[-1])
+
+    def _pairs(self, x: list, y: list) -> list[tuple[int, int]]:
+        """The pairs that ``align`` takes from two lists of children: one row in about sqrt(len(x)) is kept, and those between are made again on the way back."""
+        weights, row, kept = self._weigher(x, y, True), np.zeros(len(y) + 1, np.int32), []
+        every = math.isqrt(len(x)) + 1
+        for i, p in enumerate(x):
+            if i % every == 0:
+                kept.append(row)
+            row = _next_row(row, weights(p))
+        j, pairs = len(y), []
+        for k in range(len(kept) - 1, -1, -1):
+            part, best = x[k * every : (k + 1) * every], [kept.pop()]
+            for p in part:
+                best.append(_next_row(best[-1], weights(p)))
+            i = len(part)
+            while i and j:
+                w = self.score(part[i - 1], y[j - 1])
+                if w and best[i][j] == best[i - 1][j - 1] + 2 * w + (part[i - 1].whole == y[j - 1].whole):
+                    i, j = i - 1, j - 1
+                    pairs.append((k * every + i, j))
+                elif best[i][j] == best[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+        return pairs[::-1]
 
-def _in_order(x: list, y: list) -> Iterator[tuple]:
-    at = 0
-    for p in x:
-        for j in range(at, len(y)):
-            if y[j].label == p.label:
-                yield p, y[j]
-                at = j + 1
-                break
-        if at >= len(y):
-            return
+
+def _next_row(above: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(above)
+    np.maximum.accumulate(np.maximum(above[1:], above[:-1] + weights), out=out[1:])
+    return out
 
 
 class Seed:
