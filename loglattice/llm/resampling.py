@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,17 +112,24 @@ def score(docs: DataFrame, ratio: np.ndarray, threshold: float, temperature: flo
 
     def run(batches):
         for batch in batches:
-            buckets = [gram_buckets(t.as_py()) for t in batch.column(1)]
-            n = np.array([len(b) for b in buckets], np.int64)
-            w = np.array([shared.value[b].sum() for b in buckets])
-            w = w - np.where(n > 0, n * max(threshold, -1e6), 0)
-            ids = np.array([xxhash.xxh3_64_intdigest(str(i).encode()) for i in batch.column(0).to_pylist()], np.uint64)
-            noise = -np.log(-np.log(uniform(mix64(ids))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(w), pa.array(w / temperature + noise)], names=["doc_id", "n_grams", "log_weight", "gumbel_key"])
+            n, w, key = _weigh(batch.column(0), batch.column(1), shared.value, threshold, temperature)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(w), pa.array(key)], names=["doc_id", "n_grams", "log_weight", "gumbel_key"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double, gumbel_key double")
 
 
+def _weigh(ids: pa.Array, texts: pa.Array, ratio: np.ndarray, threshold: float, temperature: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n_grams, log_weight, gumbel_key) of rows: each row's are the same to the bit, whatever rows come with it."""
+    n, w = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+    for k, text in enumerate(texts):
+        b = gram_buckets(text.as_py())
+        n[k], w[k] = len(b), ratio[b].sum()
+    w = w - np.where(n > 0, n * max(threshold, -1e6), 0)
+    hashed = np.array([xxhash.xxh3_64_intdigest(str(i).encode()) for i in ids.to_pylist()], np.uint64)
+    noise = np.array([-math.log(-math.log(u)) for u in uniform(mix64(hashed)).tolist()])
+    return n, w, w / temperature + noise
+
+
 def kth_largest(scored: DataFrame, column: str, k: int) -> float | None:
     """The k-th largest value, exactly, by counting values by 16 bits of their order at a time: four passes of bounded size."""
     def ordered(values: np.ndarray) -> np.ndarray:
@@ -165,16 +173,39 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, tem
     is drawn like any other. An empty table gives no rows; other columns are ignored.
     """
     ratio, threshold = fit(docs, labels)
+    scored, cut = _scored(docs, ratio, threshold, share, temperature)
+    return scored.where(F.col("gumbel_key") >= cut) if cut is not None else scored.limit(0)
+
+
+def _scored(docs: DataFrame, ratio: np.ndarray, threshold: float, share: float | None = None, temperature: float = TEMPERATURE) -> tuple[DataFrame, float | None]:
+    """The scores, written, and the least key that is drawn; None if nothing is."""
     scored = materialize(score(docs, ratio, threshold, temperature), "resampling-scores")
     k = scored.where("log_weight >= 0").count() if share is None else math.ceil(share * scored.count())
-    cut = kth_largest(scored, "gumbel_key", k) if k else None
-    return scored.where(F.col("gumbel_key") >= cut) if cut is not None else scored.limit(0)
+    return scored, kth_largest(scored, "gumbel_key", k) if k else None
 
 
 def keep_resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are drawn, with their own columns. Rows with a null id are kept: nothing identifies them.
 
-    Rows that share an id stay if one of them is drawn.
+    Rows that share an id stay if one of them is drawn. Texts are weighed a second time, where they lie, and not shuffled: only
+    ids are, and the rows of an id of which some are drawn and some are not.
     """
-    drawn = resample(docs, labels).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(materialize(drawn, "resampling-drawn"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    ratio, threshold = fit(docs, labels)
+    scored, cut = _scored(docs, ratio, threshold)
+    if cut is None:
+        return docs.where("doc_id is null")
+    is_drawn = F.col("gumbel_key") >= cut
+    parted = scored.where("doc_id is not null").groupBy("doc_id").agg(F.min(is_drawn).alias("all"), F.max(is_drawn).alias("some")).where("some and not all").select("doc_id")
+    parted = materialize(parted, "resampling-parted")
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
+            key = _weigh(ids, texts, shared.value, threshold, TEMPERATURE)[2]
+            yield batch.filter(pc.or_(pa.array(key >= cut), ids.is_null()))
+
+    kept = docs.mapInArrow(run, docs.schema)
+    if parted.isEmpty():
+        return kept
+    return kept.join(parted, "doc_id", "left_anti").unionByName(docs.join(parted, "doc_id", "left_semi")).select(*docs.columns)
