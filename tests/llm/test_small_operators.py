@@ -318,6 +318,41 @@ def test_units_equal_the_library(bpe, special):
     assert np.frombuffer(enc.encode(texts[1]), "<u4").tolist() == [64, 11504]
 
 
+def test_a_piece_is_encoded_once_whatever_stands_beside_it(bpe):
+    from collections import Counter
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.seen = model, Counter()
+
+        def tokenize(self, piece):
+            self.seen[piece] += 1
+            return self.model.tokenize(piece)
+
+    from tokenizers import Tokenizer
+
+    enc, t = token_store.Encoder(bpe), Tokenizer.from_file(bpe)
+    enc.model = Counted(enc.model)
+    for text in ("on ndtho, ndtho. ndtho; ndtho12 ndtho's\nNdtho \nNdtho, on ndtho's, ndtho! ndthoé ndthoé,", "on ndtho: ndtho?"):
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert enc.model.seen["Ġndtho"] == 1 and max(enc.model.seen.values()) == 1
+
+
+@pytest.mark.parametrize("size", [1, 60, 1 << 23])
+def test_batches_equal_the_library(bpe, size, monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "SLICE_BYTES", size)
+    t, draw = Tokenizer.from_file(bpe), random.Random(size)
+    texts = ["".join(draw.choices("as1'!. \n\t\xa0é«²\x1c—日\u200b\x7ftdmrevl  \n", k=draw.randrange(25))) for _ in range(2000)]
+    texts += [None, "", " ", "  ", "\n", " \nA", "\n\nA", "x", "a <|endoftext|> b", "<|endoftext|>", None, "y" * 300, "a ", "b", "\n", "'s"]
+    got = list(token_store.Encoder(bpe).encode_all(pa.array(["cut off", *texts])[1:]))
+    for x, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids, x
+    assert list(token_store.Encoder(bpe).encode_all(pa.array([], pa.string()))) == []
+
+
 @pytest.mark.parametrize("ordered", [False, True])
 def test_long_conversations_are_written_in_pieces(spark, ordered):
     n, text = 500, "<é\\" * 7000
